@@ -8,8 +8,7 @@ back to the blocks that asked, and a block reassembles its documents by
 position.  Decoding joins ids with the token-byte table.
 
 Cases: a null or empty text has no ids and decodes to nothing; a pre-token of
-any length is encoded whole (long ones through a heap of merges); repeated rows
-give repeated results; an empty table gives an empty result.
+any length is encoded whole; repeated rows give repeated results; an empty table gives an empty result.
 
 Scale: both exchanges carry distinct words per block, not occurrences, so a
 word that is everywhere costs one entry a block.  The only broadcast is the
@@ -21,9 +20,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -119,44 +118,18 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 # ---------------------------------------------------------------- merges
 
 
-def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always merge the leftmost pair of lowest rank."""
-    known = ranks.get(word)
-    if known is not None:
-        return [known]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    if len(parts) > 64:
-        return _encode_long(parts, ranks)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[x] for x in parts]
-
-
-def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    n = len(parts)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if parts[i] is not left or j >= n or parts[j] is not right:
-            continue  # one of the two has been merged since
-        parts[i], parts[j] = left + right, b""
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n and (r := ranks.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (r, a, parts[a], parts[b]))
-    return [ranks[x] for x in parts if x]
+_ENCODERS: dict[int, Callable[[str], list[int]]] = {}
+
+
+def word_encoder(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """Ids of one pre-token; the pattern takes it whole, so only its merges are made."""
+    if id(ranks) not in _ENCODERS:
+        import public_tokenizers
+        import tiktoken
+
+        _ENCODERS.clear()
+        _ENCODERS[id(ranks)] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return _ENCODERS[id(ranks)]
 
 
 # ---------------------------------------------------------------- stages
@@ -182,8 +155,10 @@ def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: lis
     two = np.concatenate([t[1] for t in texts])
     if not np.array_equal(two[first][back], two):  # two words share a 64-bit hash: tell them apart by both
         _, first, back = np.unique(np.stack([one, two]), axis=1, return_index=True, return_inverse=True)
-    base = np.cumsum([0, *(len(t[0]) for t in texts)])
-    part = np.searchsorted(base, first, side="right") - 1
+    data = np.concatenate([t[2] for t in texts])
+    shift = np.cumsum([0, *(len(t[2]) for t in texts)])
+    begin = np.concatenate([t[3] + x for t, x in zip(texts, shift[:-1], strict=True)])[first]
+    length = np.concatenate([t[4] - t[3] for t in texts])[first]
     bucket = (one[first] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
@@ -191,16 +166,14 @@ def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: lis
     sequence = place[back].astype(np.uint32 if len(first) > 65536 else np.uint16)
     counts = np.concatenate(starts)
     raw = sequence.tobytes()
-    yield {"block": block, "kind": SEQUENCES, "bucket": -1, "ids": ids, "counts": counts.tolist(), "size": len(raw), "packed": _pack(raw)}
-    bounds = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+    yield {"block": block, "kind": SEQUENCES, "bucket": -1, "ids": ids, "counts": counts, "size": len(raw), "packed": _pack(raw)}
+    begin, length, bucket = begin[order], length[order], bucket[order]
+    to = np.r_[0, np.cumsum(length)]
+    spelt = data[np.repeat(begin - to[:-1], length) + np.arange(to[-1])]
+    bounds = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(order) else []
     for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
-        spans = []
-        for w in order[lo:hi]:
-            _, _, data, begin, end = texts[part[w]]
-            i = first[w] - base[part[w]]
-            spans.append(data[begin[i] : end[i]])
-        blob = b"".join(spans)
-        yield {"block": block, "kind": WORDS, "bucket": int(bucket[order[lo]]), "ids": None, "counts": [len(x) for x in spans], "size": len(blob), "packed": _pack(blob)}
+        blob = spelt[to[lo] : to[hi]].tobytes()
+        yield {"block": block, "kind": WORDS, "bucket": int(bucket[lo]), "ids": None, "counts": length[lo:hi], "size": len(blob), "packed": _pack(blob)}
 
 
 def _cut(buckets: int):
@@ -229,7 +202,7 @@ def _cut(buckets: int):
             heads = np.flatnonzero((data & 0xC0) != 0x80)
             begin = heads[at]
             end = np.r_[begin[1:], len(data)] if len(begin) else begin
-            texts.append((c.span_hashes(one_values[data], begin, end), c.span_hashes(two_values[data], begin, end), data.tobytes(), begin, end))
+            texts.append((c.span_hashes(one_values[data], begin, end), c.span_hashes(two_values[data], begin, end), data, begin, end))
             counts.append(np.diff(first))
             ids += rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
             held += len(data)
@@ -244,7 +217,7 @@ def _encoded(vocabulary: Broadcast):
     """For each bucket: every distinct word is encoded once; ids go back to its blocks."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = vocabulary.value
+        encode_word = word_encoder(vocabulary.value)
         known: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
@@ -255,7 +228,7 @@ def _encoded(vocabulary: Broadcast):
                     at += n
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = np.array(encode_word(word, ranks), np.uint32).tobytes()
+                        got = known[word] = array("I", encode_word(word.decode())).tobytes()
                     ids.append(got)
                     lens.append(len(got) >> 2)
                 raw = b"".join(ids)
@@ -267,17 +240,16 @@ def _encoded(vocabulary: Broadcast):
 
 def _assembled(vocabulary: Broadcast, outputs: tuple[str, ...]):
     def run(key: tuple, sequences: pa.Table, words: pa.Table) -> pa.Table:
-        by_id: dict[int, bytes] = _token_bytes(vocabulary)
-        lens, ids = [], []
+        by_id, names = _token_tables(vocabulary)
+        lens, flat = [], []
         for n, size, packed in sorted_by_bucket(words):
-            lens.append(np.array(n, np.int64))
-            ids.append(np.frombuffer(_unpack(packed, size), np.uint32))
+            lens.append(n)
+            flat += np.frombuffer(_unpack(packed, size), np.uint32).tolist()
         lens_all = np.concatenate(lens) if lens else np.zeros(0, np.int64)
-        bounds = np.r_[0, np.cumsum(lens_all)]
-        ids_all = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        each = [ids_all[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        said = [" ".join(map(str, x.tolist())) for x in each]
-        spelt = [b"".join(map(by_id.__getitem__, x.tolist())) for x in each]
+        bounds = [0, *np.cumsum(lens_all).tolist()]
+        shown, tokens = [names[i] for i in flat], [by_id[i] for i in flat]
+        said = [" ".join(shown[a:b]) for a, b in zip(bounds, bounds[1:])]
+        spelt = [b"".join(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
         cols: dict[str, list] = {k: [] for k in ("doc_id", *outputs)}
         for row in sequences.select(["ids", "counts", "size", "packed"]).to_pylist():
             raw = _unpack(row["packed"], row["size"])
@@ -296,7 +268,7 @@ def _assembled(vocabulary: Broadcast, outputs: tuple[str, ...]):
                 if "decoded_sha256" in cols:
                     cols["decoded_sha256"].append(hashlib.sha256(b"".join([spelt[i] for i in listed])).hexdigest())
                 if "ids" in cols:
-                    cols["ids"].append([int(x) for i in listed for x in each[i]])
+                    cols["ids"].append([int(x) for i in listed for x in flat[bounds[i] : bounds[i + 1]]])
                 if "decoded" in cols:
                     cols["decoded"].append(b"".join([spelt[i] for i in listed]))
         return pa.table({k: pa.array(v, _ARROW[k]) for k, v in cols.items()})
@@ -305,20 +277,25 @@ def _assembled(vocabulary: Broadcast, outputs: tuple[str, ...]):
 
 
 def sorted_by_bucket(words: pa.Table) -> list[tuple]:
-    rows = words.select(["bucket", "lens", "size", "packed"]).to_pylist()
-    return [(r["lens"], r["size"], r["packed"]) for r in sorted(rows, key=lambda r: r["bucket"])]
+    bucket = words.column("bucket").to_pylist()
+    lens, size, packed = (words.column(x) for x in ("lens", "size", "packed"))
+    return [(lens[i].values.to_numpy(), size[i].as_py(), packed[i].as_py()) for i in sorted(range(len(bucket)), key=bucket.__getitem__)]
 
 
-_TABLES: dict[int, dict[int, bytes]] = {}
+_TABLES: dict[int, tuple[list[bytes], list[str]]] = {}
 
 
-def _token_bytes(vocabulary: Broadcast) -> dict[int, bytes]:
-    """The token-byte table of a vocabulary; kept by the worker."""
-    if vocabulary.id not in _TABLES if hasattr(vocabulary, "id") else True:
-        table = {i: b for b, i in vocabulary.value.items()}
-        _TABLES[getattr(vocabulary, "id", 0)] = table
-        return table
-    return _TABLES[vocabulary.id]
+def _token_tables(vocabulary: Broadcast) -> tuple[list[bytes], list[str]]:
+    """Bytes and decimal form of each id; a worker keeps the table of the last vocabulary."""
+    key = id(vocabulary.value)
+    if key not in _TABLES:
+        _TABLES.clear()
+        size = max(vocabulary.value.values()) + 1
+        spelt = [b""] * size
+        for token, i in vocabulary.value.items():
+            spelt[i] = token
+        _TABLES[key] = spelt, [str(i) for i in range(size)]
+    return _TABLES[key]
 
 
 _SQL_TYPE = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "binary"}
