@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from deltascope.llm import byte_bpe, quality_rules
+from deltascope.llm import byte_bpe, decontaminate, line_dedup, quality_rules
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_line_dedup": line_dedup.query,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }
