@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,10 +147,10 @@ def _unpack(packed: bytes, size: int) -> bytes:
 
 
 SEQUENCES, WORDS = 0, 1
-_BLOCK_SCHEMA = "block string, kind int, bucket int, ids array<long>, counts array<long>, size long, packed binary"
+_BLOCK_SCHEMA = "key string, block string, kind int, bucket int, ids array<long>, counts array<long>, size long, packed binary"
 
 
-def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: list[tuple], buckets: int, row_ids: pa.DataType) -> Iterator[dict]:
+def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: list[tuple], buckets: int) -> Iterator[dict]:
     one = np.concatenate([t[0] for t in texts])
     _, first, back = np.unique(one, return_index=True, return_inverse=True)
     two = np.concatenate([t[1] for t in texts])
@@ -166,23 +167,21 @@ def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: lis
     sequence = place[back].astype(np.uint32 if len(first) > 65536 else np.uint16)
     counts = np.concatenate(starts)
     raw = sequence.tobytes()
-    yield {"block": block, "kind": SEQUENCES, "bucket": -1, "ids": ids, "counts": counts, "size": len(raw), "packed": _pack(raw)}
+    yield {"key": block, "block": block, "kind": SEQUENCES, "bucket": -1, "ids": ids, "counts": counts, "size": len(raw), "packed": _pack(raw)}
     begin, length, bucket = begin[order], length[order], bucket[order]
     to = np.r_[0, np.cumsum(length)]
     spelt = data[np.repeat(begin - to[:-1], length) + np.arange(to[-1])]
     bounds = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(order) else []
     for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
         blob = spelt[to[lo] : to[hi]].tobytes()
-        yield {"block": block, "kind": WORDS, "bucket": int(bucket[lo]), "ids": None, "counts": length[lo:hi], "size": len(blob), "packed": _pack(blob)}
+        yield {"key": f"bucket {bucket[lo]}", "block": block, "kind": WORDS, "bucket": int(bucket[lo]), "ids": None, "counts": length[lo:hi], "size": len(blob), "packed": _pack(blob)}
 
 
 def _cut(buckets: int):
     """Documents to blocks: one row of sequences, and a row of words for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("packed", pa.binary())])
+        schema = pa.schema([("key", pa.string()), ("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("packed", pa.binary())])
         one_values, two_values = c.byte_values(seed=21), c.byte_values(seed=22)
         ids: list[int] = []
         counts: list[np.ndarray] = []
@@ -192,7 +191,8 @@ def _cut(buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, counts, texts, held
             if ids:
-                rows = list(_block_rows(uuid.uuid4().hex, ids, counts, texts, buckets, pa.int64()))
+                name = hashlib.md5(repr(ids).encode()).hexdigest()
+                rows = list(_block_rows(name, ids, counts, texts, buckets))
                 yield pa.RecordBatch.from_pylist(rows, schema)
             ids, counts, texts, held = [], [], [], 0
 
@@ -216,24 +216,22 @@ def _cut(buckets: int):
 def _encoded(vocabulary: Broadcast):
     """For each bucket: every distinct word is encoded once; ids go back to its blocks."""
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, words: pa.Table) -> pa.Table:
         encode_word = word_encoder(vocabulary.value)
         known: dict[bytes, bytes] = {}
-        for batch in batches:
-            out = []
-            for block, bucket, counts, size, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                blob, at, ids, lens = _unpack(packed, size), 0, [], []
-                for n in counts:
-                    word = blob[at : at + n]
-                    at += n
-                    got = known.get(word)
-                    if got is None:
-                        got = known[word] = array("I", encode_word(word.decode())).tobytes()
-                    ids.append(got)
-                    lens.append(len(got) >> 2)
-                raw = b"".join(ids)
-                out.append({"block": block, "bucket": bucket, "lens": lens, "size": len(raw), "packed": _pack(raw)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("lens", pa.list_(pa.int64())), ("size", pa.int64()), ("packed", pa.binary())]))
+        out = []
+        for row in words.filter(pc.equal(words.column("kind"), WORDS)).to_pylist():
+            blob, at, ids = _unpack(row["packed"], row["size"]), 0, []
+            for n in row["counts"]:
+                word = blob[at : at + n]
+                at += n
+                got = known.get(word)
+                if got is None:
+                    got = known[word] = array("I", encode_word(word.decode())).tobytes()
+                ids.append(got)
+            raw = b"".join(ids)
+            out.append({"key": row["block"], "bucket": row["bucket"], "lens": [len(x) >> 2 for x in ids], "size": len(raw), "packed": _pack(raw)})
+        return pa.Table.from_pylist(out, pa.schema([("key", pa.string()), ("bucket", pa.int32()), ("lens", pa.list_(pa.int64())), ("size", pa.int64()), ("packed", pa.binary())]))
 
     return run
 
@@ -251,7 +249,7 @@ def _assembled(vocabulary: Broadcast, outputs: tuple[str, ...]):
         said = [" ".join(shown[a:b]) for a, b in zip(bounds, bounds[1:])]
         spelt = [b"".join(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
         cols: dict[str, list] = {k: [] for k in ("doc_id", *outputs)}
-        for row in sequences.select(["ids", "counts", "size", "packed"]).to_pylist():
+        for row in sequences.filter(pc.equal(sequences.column("kind"), SEQUENCES)).select(["ids", "counts", "size", "packed"]).to_pylist():
             raw = _unpack(row["packed"], row["size"])
             total = sum(row["counts"])
             seq = np.frombuffer(raw, np.uint16 if total and len(raw) == 2 * total else np.uint32)
@@ -309,13 +307,11 @@ def encode(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...] = ("n
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
     vocabulary = spark.sparkContext.broadcast(load_ranks(vocabulary_path))
-    scratch = c.Scratch(spark, "bpe")
-    blocks = scratch.save(source.mapInArrow(_cut(int(buckets)), _BLOCK_SCHEMA), "blocks")
-    words = blocks.where(F.col("kind") == WORDS).select("block", "bucket", "counts", "size", "packed")
-    ids = words.groupBy("bucket").applyInArrow(_encoded(vocabulary), "block string, bucket int, lens array<long>, size long, packed binary")
-    sequences = blocks.where(F.col("kind") == SEQUENCES).select("block", "ids", "counts", "size", "packed")
+    # Both groupings have one key column over one child, so Spark makes a single exchange of them.
+    rows = source.mapInArrow(_cut(int(buckets)), _BLOCK_SCHEMA)
+    ids = rows.groupBy("key").applyInArrow(_encoded(vocabulary), "key string, bucket int, lens array<long>, size long, packed binary")
     schema = ", ".join(["doc_id long", *(f"{k} {_SQL_TYPE[k]}" for k in outputs)])
-    return sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assembled(vocabulary, tuple(outputs)), schema)
+    return rows.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(_assembled(vocabulary, tuple(outputs)), schema)
 
 
 def digests(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
