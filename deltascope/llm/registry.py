@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from deltascope.llm import byte_bpe, decontaminate, line_dedup, quality_rules
+from deltascope.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op5_ngram_join": ngram_join.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_rules": quality_rules.query,
     "op9_line_dedup": line_dedup.query,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }
