@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltascope.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
+from deltascope.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_rules": quality_rules.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 
 ORACLES = {
