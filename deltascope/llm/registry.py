@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from deltascope.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, suffix_dedup
+from deltascope.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_quality_classifier": quality_classifier.query,
     "op5_ngram_join": ngram_join.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_toxicity": toxicity.query,
     "op9_line_dedup": line_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
+    "op2_quality_classifier": quality_classifier.query,
     "op5_ngram_join": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }

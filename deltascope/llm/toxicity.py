@@ -84,7 +84,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.threshold[None, :], -40, 40)))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 1000, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of a cumulative-link model by gradient descent (Adam)."""
     n = len(grade)
     above = np.stack([grade >= k for k in range(1, GRADES + 1)], 1).astype(float)
@@ -109,7 +109,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.n
         by_cut = by_cut[1:-1]
         grad = np.r_[np.bincount(col, value * by_score[row], n_features) - ridge * w, by_cut.sum(), [gaps[k] * by_cut[k + 1 :].sum() for k in range(GRADES - 1)]]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     gaps = np.exp(theta[n_features + 1 :])
     return theta[:n_features], theta[n_features] + np.r_[0, np.cumsum(gaps)]
 
