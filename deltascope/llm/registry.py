@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from deltascope.llm import byte_bpe, decontaminate, html_text, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
+from deltascope.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_quality_classifier": quality_classifier.query,
+    "op3_license_scan": license_scan.query,
     "op4_html_text": html_text.query,
     "op5_ngram_join": ngram_join.query,
     "op6_byte_bpe": byte_bpe.query,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_quality_classifier": quality_classifier.query,
+    "op3_license_scan": license_scan.query,
     "op4_html_text": html_text.query,
     "op5_ngram_join": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
