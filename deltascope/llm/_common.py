@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 2 << 20
+#: Bytes of one Arrow batch while a scratch table is written.
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +38,26 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
         self.spark = spark
+        self.tables: list[str] = []
         self.base = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
+        """Write and read again; a table bucketed by a column joins on it without a shuffle."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, ARROW_BYTES)
+        try:
+            if bucket_by is None:
+                df.write.mode("overwrite").parquet(path)
+                return self.spark.read.schema(df.schema).parquet(path)
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            table = f"scratch_{uuid.uuid4().hex}"
+            df.repartition(n, bucket_by).write.bucketBy(n, bucket_by).sortBy(bucket_by).option("path", path).format("parquet").saveAsTable(table)
+            self.tables.append(table)
+            return self.spark.table(table)
+        finally:
+            self.spark.conf.set(key, before)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later read needs."""
@@ -50,6 +66,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_tables(self) -> None:
+        """Forget the bucketed tables; ``drop`` deletes their files."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
     def release(self) -> None:
         """Let Spark's cleaner remove shuffle files of finished jobs."""
         import gc

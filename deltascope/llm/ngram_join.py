@@ -12,7 +12,7 @@ those might agree is also put in the tiles of its empty parts.)
 In a tile the bit counts of hashed bitmaps bound the overlap from above, sizes
 and bitmaps reject most pairs, and the rest are intersected exactly.
 
-Equal sets are one node.  Each tile first links its members with its least one (a
+Equal sets are one node, named by a 64-bit hash.  Each tile first links its members with its least one (a
 star, never all pairs); where members stay in different components, each member
 outside the largest is compared with those of other components.  So no link
 between components is missed, and a tight group of copies costs a row a copy.
@@ -102,8 +102,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
     return out
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    return int(c.mix(s).sum(dtype=np.uint64).astype(np.int64)), int(c.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+def set_hash(s: np.ndarray) -> int:
+    """The node of a set: a 64-bit hash of all its shingles."""
+    return int(c.mix(c.mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).astype(np.int64)[0])
 
 
 def tiles(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -145,24 +146,20 @@ def most_common(a: int, b: int, bits_a: bytes, bits_b: bytes) -> int:
 # ---------------------------------------------------------------- stages over texts
 
 
-def _measure(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in c.text_slices(batches):
-            sets = shingle_sets(data, offsets)
-            keys = [set_hash(s) if len(s) else (None, None) for s in sets]
-            cols = [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2"])
-
-    return run
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in c.text_slices(batches):
+        sets = shingle_sets(data, offsets)
+        nodes = [set_hash(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
 
 
 def _tile_rows(percent: int, buckets: int):
-    """Packed (signature, document) entries of blocks of documents, by bucket."""
+    """Packed (signature, node) entries of blocks of documents, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -175,16 +172,16 @@ def _tile_rows(percent: int, buckets: int):
                 edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
                 stop = np.r_[edge[1:], len(bucket)]
                 spans = list(zip(edge, stop, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int64()), c.binary_rows([sign[a:b].tobytes() for a, b in spans]), c.binary_rows([doc[a:b].tobytes() for a, b in spans])], names=["bucket", "signs", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int64()), c.binary_rows([sign[a:b].tobytes() for a, b in spans]), c.binary_rows([doc[a:b].tobytes() for a, b in spans])], names=["bucket", "signs", "nodes"])
             signs, ids, seen, held = [], [], set(), 0
 
         for rows, data, offsets in c.text_slices(batches):
-            for doc, s in zip(rows.column(0).to_pylist(), shingle_sets(data, offsets), strict=True):
-                if len(s) and (key := set_hash(s)) not in seen:
-                    seen.add(key)
+            for s in shingle_sets(data, offsets):
+                if len(s) and (node := set_hash(s)) not in seen:
+                    seen.add(node)
                     sign = tiles(s, percent)
                     signs.append(sign)
-                    ids.append(np.full(len(sign), doc, np.int64))
+                    ids.append(np.full(len(sign), node, np.int64))
             held += len(data)
             if held >= BLOCK_BYTES:
                 yield from flush()
@@ -194,20 +191,28 @@ def _tile_rows(percent: int, buckets: int):
 
 
 def _tile_members(table: pa.Table) -> pa.Table:
-    """(tile, document) of each tile of a bucket that has two or more documents."""
+    """(tile, node, head) of the members of each tile of a bucket that has two nodes or more; head is the least."""
     sign = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("signs")])
-    doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
+    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")])
     order = np.argsort(sign, kind="stable")
-    sign, doc = sign[order], doc[order]
+    sign, node = sign[order], node[order]
     same = np.r_[False, sign[1:] == sign[:-1], False]
     shared = same[1:] | same[:-1]
-    return pa.table({"tile": sign[shared].astype(np.int64), "doc_id": doc[shared]})
+    sign, node = sign[shared], node[shared]
+    order = np.lexsort((node, sign))
+    sign, node = sign[order], node[order]
+    new = np.r_[True, (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])][: len(sign)]
+    sign, node = sign[new], node[new]
+    edge = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]][: len(sign)])
+    size = np.diff(np.r_[edge, len(sign)])
+    keep = np.repeat(size > 1, size)
+    return pa.table({"tile": sign[keep].astype(np.int64), "node": node[keep], "head": np.repeat(node[edge], size)[keep]})
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in c.text_slices(batches):
         sets = shingle_sets(data, offsets)
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), c.binary_rows([bitmap(s) for s in sets]), c.binary_rows([s.tobytes() for s in sets])], names=["id", "n", "bits", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), c.binary_rows([bitmap(s) for s in sets]), c.binary_rows([s.tobytes() for s in sets])], names=["id", "n", "bits", "shingles"])
 
 
 # ---------------------------------------------------------------- pairs
@@ -245,7 +250,7 @@ def _across(percent: int):
     """Pairs of a tile in different components that sizes and bitmaps allow."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        doc, comp, n = (table.column(x).to_numpy() for x in ("doc_id", "comp", "n"))
+        doc, comp, n = (table.column(x).to_numpy() for x in ("node", "comp", "n"))
         names, code, count = np.unique(comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(code != np.argmax(count))
         bits = table.column("bits").to_pylist()
@@ -315,23 +320,15 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // BUCKET_BYTES))
 
-    own = scratch.save(texts.mapInArrow(_measure(percent), "doc_id long, n long, h1 long, h2 long"), "own")
-    nodes = scratch.save(own.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "nodes")
-    named = scratch.save(own.join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "named")
-    scratch.drop("own", "nodes")
-
-    packed = texts.mapInArrow(_tile_rows(percent, buckets), "bucket long, signs binary, docs binary")
-    members = packed.groupBy("bucket").applyInArrow(_tile_members, "tile long, doc_id long")
-    of = named.select("doc_id", "node").distinct()
-    members = scratch.save(members, "entries").join(of, "doc_id").select("tile", F.col("node").alias("doc_id")).distinct()
-    members = scratch.save(members, "members")
-    scratch.drop("entries")
+    own = scratch.save(texts.mapInArrow(_measure, "doc_id long, n long, node long"), "own")
+    packed = texts.mapInArrow(_tile_rows(percent, buckets), "bucket long, signs binary, nodes binary")
+    members = scratch.save(packed.groupBy("bucket").applyInArrow(_tile_members, "tile long, node long, head long"), "members")
     scratch.release()
-
-    heads = members.groupBy("tile").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("a < last")
-    stars = scratch.save(members.join(heads.select("tile", "a"), "tile").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = scratch.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, n long, bits binary, shingles binary"), "sets")
+    stars = scratch.save(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    wanted = own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    rows = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, n long, bits binary, shingles binary")
+    sets = scratch.save(rows, "sets", bucket_by="id")
     scratch.release()
 
     # stars: bitmaps first, then one exact test a document, then those still apart
@@ -348,17 +345,22 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch.release()
 
     # tiles whose members are still apart: all pairs across components, but for those of the largest
-    placed = members.join(comp, F.col("doc_id") == F.col("id"), "left").select("tile", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    placed = scratch.save(placed, "placed")
+    placed = members.join(comp, F.col("node") == F.col("id"), "left").select("tile", "node", F.coalesce("comp", "node").alias("comp"))
     apart = placed.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("tile")
-    open_tiles = placed.join(apart, "tile", "left_semi").join(light, F.col("doc_id") == F.col("id")).select("tile", "doc_id", "comp", "n", "bits")
+    open_tiles = scratch.save(placed.join(apart, "tile", "left_semi"), "open")
+    scratch.release()
+    open_tiles = open_tiles.join(light, F.col("node") == F.col("id")).select("tile", "node", "comp", "n", "bits")
     pairs = open_tiles.groupBy("tile").applyInArrow(_across(percent), _PAIR).distinct()
     pairs = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), "links2")
-    comp = scratch.save(components(links, scratch, "comp2"), "comp")
-    scratch.drop("members", "placed", "stars", "likely", "pairs", "sets", "links0", "links1")
+    found = components(links, scratch, "comp2")
+    named = own.join(found, F.col("node") == F.col("id"), "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    named = scratch.save(named, "named")
+    heads = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("head"))
+    scratch.drop_tables()
+    scratch.drop("own", "members", "stars", "sets", "likely", "open", "pairs", "links0", "links1", "links2")
     scratch.release()
-    return named.join(comp, F.col("node") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
+    return named.join(heads, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
