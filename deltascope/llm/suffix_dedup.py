@@ -42,9 +42,11 @@ WIDTH = LENGTH - GRAM + 1
 SEGMENT_WINDOWS = 64
 BLOCK_BYTES = 2 << 20
 ANCHOR_BUCKET_BYTES = 32 << 20
-SEGMENT_BUCKET_BYTES = 8 << 20
+SEGMENT_BUCKET_BYTES = 4 << 20
 #: Bytes of segments in one suffix array (more only for a single anchor).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of rows whose windows are named at a time (more only for a single row).
+PIECE_BYTES = 1 << 19
 
 _ONE, _TWO = c.byte_values(seed=61), c.byte_values(seed=62)
 
@@ -62,8 +64,18 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[order], data, offsets
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Maximal stretches of windows with one anchor: anchor, row, first window, windows."""
+    out, a = [], 0
+    while a < len(offsets) - 1:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, side="right")) - 1)
+        anchor, row, start, count = _stretches(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+        out.append((anchor, row + a, start + offsets[a], count))
+        a = z
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3]
+
+
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
