@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from deltascope.llm import _common as c
 
 #: Most labelled rows that a model is fitted on.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 #: Most features that a model has.
-MAX_FEATURES = 4096
+MAX_FEATURES = 2048
 MIN_DOCS = 4
 BEGINNING = 5
 GRADES = 3
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     both = counts.groupBy("feature").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y")).where(F.col("x") + F.col("y") >= MIN_DOCS)
     odds = F.log((F.col("x") + 0.5) / (bad - F.col("x") + 0.5)) - F.log((F.col("y") + 0.5) / (total - bad - F.col("y") + 0.5))
     error = F.sqrt(1 / (F.col("x") + 0.5) + 1 / (F.col("y") + 0.5))
-    best = both.withColumn("z", odds / error).where(F.abs("z") > 3).orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES)
+    best = both.withColumn("z", odds / error).where(F.abs("z") > 4).orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES)
     table = best.select("feature", "z", odds.alias("odds")).toPandas().sort_values("feature")
     if table.empty:
         return none
