@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from deltascope.plans import catalog
@@ -21,7 +22,7 @@ def engine():
 
 def plain(df):
     def one(x):
-        return "" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else str(x)
+        return "" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x)
 
     return sorted(tuple(one(x) for x in row) for row in df[sorted(df.columns)].itertuples(index=False))
 
