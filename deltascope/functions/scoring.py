@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,27 +29,28 @@ def text_lines(text: Column) -> Column:
 
 
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\r\v\f"))
 
 
 def line_set(lines: Column) -> Column:
     return F.filter(F.transform(lines, stripped), lambda x: x != "")
 
 
-def class_name(text: Column, syntax: Column, functional: Column) -> Column:
-    return F.concat_ws("+", F.when(text, "text"), F.when(syntax, "syntax"), F.when(functional, "functional"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def classify(before: Column, after: Column, structural: Column) -> Column:
     """The class of a change from its old and new text, by the lines only one side has."""
-    a, b = line_set(text_lines(before)), line_set(text_lines(after))
-    differ = F.concat(F.array_except(a, b), F.array_except(b, a))
-    comment = F.exists(differ, p.is_comment)
-    syntax = F.exists(differ, lambda x: ~p.is_comment(x) & p.is_signature(x))
-    functional = F.exists(differ, lambda x: ~p.is_comment(x) & ~p.is_signature(x))
+    sides = F.struct(line_set(text_lines(before)).alias("a"), line_set(text_lines(after)).alias("b"))
+    differ = let(sides, lambda s: F.concat(F.array_except(s["a"], s["b"]), F.array_except(s["b"], s["a"])))
+    kind = lambda x: F.when(p.is_comment(x), 1).when(p.is_signature(x), 2).otherwise(4)
+    bits = F.aggregate(differ, F.lit(0), lambda seen, x: seen.bitwiseOR(kind(x)))
     empty = (F.coalesce(before, F.lit("")) == "") | (F.coalesce(after, F.lit("")) == "")
     reordered = F.when(stripped(before) != stripped(after), "functional").otherwise("text")
-    return F.when(empty, "functional").when(p.is_cosmetic(structural), "text").when(F.size(differ) == 0, reordered).otherwise(class_name(comment, syntax, functional))
+    by_bits = F.array(reordered, *map(F.lit, ("text", "syntax", "text+syntax", "functional", "text+functional", "syntax+functional", "text+syntax+functional")))
+    return F.when(empty, "functional").when(p.is_cosmetic(structural), "text").otherwise(F.element_at(by_bits, bits + 1))
 
 
 def risk_score(classification: Column, change: Column, public: Column, blast: Column, total: Column, dependents: Column, structural: Column) -> Column:
