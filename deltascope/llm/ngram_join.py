@@ -14,7 +14,8 @@ and bitmaps reject most pairs, and the rest are intersected exactly.
 
 Equal sets are one node, named by a 64-bit hash.  Each tile first links its members with its least one (a
 star, never all pairs); where members stay in different components, each member
-outside the largest is compared with those of other components.  So no link
+outside the largest is compared with its likeliest partner elsewhere, and, where
+that leaves them apart, with all members of other components.  So no link
 between components is missed, and a tight group of copies costs a row a copy.
 
 Cases: null and wordless texts are empty and linked with nothing; under four
@@ -246,8 +247,8 @@ def _intersected(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of a tile in different components that sizes and bitmaps allow."""
+def _across(percent: int, best_only: bool):
+    """Pairs of a tile in different components that sizes and bitmaps allow; or each member's likeliest one."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         doc, comp, n = (table.column(x).to_numpy() for x in ("node", "comp", "n"))
@@ -263,16 +264,19 @@ def _across(percent: int):
             near = np.flatnonzero((code != code[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             if not len(near):
                 continue
+            found: list[tuple[float, int]] = []
             for w in np.unique(np.minimum(width[near], width[i])).tolist():
                 own = near[np.minimum(width[near], width[i]) == w]
                 if w not in by_width:
                     by_width[w] = np.bitwise_or.reduce(wide.reshape(len(wide), -1, w // 8), axis=1)
                 differ = np.bitwise_count(by_width[w][own] ^ by_width[w][i]).sum(axis=1, dtype=np.int64)
                 most = np.minimum((n[own] + n[i] - differ) // 2, np.minimum(n[own], n[i]))
-                for j in own[100 * most >= percent * (n[own] + n[i] - most)].tolist():
-                    out.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
+                likely = 100 * most >= percent * (n[own] + n[i] - most)
+                found += [(m / (n[j] + n[i] - m), int(doc[j])) for m, j in zip(most[likely].tolist(), own[likely].tolist(), strict=True)]
+            for _, other in [max(found)] if best_only and found else found:
+                out.add((min(int(doc[i]), other), max(int(doc[i]), other)))
         pairs = sorted(out)
-        return pa.table({"a": pa.array([int(x) for x, _ in pairs], pa.int64()), "b": pa.array([int(x) for _, x in pairs], pa.int64())})
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
 
     return run
 
@@ -344,21 +348,28 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = components(links, scratch, "comp1")
     scratch.release()
 
-    # tiles whose members are still apart: all pairs across components, but for those of the largest
-    placed = members.join(comp, F.col("node") == F.col("id"), "left").select("tile", "node", F.coalesce("comp", "node").alias("comp"))
-    apart = placed.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("tile")
-    open_tiles = scratch.save(placed.join(apart, "tile", "left_semi"), "open")
-    scratch.release()
-    open_tiles = open_tiles.join(light, F.col("node") == F.col("id")).select("tile", "node", "comp", "n", "bits")
-    pairs = open_tiles.groupBy("tile").applyInArrow(_across(percent), _PAIR).distinct()
-    pairs = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), "links2")
-    found = components(links, scratch, "comp2")
+    # tiles whose members are still apart: each member with its likeliest partner, then all pairs
+    # across components, but for those of the largest, that are left
+    tested = stars
+    for k, best_only in ((2, True), (3, False)):
+        placed = members.join(comp, F.col("node") == F.col("id"), "left").select("tile", "node", F.coalesce("comp", "node").alias("comp"))
+        apart = placed.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("tile")
+        open_tiles = scratch.save(placed.join(apart, "tile", "left_semi"), f"open{k}")
+        scratch.release()
+        rows = open_tiles.join(light, F.col("node") == F.col("id")).select("tile", "node", "comp", "n", "bits")
+        pairs = rows.groupBy("tile").applyInArrow(_across(percent, best_only), _PAIR).distinct()
+        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
+        tested = tested.unionByName(pairs)
+        links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), f"links{k}")
+        comp = components(links, scratch, f"comp{k}")
+        scratch.drop(f"open{k}")
+        scratch.release()
+    found = comp
     named = own.join(found, F.col("node") == F.col("id"), "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     named = scratch.save(named, "named")
     heads = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("head"))
     scratch.drop_tables()
-    scratch.drop("own", "members", "stars", "sets", "likely", "open", "pairs", "links0", "links1", "links2")
+    scratch.drop("own", "members", "stars", "sets", "likely", "pairs2", "pairs3", "links0", "links1", "links2", "links3")
     scratch.release()
     return named.join(heads, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
 
