@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltascope.functions import parsing
 from deltascope.functions import predicates as p
 from deltascope.functions import scoring as s
-from deltascope.operators import diff, funnel, graph, judge, triage
+from deltascope.operators import diff, funnel, graph, judge, reviewer, triage
 from deltascope.sources import tables as t
 from deltascope.streaming import jobs
 
@@ -571,3 +572,42 @@ def active_keys(spark, sf_dir):
 @query("SELECT user_id AS job_id, max_by(event_type, struct_pack(a := ts, b := event_id)) AS status, max(ts)::VARCHAR AS at FROM events GROUP BY user_id")
 def job_latest_status(spark, sf_dir):
     return jobs.latest_status(t.table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_type AS status", "ts AS at", "event_id AS seq")).withColumn("at", F.col("at").cast("string"))
+
+
+# ---------------------------------------------------------------- texts of reviewers
+
+
+@query(f"SELECT pos, file, line, 0::BIGINT AS end_line, issue AS description, 3::BIGINT AS confidence FROM ({FOUND})")
+def parse_findings_json(spark, sf_dir):
+    text = F.concat(F.lit("Found: ["), F.to_json(F.struct(F.col("file").alias("path"), F.col("line").alias("from_line"), F.col("issue").alias("message"))), F.lit(", 7] done"))
+    rows = t.findings(spark, sf_dir).select("pos", F.explode(parsing.findings(text)).alias("x"))
+    return rows.select("pos", "x.*")
+
+
+@query(f"SELECT pos, file, line, line + 3 AS end_line, '[' || severity || '] ' || issue AS description FROM ({FOUND})")
+def parse_report_blocks(spark, sf_dir):
+    line = F.col("line").cast("string")
+    text = F.concat(F.lit("Report\nFile: "), "file", F.lit("\nLine: "), line, F.lit(" to "), (F.col("line") + 3).cast("string"), F.lit("\nType: "), "severity", F.lit("\n\nComment:\n"), "issue", F.lit("\n\nMore."))
+    rows = t.findings(spark, sf_dir).select("pos", F.explode(parsing.report_blocks(text)).alias("x"))
+    return rows.select("pos", "x.*")
+
+
+@query(f"WITH {SCORED} SELECT risk_level AS verdict, count(*) AS n FROM scored GROUP BY risk_level")
+def review_verdict_counts(spark, sf_dir):
+    """Answers of an offline reviewer that repeats the level it was shown."""
+    rows = scored(spark, sf_dir).select("entity_id", F.concat(F.lit('{"verdict": "'), "risk_level", F.lit('"}')).alias("answer"))
+    return reviewer.verdict_counts(rows.select("entity_id", parsing.model_verdict(F.col("answer"))["verdict"].alias("verdict")))
+
+
+@query(f"SELECT user_id AS pr_id, lens AS lens_idx, count(*) AS n FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(0, {len(reviewer.LENSES)})) AS lens) GROUP BY 1, 2")
+def lens_calls(spark, sf_dir):
+    prs = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("pr_id")).distinct()
+    return reviewer.lens_calls(prs).groupBy("pr_id", F.col("lens_idx").cast("long").alias("lens_idx")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT pr_id, count(pos) AS n_candidates FROM (SELECT DISTINCT user_id AS pr_id FROM events) LEFT JOIN (SELECT * FROM ({FOUND}) WHERE pr_id % 3 <> 0) USING (pr_id) GROUP BY pr_id")
+def export_candidates(spark, sf_dir):
+    """Every pull request with its findings as one array, empty where a tool has none."""
+    urls = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("url")).distinct()
+    found = t.findings(spark, sf_dir).where("pr_id % 3 <> 0").withColumnRenamed("pr_id", "url")
+    return reviewer.candidates(urls, found).select(F.col("url").alias("pr_id"), F.size("candidates").cast("long").alias("n_candidates"))
