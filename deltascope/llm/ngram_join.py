@@ -1,6 +1,7 @@
 """Exact Jaccard join of documents on word shingles, and its components.
 
-A document is the set of its distinct 4-word shingles (64-bit hashes, sorted).
+A document is the set of its distinct 4-word shingles (64-bit hashes, sorted); callers
+may set another width and threshold.
 Sizes fall in bands that widen by 1/0.85, so that two linked documents lie in one
 band or in neighbours.  Within a band two linked sets differ in at most D
 shingles; the hash range is cut into more than D parts, and so at least one part
@@ -18,8 +19,8 @@ outside the largest is compared with its likeliest partner elsewhere, and, where
 that leaves them apart, with all members of other components.  So no link
 between components is missed, and a tight group of copies costs a row a copy.
 
-Cases: null and wordless texts are empty and linked with nothing; under four
-words the whole sequence is the one shingle; repeated rows and equal texts are
+Cases: null and wordless texts are empty and linked with nothing; under that
+many words the whole sequence is the one shingle; repeated rows and equal texts are
 linked (100 % overlap); an empty table gives an empty result; further columns are
 ignored.
 
@@ -147,14 +148,19 @@ def most_common(a: int, b: int, bits_a: bytes, bits_b: bytes) -> int:
 # ---------------------------------------------------------------- stages over texts
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in c.text_slices(batches):
-        sets = shingle_sets(data, offsets)
-        nodes = [set_hash(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
+def _measure(k: int):
+    """Size and node of the set of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in c.text_slices(batches):
+            sets = shingle_sets(data, offsets, k)
+            nodes = [set_hash(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
+
+    return run
 
 
-def _tile_rows(percent: int, buckets: int):
+def _tile_rows(k: int, percent: int, buckets: int):
     """Packed (signature, node) entries of blocks of documents, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +183,7 @@ def _tile_rows(percent: int, buckets: int):
             signs, ids, seen, held = [], [], set(), 0
 
         for rows, data, offsets in c.text_slices(batches):
-            for s in shingle_sets(data, offsets):
+            for s in shingle_sets(data, offsets, k):
                 if len(s) and (node := set_hash(s)) not in seen:
                     seen.add(node)
                     sign = tiles(s, percent)
@@ -210,10 +216,15 @@ def _tile_members(table: pa.Table) -> pa.Table:
     return pa.table({"tile": sign[keep].astype(np.int64), "node": node[keep], "head": np.repeat(node[edge], size)[keep]})
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in c.text_slices(batches):
-        sets = shingle_sets(data, offsets)
-        yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), c.binary_rows([bitmap(s) for s in sets]), c.binary_rows([s.tobytes() for s in sets])], names=["id", "n", "bits", "shingles"])
+def _set_rows(k: int):
+    """Size, bitmap and hashes of the set of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in c.text_slices(batches):
+            sets = shingle_sets(data, offsets, k)
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), c.binary_rows([bitmap(s) for s in sets]), c.binary_rows([s.tobytes() for s in sets])], names=["id", "n", "bits", "shingles"])
+
+    return run
 
 
 # ---------------------------------------------------------------- pairs
@@ -316,22 +327,22 @@ def _across_components(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document, by shingles of ``k`` words."""
     spark = docs.sparkSession
     scratch = c.Scratch(spark, "ngrams")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // BUCKET_BYTES))
 
-    own = scratch.save(texts.mapInArrow(_measure, "doc_id long, n long, node long"), "own")
-    packed = texts.mapInArrow(_tile_rows(percent, buckets), "bucket long, signs binary, nodes binary")
+    own = scratch.save(texts.mapInArrow(_measure(k), "doc_id long, n long, node long"), "own")
+    packed = texts.mapInArrow(_tile_rows(k, percent, buckets), "bucket long, signs binary, nodes binary")
     members = scratch.save(packed.groupBy("bucket").applyInArrow(_tile_members, "tile long, node long, head long"), "members")
     scratch.release()
     stars = scratch.save(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     wanted = own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "id long, n long, bits binary, shingles binary")
+    rows = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(k), "id long, n long, bits binary, shingles binary")
     sets = scratch.save(rows, "sets", bucket_by="id")
     scratch.release()
 
@@ -351,18 +362,18 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # tiles whose members are still apart: each member with its likeliest partner, then all pairs
     # across components, but for those of the largest, that are left
     tested = stars
-    for k, best_only in ((2, True), (3, False)):
+    for step, best_only in ((2, True), (3, False)):
         placed = members.join(comp, F.col("node") == F.col("id"), "left").select("tile", "node", F.coalesce("comp", "node").alias("comp"))
         apart = placed.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("tile")
-        open_tiles = scratch.save(placed.join(apart, "tile", "left_semi"), f"open{k}")
+        open_tiles = scratch.save(placed.join(apart, "tile", "left_semi"), f"open{step}")
         scratch.release()
         rows = open_tiles.join(light, F.col("node") == F.col("id")).select("tile", "node", "comp", "n", "bits")
         pairs = rows.groupBy("tile").applyInArrow(_across(percent, best_only), _PAIR).distinct()
-        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
+        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{step}")
         tested = tested.unionByName(pairs)
-        links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), f"links{k}")
-        comp = components(links, scratch, f"comp{k}")
-        scratch.drop(f"open{k}")
+        links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), f"links{step}")
+        comp = components(links, scratch, f"comp{step}")
+        scratch.drop(f"open{step}")
         scratch.release()
     found = comp
     named = own.join(found, F.col("node") == F.col("id"), "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
@@ -374,9 +385,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return named.join(heads, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each class, the one with the least doc_id, with its own columns."""
-    found = classes(docs, percent)
+    found = classes(docs, k, percent)
     heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
     return docs.join(heads, docs["doc_id"].cast("long") == F.col("__head"), "left_semi")
 

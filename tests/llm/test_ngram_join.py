@@ -77,3 +77,17 @@ def test_linked_sets_share_a_tile():
         if len(b) and j.linked(both, len(a), len(b)):
             assert len(np.intersect1d(j.tiles(a), j.tiles(b)))
             assert j.most_common(len(a), len(b), j.bitmap(a), j.bitmap(b)) >= both
+
+
+def test_other_widths_and_thresholds(spark):
+    docs = corpus(5)
+    words = {i: re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower()) for i, t in docs}
+    sets = {i: {tuple(w[x : x + 5]) for x in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    comp = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+            x, y = sorted((comp[a], comp[b]))
+            comp = {i: x if v == y else v for i, v in comp.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.classes(df, k=5, percent=80).collect()} == {i: (len(s), comp[i]) for i, s in sets.items()}

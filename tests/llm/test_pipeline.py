@@ -39,3 +39,14 @@ def test_stages_carry_out_their_decisions(spark, tmp_path):
     assert gone[0] == {103, 104} and gone[1] == {100} and gone[2] == {101, 102} and gone[3] == {105} and not gone[4]
     ran = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ran == {tuple(r) for r in docs.collect()}
+
+
+def test_near_duplicate_stage_takes_five_words_at_four_fifths(spark, tmp_path):
+    base = [f"w{i}" for i in range(100)]
+    near = base[:40] + [f"x{i}" for i in range(6)] + base[46:]  # 86/106 of 5-word shingles, 88/106 of 4-word ones
+    apart = [f"y{i}" for i in range(100)]
+    far = apart[:40] + [f"z{i}" for i in range(7)] + apart[47:]  # 85/107
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((base, near, apart, far))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert sorted(r.doc_id for r in stage(spark, df, str(tmp_path)).collect()) == [0, 2, 3]
