@@ -144,7 +144,7 @@ _TRIAGE_COLUMNS = ["entity_id", "entity_name", "file_path", "change_type", "clas
 
 @query(f"WITH {SCORED} SELECT {', '.join(_TRIAGE_COLUMNS)}, round(risk_score, 6) AS risk_score FROM ranked WHERE risk_rank >= 1 ORDER BY review_rank LIMIT 200")
 def triage_query(spark, sf_dir):
-    rows = scored(spark, sf_dir).where(p.at_least(F.col("risk_rank"), "medium")).orderBy(F.desc("risk_score"), "change_seq").limit(200)
+    rows = scored(spark, sf_dir).where(p.at_least(F.col("risk_rank"), "medium")).orderBy(F.desc("risk_score"), "change_seq")
     return rows.select(*_TRIAGE_COLUMNS, F.round("risk_score", 6).alias("risk_score"))
 
 
