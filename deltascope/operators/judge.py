@@ -9,6 +9,8 @@ from deltascope.functions import predicates as p
 
 # Identifier patterns, and words that are no identifiers.
 IDENTIFIER_PATTERNS = (r"\b[A-Z][a-zA-Z0-9]+(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*\b", r"\b[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b", r"\b[a-z_][a-z0-9_]+\b")
+#: The same word boundaries in any Java version and in Python: letters and digits of any script belong to words.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 QUOTED_PATTERNS = (r"`([^`]+)`", r"'([^']+)'")
 STOP_WORDS = tuple(
     """the this that with from will can may should could would not but and for has have been being are was were because
@@ -24,7 +26,8 @@ STOP_WORDS = tuple(
 
 def identifiers(text: Column) -> Column:
     """Distinct likely code identifiers of a text, of three characters or more."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(x), 0) for x in IDENTIFIER_PATTERNS), *(F.regexp_extract_all(text, F.lit(x), 1) for x in QUOTED_PATTERNS)))
+    words = [_BEFORE + x.removeprefix(r"\b").removesuffix(r"\b") + _AFTER for x in IDENTIFIER_PATTERNS]
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(x), 0) for x in words), *(F.regexp_extract_all(text, F.lit(x), 1) for x in QUOTED_PATTERNS)))
     stop = F.array(*map(F.lit, STOP_WORDS))
     return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 3) & ~F.array_contains(stop, F.lower(x))))
 

@@ -475,8 +475,9 @@ def _ids(x: str) -> str:
 
 @query(f"SELECT doc_id, len(v)::BIGINT AS n, array_to_string(list_sort(v), ',') AS ids FROM (SELECT doc_id, {_ids('text')} AS v FROM documents WHERE {_ASCII})")
 def extract_identifiers(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    ids = judge.identifiers(F.col("text"))
+    """All documents; the SQL has only those in ASCII, as its word boundaries know no other letters."""
+    docs = t.table(spark, sf_dir, "documents")
+    ids = judge.identifiers(F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.size(ids).cast("long").alias("n"), F.array_join(F.array_sort(ids), ",").alias("ids"))
 
 
