@@ -33,3 +33,10 @@ def test_identifiers_of_documents_in_any_script(spark, tmp_path):
     got = {r.doc_id: (r.n, r.ids) for r in catalog.QUERIES["extract_identifiers"](spark, str(tmp_path)).collect()}
     want = {r.doc_id: identifiers(r.text) for r in rows}
     assert got == {i: (len(x), ",".join(x)) for i, x in want.items()}
+
+
+def test_names_come_from_all_findings(spark, tmp_path):
+    rows = [(1, 1, "purchase", 95.0), (37, 1, "purchase", 5.0), (2, 2, "view", 10.0), (74, 2, "click", 5.0), (111, 3, "click", 5.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.gold_id: r.verdict for r in catalog.QUERIES["judge_names"](spark, str(tmp_path)).collect()}
+    assert got == {37: "match", 74: "partial", 111: "miss"}
