@@ -19,9 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
-    "op2_quality_classifier": quality_classifier.query,
-    "op3_license_scan": license_scan.query,
-    "op4_html_text": html_text.query,
     "op5_ngram_join": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }
