@@ -13,20 +13,26 @@ those might agree is also put in the tiles of its empty parts.)
 In a tile the bit counts of hashed bitmaps bound the overlap from above, sizes
 and bitmaps reject most pairs, and the rest are intersected exactly.
 
-Equal sets are one node, named by a 64-bit hash.  Each tile first links its members with its least one (a
-star, never all pairs); where members stay in different components, each member
-outside the largest is compared with its likeliest partner elsewhere, and, where
-that leaves them apart, with all members of other components.  So no link
-between components is missed, and a tight group of copies costs a row a copy.
+Equal sets are one node, named by a 64-bit hash, and tiles with the same members
+are one list.  Each list first links its members with the one that meets others
+in the most tiles (a star, never all pairs); where members stay in different
+components, each member outside the largest is compared with its likeliest
+partner elsewhere, and, where that leaves them apart, with all members of other
+components.  So no link between components is missed, and a tight group of
+copies costs a row a copy.
 
 Cases: null and wordless texts are empty and linked with nothing; under that
 many words the whole sequence is the one shingle; repeated rows and equal texts are
-linked (100 % overlap); an empty table gives an empty result; further columns are
+linked (100 % overlap); rows without a doc_id are members too, but give no component
+its name (a component of such rows alone has none); an empty table gives an empty result; further columns are
 ignored.
 
-Scale: candidates travel packed by hash bucket; texts are shuffled once, for
-documents that share a tile; components come from min-label propagation with
-pointer jumping over links, all in tables on shared storage.
+Scale: one pass over the texts makes everything but the exact sets.  Signatures
+travel packed by bucket of tiles, as six bytes and a slot of their block; bitmaps
+of documents that share a tile follow by node; the texts are shuffled for pairs
+that pass the bitmaps.  Components come from min-label propagation with pointer
+jumping, all in tables on shared storage.  Last joins deal a hot node or component
+over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +54,9 @@ PERCENT = 85
 SHINGLE = 4
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of tiles.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+#: Tasks over which the rows of one key are dealt in the last joins.
+SALTS = 8
 
 _INSIDE = c.blank_words()
 _VALUES = c.byte_values(fold_case=True, seed=51)
@@ -128,8 +137,8 @@ def tiles(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """About eight bits a shingle, a power of two; halves fold onto each other."""
-    size = 1 << max(6, int(8 * len(s) - 1).bit_length())
+    """Four bits a shingle or more, a power of two; halves fold onto each other."""
+    size = 1 << max(6, int(4 * len(s) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -148,47 +157,75 @@ def most_common(a: int, b: int, bits_a: bytes, bits_b: bytes) -> int:
 # ---------------------------------------------------------------- stages over texts
 
 
-def _measure(k: int):
-    """Size and node of the set of each document."""
+#: Documents of a block whose sets differ; a signature names its set by a 16-bit slot of the block.
+SLOTS = 1 << 16
+#: Bytes of a signature on its way; equal ones of unequal parts only add candidates.
+SIGN_BYTES = 6
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in c.text_slices(batches):
-            sets = shingle_sets(data, offsets, k)
-            nodes = [set_hash(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
+_PACKED = "bucket long, block long, docs array<long>, sizes array<long>, nodes array<long>, slots array<long>, slot_sizes array<long>, bits array<binary>, signs binary, places binary"
+_FOUND = "kind int, doc_id long, n long, node long, place long, list long, weight long, bits binary"
+OWN, SLOT, LISTED = 0, 1, 2
+
+
+def _narrow(sign: np.ndarray) -> bytes:
+    return np.ascontiguousarray(sign).view(np.uint8).reshape(-1, 8)[:, :SIGN_BYTES].tobytes()
 
-    return run
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SIGN_BYTES, 8), np.uint8)
+    out[:, :SIGN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SIGN_BYTES)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _block_name(nodes: np.ndarray) -> int:
+    """47 bits over the sets of a block: equal blocks may share it, as their slots are equal."""
+    scale = c.mix(np.arange(1, len(nodes) + 1, dtype=np.uint64))
+    return int(c.mix((c.mix(nodes.astype(np.uint64)) * (scale | np.uint64(1))).sum(dtype=np.uint64, keepdims=True))[0] >> np.uint64(17))
 
 
 def _tile_rows(k: int, percent: int, buckets: int):
-    """Packed (signature, node) entries of blocks of documents, by bucket."""
+    """Blocks of documents: one row of sizes and nodes, and the signatures and slots by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("docs", "sizes", "nodes", "slots", "slot_sizes")), ("bits", pa.list_(pa.binary())), ("signs", pa.binary()), ("places", pa.binary())])
+        docs: list[int | None] = []
+        sizes: list[int] = []
+        nodes: list[int | None] = []
+        slots: dict[int, int] = {}
+        slot_sizes: list[int] = []
+        bits: list[bytes] = []
         signs: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        seen: set[int] = set()
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal signs, ids, seen, held
-            if signs:
-                sign, doc = np.concatenate(signs), np.concatenate(ids)
-                bucket = (sign % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                sign, doc, bucket = sign[order], doc[order], bucket[order]
-                edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
-                stop = np.r_[edge[1:], len(bucket)]
-                spans = list(zip(edge, stop, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int64()), c.binary_rows([sign[a:b].tobytes() for a, b in spans]), c.binary_rows([doc[a:b].tobytes() for a, b in spans])], names=["bucket", "signs", "nodes"])
-            signs, ids, seen, held = [], [], set(), 0
+            nonlocal docs, sizes, nodes, slots, slot_sizes, bits, signs, held
+            if docs:
+                block = _block_name(np.fromiter(slots, np.int64, len(slots)))
+                rows = [{"bucket": block % buckets, "block": block, "docs": docs, "sizes": sizes, "nodes": nodes, "slots": list(slots), "slot_sizes": slot_sizes, "bits": bits}]
+                if signs:
+                    sign = np.concatenate(signs) >> np.uint64(64 - 8 * SIGN_BYTES)
+                    place = np.repeat(np.arange(len(signs), dtype=np.uint16), [len(x) for x in signs])
+                    bucket = (sign % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    sign, place, bucket = sign[order], place[order], bucket[order]
+                    edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
+                    rows += [{"bucket": int(bucket[x]), "block": block, "signs": _narrow(sign[x:y]), "places": place[x:y].tobytes()} for x, y in zip(edge, np.r_[edge[1:], len(bucket)], strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+            docs, sizes, nodes, slots, slot_sizes, bits, signs, held = [], [], [], {}, [], [], [], 0
 
         for rows, data, offsets in c.text_slices(batches):
-            for s in shingle_sets(data, offsets, k):
-                if len(s) and (node := set_hash(s)) not in seen:
-                    seen.add(node)
-                    sign = tiles(s, percent)
-                    signs.append(sign)
-                    ids.append(np.full(len(sign), node, np.int64))
+            for doc, s in zip(rows.column(0).to_pylist(), shingle_sets(data, offsets, k), strict=True):
+                node = set_hash(s) if len(s) else None
+                docs.append(doc)
+                sizes.append(len(s))
+                nodes.append(node)
+                if node is not None and node not in slots:
+                    slots[node] = len(slots)
+                    slot_sizes.append(len(s))
+                    bits.append(bitmap(s))
+                    signs.append(tiles(s, percent))
+                if len(slots) == SLOTS:
+                    yield from flush()
             held += len(data)
             if held >= BLOCK_BYTES:
                 yield from flush()
@@ -197,32 +234,56 @@ def _tile_rows(k: int, percent: int, buckets: int):
     return run
 
 
-def _tile_members(table: pa.Table) -> pa.Table:
-    """(tile, node, head) of the members of each tile of a bucket that has two nodes or more; head is the least."""
-    sign = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("signs")])
-    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")])
+def _tile_lists(table: pa.Table) -> pa.Table:
+    """The documents and slots that came along, and the distinct member lists of the bucket's tiles.
+
+    A list (two places or more) is named by a hash of its places and weighs as many
+    tiles as have it, so that tiles with equal members cost one list.
+    """
+    none = np.zeros(0, np.int64)
+    out = []
+    for row in table.filter(pc.is_valid(table.column("docs"))).select(["block", "docs", "sizes", "nodes", "slots", "slot_sizes", "bits"]).to_pylist():
+        out.append(_found(OWN, len(row["docs"]), doc_id=row["docs"], n=row["sizes"], node=row["nodes"]))
+        out.append(_found(SLOT, len(row["slots"]), node=row["slots"], n=row["slot_sizes"], bits=row["bits"], place=(row["block"] << 16) + np.arange(len(row["slots"]))))
+    packed = table.filter(pc.is_valid(table.column("signs"))).select(["block", "signs", "places"]).to_pylist()
+    sign = np.concatenate([np.zeros(0, np.uint64), *(_wide(row["signs"]) for row in packed)])
+    place = np.concatenate([none, *((row["block"] << 16) + np.frombuffer(row["places"], np.uint16).astype(np.int64) for row in packed)])
+    del packed
     order = np.argsort(sign, kind="stable")
-    sign, node = sign[order], node[order]
+    sign, place = sign[order], place[order]
     same = np.r_[False, sign[1:] == sign[:-1], False]
-    shared = same[1:] | same[:-1]
-    sign, node = sign[shared], node[shared]
-    order = np.lexsort((node, sign))
-    sign, node = sign[order], node[order]
-    new = np.r_[True, (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])][: len(sign)]
-    sign, node = sign[new], node[new]
-    edge = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]][: len(sign)])
-    size = np.diff(np.r_[edge, len(sign)])
-    keep = np.repeat(size > 1, size)
-    return pa.table({"tile": sign[keep].astype(np.int64), "node": node[keep], "head": np.repeat(node[edge], size)[keep]})
+    shared = same[1:] | same[:-1] if len(sign) else np.zeros(0, bool)
+    sign, place = sign[shared], place[shared]
+    order = np.lexsort((place, sign))
+    sign, place = sign[order], place[order]
+    if len(sign):
+        new = np.r_[True, (sign[1:] != sign[:-1]) | (place[1:] != place[:-1])]
+        sign, place = sign[new], place[new]
+        edge = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]])
+        size = np.diff(np.r_[edge, len(sign)])
+        name = c.mix(np.add.reduceat(c.mix(place.astype(np.uint64)), edge) + size.astype(np.uint64)).astype(np.int64)
+        name, at, weight = np.unique(name[size > 1], return_index=True, return_counts=True)
+        edge, size = edge[size > 1][at], size[size > 1][at]
+        spread = np.repeat(edge - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        out.append(_found(LISTED, len(spread), place=place[spread], list=np.repeat(name, size), weight=np.repeat(weight, size)))
+    return pa.concat_tables([_found(OWN, 0), *out])
+
+
+def _found(kind: int, rows: int, /, **columns) -> pa.Table:
+    cols = {"kind": pa.array(np.full(rows, kind, np.int32))}
+    for name in ("doc_id", "n", "node", "place", "list", "weight", "bits"):
+        kind_of = pa.binary() if name == "bits" else pa.int64()
+        cols[name] = pa.array(columns[name], kind_of) if name in columns else pa.nulls(rows, kind_of)
+    return pa.table(cols)
 
 
 def _set_rows(k: int):
-    """Size, bitmap and hashes of the set of each document."""
+    """Node and hashes of the set of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in c.text_slices(batches):
             sets = shingle_sets(data, offsets, k)
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), c.binary_rows([bitmap(s) for s in sets]), c.binary_rows([s.tobytes() for s in sets])], names=["id", "n", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), c.binary_rows([s.tobytes() for s in sets])], names=["id", "shingles"])
 
     return run
 
@@ -335,54 +396,94 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // BUCKET_BYTES))
 
-    own = scratch.save(texts.mapInArrow(_measure(k), "doc_id long, n long, node long"), "own")
-    packed = texts.mapInArrow(_tile_rows(k, percent, buckets), "bucket long, signs binary, nodes binary")
-    members = scratch.save(packed.groupBy("bucket").applyInArrow(_tile_members, "tile long, node long, head long"), "members")
-    scratch.release()
-    stars = scratch.save(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    wanted = own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(k), "id long, n long, bits binary, shingles binary")
-    sets = scratch.save(rows, "sets", bucket_by="id")
+    packed = texts.mapInArrow(_tile_rows(k, percent, buckets), _PACKED)
+    found = scratch.save(packed.groupBy("bucket").applyInArrow(_tile_lists, _FOUND), "found")
     scratch.release()
+    own = found.where(F.col("kind") == OWN).select("doc_id", "n", "node")
+    slots = found.where(F.col("kind") == SLOT).select("place", "node").distinct()
+    listed = found.where(F.col("kind") == LISTED).groupBy("list", "place").agg(F.sum("weight").alias("weight"))
+    members = scratch.save(listed.join(slots, "place").groupBy("list", "node").agg(F.max("weight").alias("weight")), "members")
+
+    # in each list a star around the member that meets others in the most tiles: an original, if there is one
+    degree = members.groupBy("node").agg(F.sum("weight").alias("degree"))
+    heads = members.join(degree, "node").groupBy("list").agg(F.max(F.struct("degree", "node"))["node"].alias("head"))
+    rays = members.join(heads, "list").where("node <> head")
+    stars = scratch.save(rays.groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("weight")), "stars")
+    wanted = scratch.save(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "wanted")
+    light = found.where(F.col("kind") == SLOT).join(wanted, "node", "left_semi").select(F.col("node").alias("id"), "n", "bits").dropDuplicates(["id"])
+    light = scratch.save(light, "light", bucket_by="id")
 
     # stars: bitmaps first, then one exact test a document, then those still apart
-    light = sets.select("id", "n", "bits")
     x, y = light.toDF("a", "na", "xa"), light.toDF("b", "nb", "xb")
-    likely = scratch.save(stars.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(percent), _PAIR), "likely")
-    first = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    likely = stars.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(percent), _PAIR)
+    likely = scratch.save(likely, "likely")
+    scratch.release()
+    sets = _sets_of(texts, own, likely, k)
+    sets = scratch.save(sets, "sets", bucket_by="id")
+    scratch.release()
+    first = likely.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
+    first = scratch.save(first, "first")
     links = scratch.save(_verified(first, sets, percent), "links0")
     comp = components(links, scratch, "comp0")
     scratch.release()
     rest = _across_components(likely.join(first, ["a", "b"], "left_anti"), comp)
-    links = scratch.save(links.unionByName(_verified(rest, sets, percent)), "links1")
-    comp = components(links, scratch, "comp1")
+    more = scratch.save(_verified(rest, sets, percent), "links1")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = components(links, scratch, "comp1")
     scratch.release()
 
-    # tiles whose members are still apart: each member with its likeliest partner, then all pairs
+    # lists whose members are still apart: each member with its likeliest partner, then all pairs
     # across components, but for those of the largest, that are left
-    tested = stars
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for step, best_only in ((2, True), (3, False)):
-        placed = members.join(comp, F.col("node") == F.col("id"), "left").select("tile", "node", F.coalesce("comp", "node").alias("comp"))
-        apart = placed.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("tile")
-        open_tiles = scratch.save(placed.join(apart, "tile", "left_semi"), f"open{step}")
-        scratch.release()
-        rows = open_tiles.join(light, F.col("node") == F.col("id")).select("tile", "node", "comp", "n", "bits")
-        pairs = rows.groupBy("tile").applyInArrow(_across(percent, best_only), _PAIR).distinct()
+        placed = members.join(comp, F.col("node") == F.col("id"), "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
+        apart = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("list")
+        rows = placed.join(apart, "list", "left_semi").join(light, F.col("node") == F.col("id")).select("list", "node", "comp", "n", "bits")
+        pairs = rows.groupBy("list").applyInArrow(_across(percent, best_only), _PAIR).distinct()
         pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{step}")
+        if pairs.isEmpty():
+            continue
         tested = tested.unionByName(pairs)
-        links = scratch.save(links.unionByName(_verified(pairs, sets, percent)), f"links{step}")
-        comp = components(links, scratch, f"comp{step}")
-        scratch.drop(f"open{step}")
+        sets = scratch.save(_sets_of(texts, own, pairs, k), f"sets{step}", bucket_by="id")
+        found_now = scratch.save(_verified(pairs, sets, percent), f"links{step}")
+        if not found_now.isEmpty():
+            links = links.unionByName(found_now)
+            comp = components(links, scratch, f"comp{step}")
         scratch.release()
-    found = comp
-    named = own.join(found, F.col("node") == F.col("id"), "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
-    named = scratch.save(named, "named")
-    heads = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("head"))
+
+    # the least doc_id of each component, by node; nodes of many copies are met in salted parts
+    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = nodes.join(comp, F.col("node") == F.col("id"), "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
+    nodes = scratch.save(nodes, "nodes")
+    joined = nodes.join(comp.select(F.col("id").alias("node")), "node", "left_semi")
+    least = joined.groupBy("comp").agg(F.min("least").alias("head"))
+    heads = scratch.save(_salted(nodes, "comp", least, "node").select("node", F.coalesce("head", "least").alias("head")), "heads")
+    out = _salted(own, "node", heads, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
     scratch.drop_tables()
-    scratch.drop("own", "members", "stars", "sets", "likely", "pairs2", "pairs3", "links0", "links1", "links2", "links3")
+    scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "sets3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
     scratch.release()
-    return named.join(heads, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
+    return out
+
+
+def _salted(many: DataFrame, key: str, one: DataFrame, spread: str) -> DataFrame:
+    """``many`` left join ``one`` (a row a key), a key of many rows dealt over SALTS tasks."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.withColumn("__salt", salt.cast("long")).join(right, [key, "__salt"], "left").drop("__salt")
+
+
+def _sets_of(texts: DataFrame, own: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The set of each node of the pairs, once, from the text of its least document.
+
+    Rows without a doc_id can't be fetched by it: they bring their sets along.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = chosen.where("doc_id is not null").select("doc_id").distinct()
+    rows = texts.join(chosen, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    sets = rows.mapInArrow(_set_rows(k), "id long, shingles binary")
+    return sets.join(wanted, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id"])
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
