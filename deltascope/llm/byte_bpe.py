@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,18 +119,26 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 # ---------------------------------------------------------------- merges
 
 
-_ENCODERS: dict[int, Callable[[str], list[int]]] = {}
+class Vocabulary:
+    """The ranks of a tiktoken file, named by a digest of them."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.name = hashlib.sha256(repr(sorted(ranks.items(), key=lambda x: x[1])).encode()).hexdigest()
 
-def word_encoder(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+
+_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
+
+
+def word_encoder(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
     """Ids of one pre-token; the pattern takes it whole, so only its merges are made."""
-    if id(ranks) not in _ENCODERS:
+    if vocabulary.name not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         _ENCODERS.clear()
-        _ENCODERS[id(ranks)] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _ENCODERS[id(ranks)]
+        _ENCODERS[vocabulary.name] = tiktoken.Encoding(vocabulary.name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={}).encode_ordinary
+    return _ENCODERS[vocabulary.name]
 
 
 # ---------------------------------------------------------------- stages
@@ -178,7 +186,11 @@ def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: lis
 
 
 def _cut(buckets: int):
-    """Documents to blocks: one row of sequences, and a row of words for each bucket."""
+    """Documents to blocks: one row of sequences, and a row of words for each bucket.
+
+    A block is named by its rows, its task and its place there: equal blocks of two
+    tasks stay apart, and a task that runs again gives the same names to the same rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.string()), ("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("packed", pa.binary())])
@@ -186,12 +198,17 @@ def _cut(buckets: int):
         ids: list[int] = []
         counts: list[np.ndarray] = []
         texts: list[tuple] = []
-        held = 0
+        held = blocks = 0
+        part = TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, counts, texts, held
+            nonlocal ids, counts, texts, held, blocks
             if ids:
-                name = hashlib.md5(repr(ids).encode()).hexdigest()
+                content = hashlib.md5(repr(ids).encode())
+                for t in texts:
+                    content.update(t[2])
+                name = f"{content.hexdigest()}-{part}-{blocks}"
+                blocks += 1
                 rows = list(_block_rows(name, ids, counts, texts, buckets))
                 yield pa.RecordBatch.from_pylist(rows, schema)
             ids, counts, texts, held = [], [], [], 0
@@ -280,17 +297,17 @@ def sorted_by_bucket(words: pa.Table) -> list[tuple]:
     return [(lens[i].values.to_numpy(), size[i].as_py(), packed[i].as_py()) for i in sorted(range(len(bucket)), key=bucket.__getitem__)]
 
 
-_TABLES: dict[int, tuple[list[bytes], list[str]]] = {}
+_TABLES: dict[str, tuple[list[bytes], list[str]]] = {}
 
 
 def _token_tables(vocabulary: Broadcast) -> tuple[list[bytes], list[str]]:
     """Bytes and decimal form of each id; a worker keeps the table of the last vocabulary."""
-    key = id(vocabulary.value)
+    key, ranks = vocabulary.value.name, vocabulary.value.ranks
     if key not in _TABLES:
         _TABLES.clear()
-        size = max(vocabulary.value.values()) + 1
+        size = max(ranks.values()) + 1
         spelt = [b""] * size
-        for token, i in vocabulary.value.items():
+        for token, i in ranks.items():
             spelt[i] = token
         _TABLES[key] = spelt, [str(i) for i in range(size)]
     return _TABLES[key]
@@ -306,7 +323,7 @@ def encode(docs: DataFrame, vocabulary_path: str, outputs: tuple[str, ...] = ("n
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
-    vocabulary = spark.sparkContext.broadcast(load_ranks(vocabulary_path))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(load_ranks(vocabulary_path)))
     # Both groupings have one key column over one child, so Spark makes a single exchange of them.
     rows = source.mapInArrow(_cut(int(buckets)), _BLOCK_SCHEMA)
     ids = rows.groupBy("key").applyInArrow(_encoded(vocabulary), "key string, bucket int, lens array<long>, size long, packed binary")

@@ -14,6 +14,7 @@ from deltascope.llm import byte_bpe as b  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = b.load_ranks(PATH)
+VOCABULARY = b.Vocabulary(RANKS)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 ODD = ["", " ", "  a", "a  b", "it's we'll 'tis ''s x'", " 's", "don'tx you'rex I'Ve", "\n\n x\n", "é½Ⅷ 12²a", "a\x1cb \x85c", "ａ　b", "'", "'ll", "l'r", "x" * 300, "ab " * 400, "日本語 текст", "<|endoftext|>", "\t\t", "a  b", "é'd"]
 
@@ -41,7 +42,7 @@ def test_pretokens_are_the_patterns_matches(texts):
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=40))
 def test_ids_are_the_librarys(text):
-    encode = b.word_encoder(RANKS)
+    encode = b.word_encoder(VOCABULARY)
     ids = [i for w in cut([text])[0] for i in encode(w)]
     assert ids == LIBRARY.encode_ordinary(text)
 
@@ -58,3 +59,25 @@ def test_query_on_odd_rows(spark):
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert b.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_blocks_with_equal_ids_stay_apart(spark, tmp_path):
+    rows = {"a": [(1, "hello world of words"), (2, "foo of corge"), (None, "x"), (None, "y z")], "b": [(1, "more of foo"), (2, "hello words"), (None, "x"), (None, "q")]}
+    for name, own in rows.items():
+        spark.createDataFrame(own, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    docs = spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b").unionByName(spark.read.parquet(f"{tmp_path}/a"))
+    got = sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in b.encode(docs, PATH).collect())
+    assert got == sorted((i or 0, t) for name in "aba" for i, t in rows[name])
+
+
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"  # every byte its own token
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([x])) + b" %d" % x for x in range(256)))
+    docs = spark.createDataFrame([(1, "hello été"), (2, "a" * 70000)], "doc_id long, text string")
+    for _ in range(2):
+        for vocabulary in (str(path), PATH):
+            rows = b.encode(docs, vocabulary).collect()
+            assert {bytes(r.decoded).decode() for r in rows} == {"hello été", "a" * 70000}
+            assert ({r.n_tokens for r in rows} == {11, 70000}) == (vocabulary != PATH)
