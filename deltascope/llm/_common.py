@@ -6,6 +6,7 @@ batches bounded by bytes, so that memory doesn't follow the batch row count.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks over which the rows of one key are dealt in a salted join.
+SALTS = 8
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on.
 SLICE_BYTES = 2 << 20
@@ -31,12 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables in the folder that ``spark.checkpoint.dir`` names (shared storage).
 
-    Used to cut lineage and to reuse a result without computing it twice.  A
-    local default is taken only where the setting is absent.
+    Used to cut lineage and to reuse a result without computing it twice.  Where
+    the setting is absent, a master in this process gets a local folder (tests) and
+    a cluster an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = f"{tempfile.gettempdir()}/checkpoints"
         self.spark = spark
         self.tables: list[str] = []
         self.base = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -79,6 +87,13 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (a row a key), the rows of a key dealt over SALTS tasks by ``spread``."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS).cast("long"))
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return many.withColumn("__salt", salt).join(one.withColumn("__salt", F.explode(parts)), [*keys, "__salt"], how).drop("__salt")
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -32,7 +32,7 @@ travel packed by bucket of tiles, as six bytes and a slot of their block; bitmap
 of documents that share a tile follow by node; the texts are shuffled for pairs
 that pass the bitmaps.  Components come from min-label propagation with pointer
 jumping, all in tables on shared storage.  Last joins deal a hot node or component
-over SALTS tasks.
+over several tasks.
 """
 
 from __future__ import annotations
@@ -55,8 +55,6 @@ SHINGLE = 4
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of tiles.
 BUCKET_BYTES = 16 << 20
-#: Tasks over which the rows of one key are dealt in the last joins.
-SALTS = 8
 
 _INSIDE = c.blank_words()
 _VALUES = c.byte_values(fold_case=True, seed=51)
@@ -458,21 +456,14 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     nodes = scratch.save(nodes, "nodes")
     joined = nodes.join(comp.select(F.col("id").alias("node")), "node", "left_semi")
     least = joined.groupBy("comp").agg(F.min("least").alias("head"))
-    heads = scratch.save(_salted(nodes, "comp", least, "node").select("node", F.coalesce("head", "least").alias("head")), "heads")
-    out = _salted(own, "node", heads, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
+    heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", F.coalesce("head", "least").alias("head")), "heads")
+    out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
     scratch.drop_tables()
     scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "sets3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
     scratch.release()
     return out
 
 
-def _salted(many: DataFrame, key: str, one: DataFrame, spread: str) -> DataFrame:
-    """``many`` left join ``one`` (a row a key), a key of many rows dealt over SALTS tasks."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
-    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return many.withColumn("__salt", salt.cast("long")).join(right, [key, "__salt"], "left").drop("__salt")
-
-
 def _sets_of(texts: DataFrame, own: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The set of each node of the pairs, once, from the text of its least document.
 
