@@ -16,12 +16,13 @@ deeper levels cannot change a decision.
 
 Cases: null and empty texts have no lines and stay as they are; blank lines are
 no part of a run and go only between two removed lines; a document that loses all
-its lines goes (``keep_first``) or has an empty text (``dedupe``); rows that repeat a
-doc_id are one document, not copies of each other, and are cut alike; empty
-tables and further columns are fine.
+its lines goes (``keep_first``) or has an empty text (``dedupe``).  Rows with one doc_id
+and different texts are documents of their own, the one with the lesser hash
+first; rows equal in both are one document, and are cut alike.  Rows without a
+doc_id come after all others.  Empty tables and further columns are fine.
 
 Scale: each round is three shuffles of short rows, of repeated lines only; hot
-lines are counted with map-side combine and met in joins that AQE splits.  Texts
+lines and runs are counted with map-side combine and met in salted joins.  Texts
 are shuffled once, to meet their removed lines.
 """
 
@@ -52,7 +53,14 @@ def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both // (n + 1), both % (n + 1) - both // (n + 1)
 
 
-_LINES = "doc_id long, part int, pos int, h1 long, h2 long, size int"
+#: What a row is known by: its doc_id (the largest number where it has none) and a hash of its text.
+ROW = ["doc_id", "row"]
+_LINES = "doc_id long, row long, pos int, h1 long, h2 long, size int"
+_LAST = (1 << 63) - 1
+
+
+def _keyed(docs: DataFrame) -> tuple:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +68,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inside = c.blank_words()
     one, two = c.byte_values(seed=41), c.byte_values(seed=42)
     for rows, data, offsets in c.text_slices(batches):
-        ids = c.long_values(rows.column(0))
+        ids, keys = c.long_values(rows.column(0)), c.long_values(rows.column(1))
         starts, ends, first = c.words(data, offsets, inside)
         breaks = np.flatnonzero(data == 10)
         line_start = np.sort(np.r_[offsets[:-1], breaks + 1])
@@ -82,6 +90,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.concatenate([np.zeros(0, np.int64), *of]).astype(np.int64)
         cols = {
             "doc_id": np.r_[ids[row], ids[w]],
+            "row": np.r_[keys[row], keys[w]],
             "pos": np.r_[pos, np.concatenate([np.zeros(0, np.int64), *at])].astype(np.int32),
             "h1": np.r_[h1, np.zeros(len(w), np.int64)],
             "h2": np.r_[h2, np.zeros(len(w), np.int64)],
@@ -96,44 +105,45 @@ def _ordered_ids(keys: DataFrame, by: list[str], n: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and pos (among the lines with a word) of each line of a later copy."""
+    """doc_id, row and pos (among the lines with a word) of each line of a later copy."""
     spark = docs.sparkSession
     scratch = c.Scratch(spark, "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(source.mapInArrow(_line_rows, "doc_id long, pos int, h1 long, h2 long, size int"), "rows")
-    lines, windows = rows.where("size = 0").drop("size"), rows.where("size > 0").select("doc_id", "pos", "size")
+    source = docs.select(*_keyed(docs), "text")
+    rows = scratch.save(source.mapInArrow(_line_rows, _LINES), "rows")
+    lines, windows = rows.where("size = 0").drop("size"), rows.where("size > 0").select(*ROW, "pos", "size")
     deepest = windows.agg(F.max("size")).first()[0] or 0
 
     # level 0: ids of repeated lines; any other line ends all common prefixes
     repeated = _ordered_ids(lines.groupBy("h1", "h2").count().where("count > 1").drop("count"), ["h1", "h2"], n)
-    levels = [scratch.save(lines.join(scratch.save(repeated, "ids0"), ["h1", "h2"]).select("doc_id", "pos", "rank"), "level0")]
+    level = c.salted_join(lines, scratch.save(repeated, "ids0"), ["h1", "h2"], [*ROW, "pos"]).select(*ROW, "pos", "rank")
+    levels = [scratch.save(level.distinct(), "level0")]  # equal rows are one
     step = 1
     while 2 * step <= deepest:
         here = levels[-1]
-        ahead = here.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = here.withColumnRenamed("rank", "this").join(ahead, ["doc_id", "pos"])
+        ahead = here.select(*ROW, (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = here.withColumnRenamed("rank", "this").join(ahead, [*ROW, "pos"])
         ids = _ordered_ids(pairs.groupBy("this", "next").count().where("count > 1").drop("count"), ["this", "next"], n)
         k = len(levels)
-        levels.append(scratch.save(pairs.join(scratch.save(ids, f"ids{k}"), ["this", "next"]).select("doc_id", "pos", "rank"), f"level{k}"))
+        levels.append(scratch.save(c.salted_join(pairs, scratch.save(ids, f"ids{k}"), ["this", "next"], [*ROW, "pos"]).select(*ROW, "pos", "rank"), f"level{k}"))
         step *= 2
 
     # the interval of each window: its length and the two ranks that cover it
     later = None
     for k, ranks in enumerate(levels):
         own = windows.where((F.col("size") >= 1 << k) & (F.col("size") < 2 << k))
-        own = own.join(ranks.withColumnRenamed("rank", "front"), ["doc_id", "pos"])
+        own = own.join(ranks.withColumnRenamed("rank", "front"), [*ROW, "pos"])
         if k:
-            tails = ranks.select("doc_id", F.col("pos").alias("tail"), F.col("rank").alias("back"))
-            own = own.withColumn("tail", F.col("pos") + F.col("size") - (1 << k)).join(tails, ["doc_id", "tail"])
+            tails = ranks.select(*ROW, F.col("pos").alias("tail"), F.col("rank").alias("back"))
+            own = own.withColumn("tail", F.col("pos") + F.col("size") - (1 << k)).join(tails, [*ROW, "tail"])
         else:
             own = own.withColumn("back", F.col("front"))
-        own = scratch.save(own.select("doc_id", "pos", "size", "front", "back"), f"windows{k}")
+        own = scratch.save(own.select(*ROW, "pos", "size", "front", "back"), f"windows{k}")
         key = ["size", "front", "back"]
-        first = own.groupBy(*key).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-        found = own.join(first, key).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos", "size")
+        first = own.groupBy(*key).agg(F.min(F.struct(*ROW, "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+        found = c.salted_join(own, first, key, [*ROW, "pos"]).where(F.struct(*ROW, "pos") != F.col("first")).select(*ROW, "pos", "size")
         later = found if later is None else later.unionByName(found)
-    marks = scratch.save(later.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct(), "marks")
+    marks = scratch.save(later.select(*ROW, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct(), "marks")
     scratch.drop("rows", *(f"{x}{k}" for k in range(len(levels)) for x in ("ids", "level", "windows")))
     return marks
 
@@ -184,8 +194,9 @@ def _without(text: str, dead: set[int], inside: np.ndarray) -> tuple[str, int, i
 
 
 def _cut_documents(docs: DataFrame, drop_empty: bool) -> DataFrame:
-    marks = removed_lines(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("pos").alias("__gone"))
-    joined = docs.join(marks, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
+    marks = removed_lines(docs).groupBy(*(F.col(x).alias(f"__{x}") for x in ROW)).agg(F.collect_list("pos").alias("__gone"))
+    keyed = docs.select("*", *(x.alias(f"__{name}") for x, name in zip(_keyed(docs), ROW, strict=True)))
+    joined = keyed.join(marks, [f"__{x}" for x in ROW], "left").select(*docs.columns, "__gone")
     fields = list(docs.schema.fields)
     if not drop_empty:
         fields.append(T.StructField("n_removed_lines", T.LongType()))

@@ -31,6 +31,24 @@ def test_removed_lines_are_those_of_brute_force(spark):
         assert {(r.doc_id, r.pos) for r in d.removed_lines(df).collect()} == brute(docs)
 
 
+def test_repeated_and_missing_ids(spark):
+    run = "\n".join(f"line {i} of a long run that goes on" for i in range(24))
+    rows = [(2, run)] * 4 + [(2, "precious unique first line of ten words and then some\nsecond")] * 2 + [(None, run + "\nend"), (None, "own words of a row without any id at all here"), (9, run)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = d.removed_lines(df)
+    assert marks.count() == 48 and {r.doc_id for r in marks.collect()} == {9, d._LAST}
+    got = sorted(((r.doc_id or 99), r.text, r.n_removed_lines) for r in d.dedupe(df).collect())
+    assert got == sorted([(2, run, 0)] * 4 + [(2, rows[4][1], 0)] * 2 + [(99, "end", 24), (99, rows[7][1], 0), (9, "", 24)])
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    long = "\n".join(f"w{i}" for i in range(30000))
+    rows = [(1, long, 1, 2, 3), (2, "x\n" + long, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos int, rank int, size int")
+    got = {r.doc_id: r for r in d.dedupe(df).collect()}
+    assert got[1].text == long and got[2].text == "x" and got[2].n_removed_lines == 30000 and got[2].rank == 2
+
+
 def test_texts_lose_later_copies_only(spark):
     long = "one two three four five six seven eight nine ten"
     rows = [(1, f"a b\n{long}\n\nc", 7), (2, f"x\n\n{long}", 7), (3, f"short\n{long}\n\n{long}\nend", 7), (4, long, 7), (5, None, 7), (6, "", 7), (7, "a b\nc", 7)]
