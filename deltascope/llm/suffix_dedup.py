@@ -16,7 +16,8 @@ a smaller doc_id.  Documents are dealt into blocks.  Three steps over them:
 
 Cases: null is the empty text, and a text of under 50 bytes is kept whole; strings
 repeated inside one document stay; rows that repeat a doc_id are rows of their own
-and don't erase each other; empty tables and further columns are fine.
+and don't erase each other; a row without a doc_id counts as one after all
+others and erases nothing; empty tables and further columns are fine.
 
 Scale: one exchange of the texts serves all steps; anchors and segments are packed
 per block and bucket, equal segments of a block travel once with the list of their
@@ -30,12 +31,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltascope.llm import _common as c
 
 LENGTH = 50
+#: Stands for a missing doc_id: after all others.
+LAST = (1 << 63) - 1
 GRAM = 24
 WIDTH = LENGTH - GRAM + 1
 #: Most windows of one segment; longer stretches are cut, with overlap.
@@ -54,7 +58,7 @@ _ONE, _TWO = c.byte_values(seed=61), c.byte_values(seed=62)
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc ids, bytes and offsets of a block in a fixed order, whatever order its rows came in."""
     table = table.select(["doc_id", "text"]).combine_chunks()
-    doc = table.column("doc_id").to_numpy()
+    doc = pc.fill_null(table.column("doc_id"), LAST).to_numpy()
     order = np.argsort(doc, kind="stable")
     if len(doc) and (doc[order][1:] == doc[order][:-1]).any():
         texts = table.column("text").to_pylist()
@@ -347,7 +351,7 @@ def _cut(outputs: tuple[str, ...]):
             a, b = offsets[i], offsets[i + 1]
             own = dead[a:b]
             kept = data[a:b][~own].tobytes()
-            cols["doc_id"].append(int(doc[i]))
+            cols["doc_id"].append(int(doc[i]) if doc[i] != LAST else None)
             cols["n_bytes"].append(int(b - a))
             cols["n_removed"].append(int(own.sum()))
             flips = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
@@ -377,7 +381,7 @@ def dedupe(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_removed",
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, anchor_buckets, buckets = (int(max(16, total // x)) for x in (BLOCK_BYTES, ANCHOR_BUCKET_BYTES, SEGMENT_BUCKET_BYTES))
     # All three steps group one child by one key, so Spark makes a single exchange of the texts.
-    rows = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks).cast("long"))).groupBy("block")
+    rows = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("long"))).groupBy("block")
     anchors = rows.applyInArrow(_anchors(anchor_buckets), "bucket long, block long, packed binary")
     replies = anchors.groupBy("bucket").applyInArrow(_shared, "block long, bucket long, bits binary")
     segments = rows.cogroup(replies.groupBy("block")).applyInArrow(_segments(anchor_buckets, buckets), "bucket long, block long, size array<long>, blob binary, meta binary")

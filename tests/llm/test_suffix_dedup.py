@@ -10,7 +10,7 @@ from deltascope.llm import suffix_dedup as d
 def brute(docs):
     """(removed, spans, kept) of each row, with a plain dictionary of all strings."""
     least = {}
-    raw = [(i, (t or "").encode()) for i, t in docs]
+    raw = [(d.LAST if i is None else i, (t or "").encode()) for i, t in docs]
     for i, b in raw:
         for p in range(len(b) - d.LENGTH + 1):
             s = b[p : p + d.LENGTH]
@@ -32,7 +32,7 @@ def random_docs(seed):
     alphabet = rng.choice(["ab", "a", "abcdé", "abcdefghijklmnop \n"])
     pool = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 160))) for _ in range(12)]
     docs = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 5)))) for i in range(rng.randint(1, 60))]
-    docs += [(900 + i, docs[i % len(docs)][1]) for i in range(5)] + [(990, None), (3, "a" * 200), (991, "b" * 49), (992, "b" * 300)]
+    docs += [(900 + i, docs[i % len(docs)][1]) for i in range(5)] + [(990, None), (3, "a" * 200), (991, "b" * 49), (992, "b" * 300), (None, docs[0][1] + "end"), (None, "b" * 90), (None, None)]
     rng.shuffle(docs)
     return docs
 
@@ -42,7 +42,7 @@ def test_rows_are_those_of_brute_force(spark, seed):
     docs = random_docs(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, block int").repartition(3)
     got = d.dedupe(df, ("n_bytes", "n_removed", "n_spans", "kept_sha256")).collect()
-    assert sorted(tuple(r) for r in got) == brute(docs)
+    assert sorted((d.LAST if r[0] is None else r[0], *r[1:]) for r in got) == brute(docs)
 
 
 def test_suffix_array_is_sorted_and_classes_are_whole():
@@ -63,5 +63,13 @@ def test_suffix_array_is_sorted_and_classes_are_whole():
         assert d.same_as_before(text, order).sum() == len(strings) - len(set(strings))
 
 
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    df = spark.createDataFrame([(1, long, "x", "y"), (2, "new " + long[1000:], "x", "y")], "doc_id long, text string, spans string, kept string")
+    got = {r.doc_id: r for r in d.dedupe(df).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 399_000 and bytes(got[2].kept) == b"new "
+
+
 def test_empty_table(spark):
     assert d.dedupe(spark.createDataFrame([], "doc_id long, text string")).count() == 0
