@@ -1,19 +1,23 @@
 """Benchmark decontamination by winnowing.
 
 Words are hashed, 5-word grams are combined from them, and of every 6
-neighbouring grams (10 words) the smallest hash is kept as a fingerprint; equal
-10-word spans have equal fingerprints, so no shared span is missed.  Fingerprints
-of texts and test items are joined, and a hit is extended to the whole window and
-compared word for word.  An item of under 10 words is one window of its own
-length, and is winnowed with the gram length that its size allows.
+neighbouring grams (10 words) the smallest is selected as a fingerprint (the last
+one of equals); equal 10-word spans select equal fingerprints, so no shared span
+is missed.  Fingerprints of texts and of test items are joined, each extended to
+the whole window by 128 bits over its words, and hit windows are merged to
+spans.  An item of under 10 words is one window of its own length, with the gram
+length that its size allows.
 
 Cases: a null text or an item without words has no windows; an item without an
 id hits words but adds no item; repeated items count once, repeated documents
 are rows of their own; empty tables and further columns are fine.
 
-Scale: texts are read once and never shuffled.  The items go to the workers in
-chunks of at most ``CHUNK_BYTES``; a larger benchmark takes several passes, whose
-hits are merged by document, so that what is broadcast is bounded.
+Scale: texts are read once, and only windows whose fingerprint may occur in an
+item leave their task, one row for each distinct window of a text.  "May occur" is
+a bit table of a fixed size over the items' fingerprints: it is all that is
+broadcast, and a fuller one only lets more rows through to the join.  Windows
+that many texts share are met in a salted join.  ``drop_contaminated`` shuffles the
+texts once.
 """
 
 from __future__ import annotations
@@ -24,162 +28,189 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from deltascope.llm import _common as c
 
 WINDOW = 10
 GRAM = 5
-#: Bytes of item texts in one broadcast.
-CHUNK_BYTES = 16 << 20
+#: Bits of the table of fingerprints (a power of two), and of one piece of it.
+TABLE_BITS, PIECE_BITS = 26, 16
 
 _INSIDE = c.alnum_words()
-_VALUES = c.byte_values(fold_case=True, seed=31)
-
-
-class Index:
-    """Windows of test items by length, and their fingerprints."""
-
-    def __init__(self) -> None:
-        self.windows: dict[int, dict[bytes, set[str | None]]] = {}
-        self.prints: dict[int, np.ndarray] = {}
-
-    def add(self, item_id: str | None, text: str | None) -> None:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        starts, ends, _ = c.words(data, np.array([0, len(data)]), _INSIDE)
-        raw = data.tobytes().lower()
-        spelt = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-        size = min(WINDOW, len(spelt))
-        for i in range(len(spelt) - size + 1 if spelt else 0):
-            self.windows.setdefault(size, {}).setdefault(b" ".join(spelt[i : i + size]), set()).add(item_id)
-
-    def finish(self) -> Index:
-        for size, windows in self.windows.items():
-            blob = b"\n".join(windows)
-            data = np.frombuffer(blob, np.uint8)
-            lines = np.r_[-1, np.flatnonzero(data == 10), len(data)]
-            starts, ends, _ = c.words(data, np.array([0, len(data)]), _INSIDE)
-            first = np.searchsorted(starts, lines[1:] * 1)
-            first = np.r_[0, first]
-            low, at = fingerprints(c.span_hashes(_VALUES[data], starts, ends), first, size)
-            self.prints[size] = np.unique(low)
-        return self
-
-
-def fingerprints(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The winnowed fingerprint of each ``size``-word window, and where it starts."""
+_ONE, _TWO = c.byte_values(fold_case=True, seed=31), c.byte_values(fold_case=True, seed=32)
+_KEY = ["size", "print", "w1", "w2"]
+
+
+def picks(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the ``size``-word windows, where each window's fingerprint is, and the grams there."""
     k = min(GRAM, size)
     gram, at = c.gram_hashes(word, first, k)
-    width = size - k + 1
-    full = np.full(len(word) + width, np.iinfo(np.uint64).max, np.uint64)
-    full[at] = gram
-    low = full[: len(word)].copy()
-    for j in range(1, width):
-        np.minimum(low, full[j : j + len(word)], out=low)
-    owner = c.owners(first)
     n = len(word) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ok = np.flatnonzero(owner[:n] == owner[size - 1 :])
-    return low[ok], ok
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    full = np.full(len(word), np.iinfo(np.uint64).max, np.uint64)
+    full[at] = gram
+    low, place = full[:n].copy(), np.arange(n)
+    for j in range(1, size - k + 1):
+        ahead = full[j : j + n]
+        better = ahead <= low
+        low[better] = ahead[better]
+        place[better] = np.flatnonzero(better) + j
+    owner = c.owners(first)
+    start = np.flatnonzero(owner[:n] == owner[size - 1 :])
+    return start, place[start], full
+
+
+def _spelt(word: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A hash over the words of each window."""
+    scale = c.random_words(size, seed) | np.uint64(1)
+    total = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        total += word[at + j] * scale[j]
+    return c.mix(total).view(np.int64)
 
 
-def _hits(index: Index, data: np.ndarray, offsets: np.ndarray):
-    """Word counts, and for each row its hit spans and items."""
+def _bit(prints: np.ndarray, size: int | np.ndarray, table_bits: int) -> np.ndarray:
+    return c.mix(prints + np.asarray(size, np.uint64)) >> np.uint64(64 - table_bits)
+
+
+def _text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = c.words(data, offsets, _INSIDE)
-    word = c.span_hashes(_VALUES[data], starts, ends)
-    owner = c.owners(first)
-    found: dict[int, tuple[list, set]] = {}
-    for size, windows in index.windows.items():
-        low, at = fingerprints(word, first, size)
-        prints = index.prints[size]
-        place = np.minimum(np.searchsorted(prints, low), len(prints) - 1)
-        for s in at[prints[place] == low].tolist():
-            spelt = b" ".join(data[starts[j] : ends[j]].tobytes().lower() for j in range(s, s + size))
-            items = windows.get(spelt)
-            if items:
-                spans, own = found.setdefault(int(owner[s]), ([], set()))
-                spans.append((s - int(first[owner[s]]), s - int(first[owner[s]]) + size))
-                own |= items
-    return np.diff(first), found
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted, disjoint spans."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
-
-
-def chunks(items: DataFrame) -> list[Index]:
-    """Indexes of at most CHUNK_BYTES of item texts each."""
-    done, index, held = [], Index(), 0
-    for row in items.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        index.add(row[0], row[1])
-        held += len(row[1] or "")
-        if held >= CHUNK_BYTES:
-            done.append(index.finish())
-            index, held = Index(), 0
-    return [*done, index.finish()]
-
-
-def _pass(docs: DataFrame, index: Index, columns: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    return c.span_hashes(_ONE[data], starts, ends), c.span_hashes(_TWO[data], starts, ends), first
+
+
+# ---------------------------------------------------------------- test items
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of the items with their fingerprints."""
+    for rows, data, offsets in c.text_slices(batches):
+        one, two, first = _text_words(data, offsets)
+        count = np.diff(first)
+        for size in sorted(set(np.minimum(count, WINDOW).tolist()) - {0}):
+            own = count >= WINDOW if size == WINDOW else count == size
+            start, place, full = picks(one, first, size)
+            item = np.searchsorted(first, start, side="right") - 1
+            keep = own[item]
+            start, place, item = start[keep], place[keep], item[keep]
+            cols = [pa.array(np.full(len(start), size, np.int32)), pa.array(full[place].view(np.int64)), pa.array(_spelt(one, start, size, 1)), pa.array(_spelt(two, start, size, 2)), rows.column(0).take(pa.array(item))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*_KEY, "item_id"])
 
+
+def item_windows(items: DataFrame, scratch: c.Scratch) -> DataFrame:
+    """Each distinct window of the items once, with the sorted ids of its items."""
+    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    every = texts.mapInArrow(_item_rows, "size int, print long, w1 long, w2 long, item_id string")
+    return scratch.save(every.groupBy(*_KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items")), "windows")
+
+
+def _table_pieces(table_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in c.text_slices(batches):
-            n_words, found = _hits(shared.value, data, offsets)
-            none: tuple[list, set] = ([], set())
-            got = [found.get(i, none) for i in range(rows.num_rows)]
-            own = [pa.array(n_words, pa.int64()), pa.array([[list(x) for x in merge(s)] for s, _ in got], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x for x in i if x is not None) for _, i in got], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in columns), *own], names=[*columns, *_FOUND.names])
+        bits = np.zeros(1 << table_bits, bool)
+        for batch in batches:
+            size, prints = (batch.column(i).to_numpy() for i in (0, 1))
+            bits[_bit(prints.view(np.uint64), size, table_bits)] = True
+        pieces = np.packbits(bits).reshape(-1, 1 << (PIECE_BITS - 3))
+        used = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([pieces[x].tobytes() for x in used], pa.binary())], names=["piece", "bits"])
+
+    return run
+
+
+def _union(table: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+    return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    schema = T.StructType([docs.schema[x] for x in columns] + _FOUND.fields)
-    return docs.mapInArrow(run, schema)
 
+def print_table(windows: DataFrame, table_bits: int) -> np.ndarray:
+    """The bit table of all fingerprints: 2**table_bits bits, whatever the items."""
+    schema = "piece long, bits binary"
+    pieces = windows.select("size", "print").mapInArrow(_table_pieces(table_bits), schema).groupBy("piece").applyInArrow(_union, schema)
+    out = np.zeros((1 << (table_bits - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
+    for row in pieces.collect():
+        out[row.piece] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
 
-@F.udf(_FOUND["spans"].dataType)
-def _merged(spans):
-    return [list(x) for x in merge([tuple(x) for x in spans])]
 
+# ---------------------------------------------------------------- documents
 
-def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
+_FOUND = "doc_id long, row long, n_words long, size int, print long, w1 long, w2 long, starts array<int>"
+
+
+def _candidates(sizes: list[int], table):
+    """A row of size 0 for each document, and one for each distinct window that may be an item's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        table_bits = int(len(bits)).bit_length() + 2
+        for rows, data, offsets in c.text_slices(batches):
+            one, two, first = _text_words(data, offsets)
+            doc, key, n = rows.column(0), rows.column(1), rows.num_rows
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([doc, key, pa.array(np.diff(first), pa.int64()), pa.array(np.zeros(n, np.int32)), none, none, none, pa.nulls(n, pa.list_(pa.int32()))], names=_NAMES)
+            for size in sizes:
+                start, place, full = picks(one, first, size)
+                chosen, back = np.unique(place, return_inverse=True)
+                bit = _bit(full[chosen], size, table_bits)
+                may = (bits[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 > 0
+                keep = may[back]
+                start, place = start[keep], place[keep]
+                if not len(start):
+                    continue
+                of = np.searchsorted(first, start, side="right") - 1
+                w1, w2 = _spelt(one, start, size, 1), _spelt(two, start, size, 2)
+                order = np.lexsort((start, w2, w1, of))
+                of, w1, w2, start, place = of[order], w1[order], w2[order], start[order], place[order]
+                edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[edge, len(of)], pa.int32()), pa.array((start - first[of]).astype(np.int32)))
+                at = pa.array(of[edge])
+                cols = [doc.take(at), key.take(at), pa.nulls(len(edge), pa.int64()), pa.array(np.full(len(edge), size, np.int32)), pa.array(full[place[edge]].view(np.int64)), pa.array(w1[edge]), pa.array(w2[edge]), starts]
+                yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
+
+    return run
+
+
+_NAMES = [x.split(" ")[0] for x in _FOUND.split(", ")]
+
+
+def _hits(docs: DataFrame, items: DataFrame, scratch: c.Scratch, table_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n_words) of each document, and its distinct windows that are an item's, with their items."""
+    windows = item_windows(items, scratch)
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most WINDOW of them
+    table = docs.sparkSession.sparkContext.broadcast(print_table(windows, table_bits))
+    found = scratch.save(docs.select(*c.keyed(), "text").mapInArrow(_candidates(sizes, table), _FOUND), "found")
+    hits = c.salted_join(found.where("size > 0").drop("n_words"), windows, _KEY, [*c.ROW, "w1"])
+    return found.where("size = 0").select(*c.ROW, "n_words"), hits
+
+
+def _merged(spans: str) -> str:
+    """SQL: sorted spans without overlaps, from an array of [start, end) pairs."""
+    last = "element_at(a, -1)"
+    grown = f"array(array(element_at({last}, 1), greatest(element_at({last}, 2), x[1])))"
+    return f"aggregate(array_sort({spans}), cast(array() AS array<array<bigint>>), (a, x) -> CASE WHEN size(a) > 0 AND element_at(element_at(a, -1), 2) >= x[0] THEN concat(slice(a, 1, size(a) - 1), {grown}) ELSE concat(a, array(x)) END)"
+
+
+def scan(docs: DataFrame, items: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
     """doc_id, n_words, spans of hit words [start, end), ids of the items that occur."""
-    indexes = chunks(items)
-    if len(indexes) == 1:
-        return _pass(docs.select("doc_id", "text"), indexes[0], ["doc_id"])
-    keys = ["doc_id", "text_key", "n_words"]
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    passes = [_pass(texts, x, ["doc_id", "text_key"]) for x in indexes]
-    every = passes[0]
-    for x in passes[1:]:
-        every = every.unionByName(x)
-    copies = (F.count(F.lit(1)) / len(passes)).cast("int").alias("copies")  # repeated rows stay rows of their own
-    every = every.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), copies)
-    every = every.select("doc_id", "n_words", _merged("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return every.drop("copy")
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no window of any item occurs in, with their own columns."""
-    clean = docs
-    for index in chunks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    scratch = c.Scratch(docs.sparkSession, "decontaminate")
+    own, hits = _hits(docs, items, scratch, table_bits)
+    spans = F.expr("transform(starts, s -> array(cast(s AS bigint), cast(s + size AS bigint)))")
+    by_row = hits.groupBy(*c.ROW).agg(F.array_distinct(F.flatten(F.collect_list(spans))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    by_row = by_row.withColumn("spans", F.expr(_merged("spans")))
+    none = F.array().cast("array<array<bigint>>"), F.array().cast("array<string>")
+    joined = own.join(by_row, c.ROW, "left")
+    return joined.select(c.own_id(), "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in c.text_slices(batches):
-                _, found = _hits(shared.value, data, offsets)
-                yield rows.filter(pa.array([i not in found for i in range(rows.num_rows)], pa.bool_()))
 
-        clean = clean.mapInArrow(run, clean.schema)
-    return clean
+def drop_contaminated(docs: DataFrame, items: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
+    """The documents that no window of any item occurs in, with their own columns."""
+    scratch = c.Scratch(docs.sparkSession, "decontaminate")
+    _, hits = _hits(docs, items, scratch, table_bits)
+    keys = [f"__{x}" for x in c.ROW]
+    dirty = scratch.save(hits.select(*(F.col(x).alias(k) for x, k in zip(c.ROW, keys, strict=True))).distinct(), "dirty")
+    scratch.drop("found", "windows")
+    keyed = docs.select("*", *(x.alias(k) for x, k in zip(c.keyed(), keys, strict=True)))
+    return keyed.join(dirty, keys, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
