@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tasks over which the rows of one key are dealt in a salted join.
@@ -149,7 +149,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _random_words(n: int, seed: int) -> np.ndarray:
+def random_words(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
@@ -158,7 +158,7 @@ _BASE = U64(0xD1342543DE82EF95)
 
 def byte_values(fold_case: bool = False, seed: int = 11) -> np.ndarray:
     """A random 64-bit value for each byte; A-Z count as a-z if ``fold_case``."""
-    values = _random_words(256, seed)
+    values = random_words(256, seed)
     if fold_case:
         values[65:91] = values[97:123]
     return values
@@ -238,7 +238,7 @@ def gram_hashes(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     n = len(word) - k + 1
     if n <= 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    scale = _random_words(k, 77) | U64(1)
+    scale = random_words(k, 77) | U64(1)
     total = word[:n] * scale[0]
     for j in range(1, k):
         total += word[j : j + n] * scale[j]
@@ -247,6 +247,17 @@ def gram_hashes(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(total[at]), at
 
 
-def with_id(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, whatever else the table has."""
-    return df.select(*[F.col(c) for c in columns])
+# ---------------------------------------------------------------- row identity
+
+#: What a row is known by: its doc_id (LAST where it has none) and a hash of its text.
+ROW = ["doc_id", "row"]
+LAST = (1 << 63) - 1
+
+
+def keyed() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")]
+
+
+def own_id() -> Column:
+    """The doc_id of a keyed row, null again where it has none."""
+    return F.nullif(F.col("doc_id"), F.lit(LAST)).alias("doc_id")

@@ -53,14 +53,7 @@ def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both // (n + 1), both % (n + 1) - both // (n + 1)
 
 
-#: What a row is known by: its doc_id (the largest number where it has none) and a hash of its text.
-ROW = ["doc_id", "row"]
 _LINES = "doc_id long, row long, pos int, h1 long, h2 long, size int"
-_LAST = (1 << 63) - 1
-
-
-def _keyed(docs: DataFrame) -> tuple:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,41 +102,41 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = c.Scratch(spark, "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(*_keyed(docs), "text")
+    source = docs.select(*c.keyed(), "text")
     rows = scratch.save(source.mapInArrow(_line_rows, _LINES), "rows")
-    lines, windows = rows.where("size = 0").drop("size"), rows.where("size > 0").select(*ROW, "pos", "size")
+    lines, windows = rows.where("size = 0").drop("size"), rows.where("size > 0").select(*c.ROW, "pos", "size")
     deepest = windows.agg(F.max("size")).first()[0] or 0
 
     # level 0: ids of repeated lines; any other line ends all common prefixes
     repeated = _ordered_ids(lines.groupBy("h1", "h2").count().where("count > 1").drop("count"), ["h1", "h2"], n)
-    level = c.salted_join(lines, scratch.save(repeated, "ids0"), ["h1", "h2"], [*ROW, "pos"]).select(*ROW, "pos", "rank")
+    level = c.salted_join(lines, scratch.save(repeated, "ids0"), ["h1", "h2"], [*c.ROW, "pos"]).select(*c.ROW, "pos", "rank")
     levels = [scratch.save(level.distinct(), "level0")]  # equal rows are one
     step = 1
     while 2 * step <= deepest:
         here = levels[-1]
-        ahead = here.select(*ROW, (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = here.withColumnRenamed("rank", "this").join(ahead, [*ROW, "pos"])
+        ahead = here.select(*c.ROW, (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = here.withColumnRenamed("rank", "this").join(ahead, [*c.ROW, "pos"])
         ids = _ordered_ids(pairs.groupBy("this", "next").count().where("count > 1").drop("count"), ["this", "next"], n)
         k = len(levels)
-        levels.append(scratch.save(c.salted_join(pairs, scratch.save(ids, f"ids{k}"), ["this", "next"], [*ROW, "pos"]).select(*ROW, "pos", "rank"), f"level{k}"))
+        levels.append(scratch.save(c.salted_join(pairs, scratch.save(ids, f"ids{k}"), ["this", "next"], [*c.ROW, "pos"]).select(*c.ROW, "pos", "rank"), f"level{k}"))
         step *= 2
 
     # the interval of each window: its length and the two ranks that cover it
     later = None
     for k, ranks in enumerate(levels):
         own = windows.where((F.col("size") >= 1 << k) & (F.col("size") < 2 << k))
-        own = own.join(ranks.withColumnRenamed("rank", "front"), [*ROW, "pos"])
+        own = own.join(ranks.withColumnRenamed("rank", "front"), [*c.ROW, "pos"])
         if k:
-            tails = ranks.select(*ROW, F.col("pos").alias("tail"), F.col("rank").alias("back"))
-            own = own.withColumn("tail", F.col("pos") + F.col("size") - (1 << k)).join(tails, [*ROW, "tail"])
+            tails = ranks.select(*c.ROW, F.col("pos").alias("tail"), F.col("rank").alias("back"))
+            own = own.withColumn("tail", F.col("pos") + F.col("size") - (1 << k)).join(tails, [*c.ROW, "tail"])
         else:
             own = own.withColumn("back", F.col("front"))
-        own = scratch.save(own.select(*ROW, "pos", "size", "front", "back"), f"windows{k}")
+        own = scratch.save(own.select(*c.ROW, "pos", "size", "front", "back"), f"windows{k}")
         key = ["size", "front", "back"]
-        first = own.groupBy(*key).agg(F.min(F.struct(*ROW, "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-        found = c.salted_join(own, first, key, [*ROW, "pos"]).where(F.struct(*ROW, "pos") != F.col("first")).select(*ROW, "pos", "size")
+        first = own.groupBy(*key).agg(F.min(F.struct(*c.ROW, "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+        found = c.salted_join(own, first, key, [*c.ROW, "pos"]).where(F.struct(*c.ROW, "pos") != F.col("first")).select(*c.ROW, "pos", "size")
         later = found if later is None else later.unionByName(found)
-    marks = scratch.save(later.select(*ROW, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct(), "marks")
+    marks = scratch.save(later.select(*c.ROW, F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("pos")).distinct(), "marks")
     scratch.drop("rows", *(f"{x}{k}" for k in range(len(levels)) for x in ("ids", "level", "windows")))
     return marks
 
@@ -194,9 +187,9 @@ def _without(text: str, dead: set[int], inside: np.ndarray) -> tuple[str, int, i
 
 
 def _cut_documents(docs: DataFrame, drop_empty: bool) -> DataFrame:
-    marks = removed_lines(docs).groupBy(*(F.col(x).alias(f"__{x}") for x in ROW)).agg(F.collect_list("pos").alias("__gone"))
-    keyed = docs.select("*", *(x.alias(f"__{name}") for x, name in zip(_keyed(docs), ROW, strict=True)))
-    joined = keyed.join(marks, [f"__{x}" for x in ROW], "left").select(*docs.columns, "__gone")
+    marks = removed_lines(docs).groupBy(*(F.col(x).alias(f"__{x}") for x in c.ROW)).agg(F.collect_list("pos").alias("__gone"))
+    keyed = docs.select("*", *(x.alias(f"__{name}") for x, name in zip(c.keyed(), c.ROW, strict=True)))
+    joined = keyed.join(marks, [f"__{x}" for x in c.ROW], "left").select(*docs.columns, "__gone")
     fields = list(docs.schema.fields)
     if not drop_empty:
         fields.append(T.StructField("n_removed_lines", T.LongType()))

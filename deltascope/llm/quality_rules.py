@@ -13,7 +13,7 @@ gives an empty result; further columns are ignored.
 
 Scale: one pass over the texts, then sums by host with map-side combine, so that
 a host with a third of all rows is a few partial sums.  The verdicts are joined
-on (host, salt) and never broadcast unless their count is checked.
+on (host, salt), by broadcast only where Spark's size check allows it.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ HOST_LIMIT = 0.6
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
 SALTS = 16
-#: Most rejected hosts that are broadcast; beyond, hosts are joined by shuffle.
-BROADCAST_HOSTS = 10_000
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 STATS_SCHEMA = ", ".join(f"{x} long" for x in STATS)
@@ -164,8 +162,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
             yield rows.filter(pa.array(~fails))
 
     passed = docs.mapInArrow(flagged, T.StructType(docs.schema.fields))
-    small = bad.count() <= BROADCAST_HOSTS
-    return passed.join(F.broadcast(bad) if small else bad, "source", "left_anti").select(*docs.columns)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    parts = bad.select(F.col("source").alias("__source"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
+    passed = passed.withColumn("__salt", salt)
+    return passed.join(parts, (F.col("source") == F.col("__source")) & (F.col("__salt") == F.col("__part")), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from deltascope.llm import _common as c
 
 LENGTH = 50
-#: Stands for a missing doc_id: after all others.
-LAST = (1 << 63) - 1
 GRAM = 24
 WIDTH = LENGTH - GRAM + 1
 #: Most windows of one segment; longer stretches are cut, with overlap.
@@ -58,7 +56,7 @@ _ONE, _TWO = c.byte_values(seed=61), c.byte_values(seed=62)
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc ids, bytes and offsets of a block in a fixed order, whatever order its rows came in."""
     table = table.select(["doc_id", "text"]).combine_chunks()
-    doc = pc.fill_null(table.column("doc_id"), LAST).to_numpy()
+    doc = pc.fill_null(table.column("doc_id"), c.LAST).to_numpy()
     order = np.argsort(doc, kind="stable")
     if len(doc) and (doc[order][1:] == doc[order][:-1]).any():
         texts = table.column("text").to_pylist()
@@ -351,7 +349,7 @@ def _cut(outputs: tuple[str, ...]):
             a, b = offsets[i], offsets[i + 1]
             own = dead[a:b]
             kept = data[a:b][~own].tobytes()
-            cols["doc_id"].append(int(doc[i]) if doc[i] != LAST else None)
+            cols["doc_id"].append(int(doc[i]) if doc[i] != c.LAST else None)
             cols["n_bytes"].append(int(b - a))
             cols["n_removed"].append(int(own.sum()))
             flips = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))

@@ -36,7 +36,7 @@ def test_repeated_and_missing_ids(spark):
     rows = [(2, run)] * 4 + [(2, "precious unique first line of ten words and then some\nsecond")] * 2 + [(None, run + "\nend"), (None, "own words of a row without any id at all here"), (9, run)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marks = d.removed_lines(df)
-    assert marks.count() == 48 and {r.doc_id for r in marks.collect()} == {9, d._LAST}
+    assert marks.count() == 48 and {r.doc_id for r in marks.collect()} == {9, d.c.LAST}
     got = sorted(((r.doc_id or 99), r.text, r.n_removed_lines) for r in d.dedupe(df).collect())
     assert got == sorted([(2, run, 0)] * 4 + [(2, rows[4][1], 0)] * 2 + [(99, "end", 24), (99, rows[7][1], 0), (9, "", 24)])
 

@@ -10,7 +10,7 @@ from deltascope.llm import suffix_dedup as d
 def brute(docs):
     """(removed, spans, kept) of each row, with a plain dictionary of all strings."""
     least = {}
-    raw = [(d.LAST if i is None else i, (t or "").encode()) for i, t in docs]
+    raw = [(d.c.LAST if i is None else i, (t or "").encode()) for i, t in docs]
     for i, b in raw:
         for p in range(len(b) - d.LENGTH + 1):
             s = b[p : p + d.LENGTH]
@@ -42,7 +42,7 @@ def test_rows_are_those_of_brute_force(spark, seed):
     docs = random_docs(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, block int").repartition(3)
     got = d.dedupe(df, ("n_bytes", "n_removed", "n_spans", "kept_sha256")).collect()
-    assert sorted((d.LAST if r[0] is None else r[0], *r[1:]) for r in got) == brute(docs)
+    assert sorted((d.c.LAST if r[0] is None else r[0], *r[1:]) for r in got) == brute(docs)
 
 
 def test_suffix_array_is_sorted_and_classes_are_whole():
