@@ -10,9 +10,10 @@ a smaller doc_id.  Documents are dealt into blocks.  Three steps over them:
    segments travel by anchor, so that equal windows meet.  There the suffixes that
    are smaller than their successors are sorted directly, all others are induced
    from them by one ascending scan over the first-byte buckets, and neighbours in
-   the array with a common prefix of 50 bytes or more are one class.  All members
-   of a class outside its least document are marked.
-3. Blocks cut the marked bytes out of their documents.
+   the array with a common prefix of 50 bytes or more are one class.  A segment
+   goes home with the least document of each of its windows' classes.
+3. Blocks find the places of their segments again, and cut out the bytes of every
+   window whose class has a lesser document.
 
 Cases: null is the empty text, and a text of under 50 bytes is kept whole; strings
 repeated inside one document stay; rows that repeat a doc_id are rows of their own
@@ -20,9 +21,9 @@ and don't erase each other; a row without a doc_id counts as one after all
 others and erases nothing; empty tables and further columns are fine.
 
 Scale: one exchange of the texts serves all steps; anchors and segments are packed
-per block and bucket, equal segments of a block travel once with the list of their
-places.  An anchor that is everywhere costs a block one entry, and arrays are built
-over chunks of whole anchors.
+per block and bucket, and places never leave their block: a passage that is
+everywhere costs a block one entry, and equal segments of all blocks are sorted
+once.  Arrays are built over chunks of whole anchors.
 """
 
 from __future__ import annotations
@@ -144,41 +145,74 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": c.binary_rows(bits)})
 
 
-def _segments(anchor_buckets: int, buckets: int):
-    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        doc, data, offsets = _block(rows)
+class Segments:
+    """The segments of a block whose anchors are wanted, equal ones named once.
+
+    ``order`` sorts the segments by bucket, anchor and content; ``new`` flags the
+    first of equal ones there (a head).  Every step that asks gets the same heads.
+    """
+
+    def __init__(self, rows: pa.Table, buckets: int, wanted) -> None:
+        self.doc, self.data, self.offsets = doc, data, offsets = _block(rows)
         anchor, row, start, count = stretches(data, offsets)
-        anchors, bucket = _by_bucket(anchor, anchor_buckets)
-        flag = np.zeros(len(anchors), bool)
-        for k, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-            a, b = np.searchsorted(bucket, [k, k + 1])
-            flag[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a]
-        place = np.searchsorted(anchors, anchor)
-        # inside the block: anchors of two or more rows
-        pairs = np.unique(place * np.int64(len(doc) + 1) + row)
-        flag |= np.bincount(pairs // (len(doc) + 1), minlength=len(anchors)) > 1
-        keep = flag[place] if len(place) else np.zeros(0, bool)
+        keep = wanted(anchor, row, len(doc))
         anchor, row, start, count = anchor[keep], row[keep], start[keep], count[keep]
         pieces = -(-count // SEGMENT_WINDOWS)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        anchor, row = np.repeat(anchor, pieces), np.repeat(row, pieces)
-        start, left = np.repeat(start, pieces) + nth * SEGMENT_WINDOWS, np.repeat(count, pieces) - nth * SEGMENT_WINDOWS
-        count = np.minimum(left, SEGMENT_WINDOWS)
-        end = start + count + LENGTH - 1
-        h1, h2 = c.span_hashes(_ONE[data], start, end), c.span_hashes(_TWO[data], start, end)
-        to = (anchor % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((h2, h1, anchor, to))
+        self.anchor, self.row = np.repeat(anchor, pieces), np.repeat(row, pieces)
+        self.start, left = np.repeat(start, pieces) + nth * SEGMENT_WINDOWS, np.repeat(count, pieces) - nth * SEGMENT_WINDOWS
+        self.count = np.minimum(left, SEGMENT_WINDOWS)
+        self.end = self.start + self.count + LENGTH - 1
+        self.h1, self.h2 = _span_pairs(data, offsets, self.row, self.start, self.end)
+        self.to = (self.anchor % np.uint64(buckets)).astype(np.int64)
+        self.order = o = np.lexsort((self.h2, self.h1, self.anchor, self.to))
+        self.new = np.r_[True, (self.h1[o][1:] != self.h1[o][:-1]) | (self.h2[o][1:] != self.h2[o][:-1]) | (self.anchor[o][1:] != self.anchor[o][:-1])][: len(o)]
+        self.heads = o[self.new]
+
+
+def _span_pairs(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each span (spans in the order of their rows), a piece of the rows at a time."""
+    out: list[list[np.ndarray]] = [[], []]
+    a = 0
+    while a < len(row):
+        limit = offsets[row[a]] + PIECE_BYTES
+        z = max(int(np.searchsorted(end, limit, side="right")), int(np.searchsorted(row, row[a], side="right")))
+        lo, hi = int(start[a]), int(end[a:z].max())
+        for values, hashes in zip((_ONE, _TWO), out, strict=True):
+            hashes.append(c.span_hashes(values[data[lo:hi]], start[a:z] - lo, end[a:z] - lo))
+        a = z
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *out[0]]), np.concatenate([none, *out[1]])
+
+
+def _segments(anchor_buckets: int, buckets: int):
+    """By bucket: each distinct segment of a block, with its least document there."""
+
+    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        def wanted(anchor: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+            anchors, bucket = _by_bucket(anchor, anchor_buckets)
+            flag = np.zeros(len(anchors), bool)
+            for k, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True):
+                a, b = np.searchsorted(bucket, [k, k + 1])
+                flag[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8))[: b - a]
+            place = np.searchsorted(anchors, anchor)
+            # inside the block: anchors of two or more rows
+            pairs = np.unique(place * np.int64(n + 1) + row)
+            flag |= np.bincount(pairs // (n + 1), minlength=len(anchors)) > 1
+            return flag[place] if len(place) else np.zeros(0, bool)
+
+        own = Segments(rows, buckets, wanted)
+        heads = own.heads
+        least = np.minimum.reduceat(own.doc[own.row[own.order]], np.flatnonzero(own.new)) if len(heads) else np.zeros(0, np.int64)
         out: dict[str, list] = {x: [] for x in ("bucket", "block", "size", "blob", "meta")}
-        edge = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0]) if len(order) else []
-        for a, b in zip(edge, [*edge[1:], len(order)] if len(order) else [], strict=True):
-            own = order[a:b]
-            new = np.r_[True, (h1[own][1:] != h1[own][:-1]) | (h2[own][1:] != h2[own][:-1]) | (anchor[own][1:] != anchor[own][:-1])]
-            heads = own[new]
-            blob = b"".join([data[x:y].tobytes() for x, y in zip(start[heads].tolist(), end[heads].tolist(), strict=True)])
-            meta = b"".join(np.ascontiguousarray(x).tobytes() for x in (anchor[heads], count[heads].astype(np.int64), np.cumsum(new) - 1, doc[row[own]].astype(np.int64), row[own].astype(np.int64), (start[own] - offsets[row[own]]).astype(np.int64)))
-            out["bucket"].append(int(to[own[0]]))
+        edge = np.flatnonzero(np.r_[True, np.diff(own.to[heads]) != 0]) if len(heads) else []
+        for a, b in zip(edge, [*edge[1:], len(heads)] if len(heads) else [], strict=True):
+            h = heads[a:b]
+            blob = b"".join([own.data[x:y].tobytes() for x, y in zip(own.start[h].tolist(), own.end[h].tolist(), strict=True)])
+            meta = b"".join(np.ascontiguousarray(x).tobytes() for x in (own.anchor[h], own.h1[h], own.h2[h], least[a:b].astype(np.int64), own.count[h].astype(np.uint8)))
+            out["bucket"].append(int(own.to[h[0]]))
             out["block"].append(key[0].as_py())
-            out["size"].append([len(heads), len(own), len(blob)])
+            out["size"].append([len(h), len(blob)])
             out["blob"].append(_pack(blob))
             out["meta"].append(_pack(meta))
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "size": pa.array(out["size"], pa.list_(pa.int64())), "blob": c.binary_rows(out["blob"]), "meta": c.binary_rows(out["meta"])})
@@ -275,87 +309,101 @@ def same_as_before(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.r_[False, same] if len(order) else np.zeros(0, bool)
 
 
-def _marks(key: tuple, table: pa.Table) -> pa.Table:
-    """Spans of marked bytes (row of its block, begin, end), by block."""
-    anchor, count, blobs, seg, doc, row, start, block = [], [], [], [], [], [], [], []
-    base = 0
-    for b, size, blob, meta in zip(*(table.column(x).to_pylist() for x in ("block", "size", "blob", "meta")), strict=True):
-        heads, own, raw = size
-        values = np.frombuffer(_unpack(meta, 8 * (2 * heads + 4 * own)), np.int64)
-        cut = np.cumsum([heads, heads, own, own, own])
-        a, n, s, d, r, p = np.split(values, cut)
-        anchor.append(a)
-        count.append(n)
-        seg.append(s + base)
-        doc.append(d)
-        row.append(r)
-        start.append(p)
-        block.append(np.full(own, b))
+def _floors(key: tuple, table: pa.Table) -> pa.Table:
+    """For each block's segments of a bucket: the least document of each window's class, as runs."""
+    meta, blobs, parts = [], [], []
+    for (heads, raw), blob, packed in zip(*(table.column(x).to_pylist() for x in ("size", "blob", "meta")), strict=True):
+        plain = _unpack(packed, 33 * heads)
+        meta.append((*np.frombuffer(plain, np.uint64, 3 * heads).reshape(3, heads), np.frombuffer(plain, np.int64, heads, 24 * heads), np.frombuffer(plain, np.uint8, heads, 32 * heads).astype(np.int64)))
         blobs.append(np.frombuffer(_unpack(blob, raw), np.uint8))
-        base += heads
-    anchor, count, seg, doc, row, start, block = map(np.concatenate, (anchor, count, seg, doc, row, start, block))
+        parts.append(heads)
+    anchor, h1, h2, least, count = (np.concatenate(x) for x in zip(*meta, strict=True))
     text = np.concatenate(blobs)
-    at = np.r_[0, np.cumsum(count + LENGTH - 1)]
-    by_anchor = np.argsort(anchor, kind="stable")
-    places = np.argsort(seg, kind="stable")
-    first_place = np.searchsorted(seg[places], np.arange(len(anchor) + 1))
-    least = np.minimum.reduceat(doc[places], first_place[:-1]) if len(anchor) else doc[:0]
-    new = np.flatnonzero(np.r_[True, np.diff(anchor[by_anchor]) != 0])
-    bytes_before = np.r_[0, np.cumsum((count + LENGTH - 1)[by_anchor])]
-    floor = np.zeros(len(text), np.int64)  # for each window start: the least document of its class
+    del meta, blobs
+    # equal segments of all blocks are one, with the least document of them all
+    order = np.lexsort((h2, h1, anchor))
+    new = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
+    named = np.empty(len(order), np.int64)
+    named[order] = np.cumsum(new) - 1
+    edge = np.flatnonzero(new)
+    at = np.r_[0, np.cumsum(count + LENGTH - 1)][order[edge]]
+    own_anchor, own_least, own_count = anchor[order[edge]], np.minimum.reduceat(least[order], edge), count[order[edge]]
+    size = own_count + LENGTH - 1
+    first_window = np.r_[0, np.cumsum(own_count)]
+    floor = np.zeros(first_window[-1], np.int64)  # for each window: the least document of its class
+    group = np.flatnonzero(np.r_[True, np.diff(own_anchor) != 0])
+    bytes_before = np.r_[0, np.cumsum(size)]
     a = 0
-    while a < len(new):
-        z = int(np.searchsorted(bytes_before[new], bytes_before[new[a]] + CHUNK_BYTES, side="right"))
-        z = max(z, a + 1)
-        own = by_anchor[new[a] : new[z] if z < len(new) else len(by_anchor)]
+    while a < len(group):
+        z = max(int(np.searchsorted(bytes_before[group], bytes_before[group[a]] + CHUNK_BYTES, side="right")), a + 1)
+        lo, hi = group[a], group[z] if z < len(group) else len(size)
         a = z
-        size = count[own] + LENGTH - 1
-        begin = np.r_[0, np.cumsum(size)[:-1]]
-        source = np.repeat(at[own] - begin, size) + np.arange(size.sum())
-        piece = text[source]
-        order = suffix_array(piece, begin, count[own])
-        head = np.flatnonzero(~same_as_before(piece, order))
-        owner = np.repeat(np.arange(len(own)), size)
-        lowest = np.minimum.reduceat(least[own][owner[order]], head)
-        floor[source[order]] = np.repeat(lowest, np.diff(np.r_[head, len(order)]))
-    # every place of a segment: windows whose class has a lower document
-    n = count[seg]
-    which = np.repeat(np.arange(len(seg)), n)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    gone = floor[at[seg[which]] + nth] < doc[which]
-    which, nth = which[gone], nth[gone]
-    edge = np.flatnonzero(np.r_[True, (np.diff(which) != 0) | (np.diff(nth) != 1)]) if len(which) else np.zeros(0, np.int64)
-    final = np.r_[edge[1:] - 1, len(which) - 1] if len(which) else edge
-    b, r = block[which[edge]], row[which[edge]]
-    x, y = start[which[edge]] + nth[edge], start[which[final]] + nth[final] + LENGTH
-    order = np.lexsort((x, r, b))
-    b, r, x, y = b[order], r[order], x[order], y[order]
-    edge = np.flatnonzero(np.r_[True, np.diff(b) != 0]) if len(b) else np.zeros(0, np.int64)
-    spans = [np.stack([r[i:j], x[i:j], y[i:j]]).astype(np.int64).tobytes() for i, j in zip(edge, [*edge[1:], len(b)] if len(b) else [], strict=True)]
-    return pa.table({"block": pa.array(b[edge], pa.int64()), "spans": pa.array([_pack(s) for s in spans], pa.binary()), "n": pa.array([len(s) // 24 for s in spans], pa.int64())})
-
-
-def _cut(outputs: tuple[str, ...]):
-    def run(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
-        doc, data, offsets = _block(rows)
+        begin = bytes_before[lo:hi] - bytes_before[lo]
+        piece = text[np.repeat(at[lo:hi] - begin, size[lo:hi]) + np.arange(bytes_before[hi] - bytes_before[lo])]
+        windows = suffix_array(piece, begin, own_count[lo:hi])
+        head = np.flatnonzero(~same_as_before(piece, windows))
+        owner = np.searchsorted(begin, windows, side="right") - 1
+        lowest = np.minimum.reduceat(own_least[lo:hi][owner], head)
+        floor[first_window[lo + owner] + windows - begin[owner]] = np.repeat(lowest, np.diff(np.r_[head, len(windows)]))
+    # runs of windows with one floor, for each distinct segment
+    starts = np.r_[True, floor[1:] != floor[:-1]]
+    starts[first_window[:-1]] = True
+    run = np.flatnonzero(starts)
+    of = np.searchsorted(first_window, run, side="right") - 1
+    run_end, run_floor = np.r_[run[1:], len(floor)] - first_window[of], floor[run]
+    runs = np.bincount(of, minlength=len(size))
+    first_run = np.r_[0, np.cumsum(runs)]
+    sizes, replies, lo = [], [], 0
+    for heads in parts:
+        own = named[lo : lo + heads]
+        n = runs[own]
+        which = np.repeat(first_run[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        replies.append(_pack(b"".join(np.ascontiguousarray(x).tobytes() for x in (anchor[lo : lo + heads], run_floor[which], n.astype(np.uint8), run_end[which].astype(np.uint8)))))
+        sizes.append([heads, int(n.sum())])
+        lo += heads
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "size": pa.array(sizes, pa.list_(pa.int64())), "floors": pa.array(replies, pa.binary())})
+
+
+def _cut(buckets: int, outputs: tuple[str, ...]):
+    def run(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        anchors, floors, counts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, (heads, n), packed in sorted(zip(*(replies.column(x).to_pylist() for x in ("bucket", "size", "floors")), strict=True), key=lambda x: x[0]):
+            plain = _unpack(packed, 9 * (heads + n))
+            anchors.append(np.frombuffer(plain, np.uint64, heads))
+            floors.append(np.frombuffer(plain, np.int64, n, 8 * heads))
+            counts.append(np.frombuffer(plain, np.uint8, heads, 8 * (heads + n)).astype(np.int64))
+            ends.append(np.frombuffer(plain, np.uint8, n, 8 * (heads + n) + heads).astype(np.int64))
+        asked, floor, n_runs, end = (np.concatenate(x) for x in (anchors, floors, counts, ends))
+        asked = np.unique(asked)
+        own = Segments(rows, buckets, lambda anchor, row, n: np.isin(anchor, asked))
+        # the runs of each place's head; a run goes if its floor is below the place's document
+        doc, data, offsets = own.doc, own.data, own.offsets
+        head = np.cumsum(own.new) - 1
+        n = n_runs[head]
+        place = np.repeat(own.order, n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        which = np.repeat((np.cumsum(n_runs) - n_runs)[head], n) + nth
+        dead = floor[which] < doc[own.row[place]]
+        place, which, nth = place[dead], which[dead], nth[dead]
+        begin = np.where(nth > 0, end[which - 1], 0)
         gone = np.zeros(len(data) + 1, np.int32)
-        for n, packed in zip(marks.column("n").to_pylist(), marks.column("spans").to_pylist(), strict=True):
-            r, x, y = np.frombuffer(_unpack(packed, 24 * n), np.int64).reshape(3, -1)
-            np.add.at(gone, offsets[r] + x, 1)
-            np.add.at(gone, offsets[r] + y, -1)
+        np.add.at(gone, own.start[place] + begin, 1)
+        np.add.at(gone, own.start[place] + end[which] + LENGTH - 1, -1)
         dead = np.cumsum(gone)[:-1] > 0
         cols: dict[str, list] = {k: [] for k in _OUT}
         for i in range(len(doc)):
             a, b = offsets[i], offsets[i + 1]
-            own = dead[a:b]
-            kept = data[a:b][~own].tobytes()
+            mine = dead[a:b]
+            kept = data[a:b][~mine].tobytes()
             cols["doc_id"].append(int(doc[i]) if doc[i] != c.LAST else None)
             cols["n_bytes"].append(int(b - a))
-            cols["n_removed"].append(int(own.sum()))
-            flips = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
+            cols["n_removed"].append(int(mine.sum()))
+            flips = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
             cols["n_spans"].append(len(flips) // 2)
-            cols["spans"].append(flips.reshape(-1, 2).tolist())
-            cols["kept"].append(kept)
+            if "spans" in outputs:
+                cols["spans"].append(flips.reshape(-1, 2).tolist())
+            if "kept" in outputs:
+                cols["kept"].append(kept)
             cols["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
         return pa.table({k: pa.array(cols[k], _OUT[k][1]) for k in ("doc_id", *outputs)})
 
@@ -383,9 +431,9 @@ def dedupe(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_removed",
     anchors = rows.applyInArrow(_anchors(anchor_buckets), "bucket long, block long, packed binary")
     replies = anchors.groupBy("bucket").applyInArrow(_shared, "block long, bucket long, bits binary")
     segments = rows.cogroup(replies.groupBy("block")).applyInArrow(_segments(anchor_buckets, buckets), "bucket long, block long, size array<long>, blob binary, meta binary")
-    marks = segments.groupBy("bucket").applyInArrow(_marks, "block long, spans binary, n long")
+    floors = segments.groupBy("bucket").applyInArrow(_floors, "block long, bucket long, size array<long>, floors binary")
     schema = ", ".join(f"{k} {_OUT[k][0]}" for k in ("doc_id", *outputs))
-    return rows.cogroup(marks.groupBy("block")).applyInArrow(_cut(tuple(outputs)), schema)
+    return rows.cogroup(floors.groupBy("block")).applyInArrow(_cut(buckets, tuple(outputs)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
