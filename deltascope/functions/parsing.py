@@ -46,6 +46,39 @@ def without_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*\n?|\n?```$", ""))
 
 
+def balanced_object(text: Column) -> Column:
+    """The first {...} whose braces balance, quotes disregarded; null without one."""
+    rest = F.regexp_extract(text, r"(?s)(\{.*)", 1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.struct((a["at"] + 1).alias("at"), depth.alias("depth"), F.when((a["end"] == 0) & (depth == 0), a["at"] + 1).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), start, step)["end"]
+    return F.when((rest != "") & (end > 0), F.substring(rest, F.lit(1), end))
+
+
+def summary_names(text: Column) -> Column:
+    """Lower-case names of a summary "Name (level), Name (level)"."""
+    return _names(F.split(text, ", "), r"^(.+?)\s*\(")
+
+
+def risky_names(text: Column) -> Column:
+    """Lower-case names of a list "type::Name (file) [level, score=x] | ..."."""
+    return _names(F.split(text, r" \| "), r"^(?:\w+::)?(.+?)\s*\(")
+
+
+def risky_files(text: Column) -> Column:
+    """Lower-case files of the same list."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\(([^)]+\.\w+)\)"), 1), F.lower)))
+
+
+def _names(parts: Column, pattern: str) -> Column:
+    found = F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.regexp_extract(x, pattern, 1))))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
+
+
 def issues(text: Column) -> Column:
     """array<struct<issue, evidence, severity, file>> of a model's answer.
 
@@ -53,7 +86,7 @@ def issues(text: Column) -> Column:
     around the first object is ignored; an unreadable answer has no issues.
     """
     body = without_fences(text)
-    whole = F.coalesce(F.get_json_object(body, "$.issues"), F.get_json_object(F.regexp_extract(body, r"(?s)(\{.*\})", 1), "$.issues"))
+    whole = F.coalesce(F.get_json_object(body, "$.issues"), F.get_json_object(balanced_object(body), "$.issues"))
     items = F.coalesce(F.from_json(whole, "array<string>"), F.array().cast("array<string>"))
     row = lambda x: F.struct(F.coalesce(F.get_json_object(x, "$.issue"), F.when(~x.startswith("{"), x)).alias("issue"), F.get_json_object(x, "$.evidence").alias("evidence"), F.get_json_object(x, "$.severity").alias("severity"), F.get_json_object(x, "$.file").alias("file"))
     return F.filter(F.transform(items, row), lambda r: F.coalesce(r["issue"], F.lit("")) != "")

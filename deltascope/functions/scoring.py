@@ -28,8 +28,12 @@ def text_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
 
 
+# The white space of Unicode.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(x: Column) -> Column:
-    return F.btrim(x, F.lit(" \t\n\r\v\f"))
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 def line_set(lines: Column) -> Column:

@@ -70,7 +70,7 @@ def diff_files(diffs: DataFrame) -> DataFrame:
 
 
 def diff_parts(diffs: DataFrame) -> DataFrame:
-    """pr_id, part_no, size and weight of each file's part of a diff."""
+    """pr_id, part_no, size, weight, path and text of each file's part of a diff."""
     rows = diffs.select("pr_id", F.posexplode(F.split("diff", "diff --git ")).alias("part_no", "part")).where(F.trim("part") != "")
     count = lambda x: F.size(F.split("part", x)) - 1
     adds = F.greatest(count(r"\n\+") - count(r"\n\+\+\+"), F.lit(0))
@@ -79,7 +79,8 @@ def diff_parts(diffs: DataFrame) -> DataFrame:
     first = F.lower(F.split("part", "\n")[0])
     for names, factor in PART_WEIGHTS:
         weight = F.when(p.contains(first, names), weight * factor).otherwise(weight)
-    return rows.select("pr_id", "part_no", F.octet_length("part").alias("bytes"), weight.alias("weight"))
+    path = F.regexp_extract(F.split("part", "\n")[0], r" b/(.+)$", 1)
+    return rows.select("pr_id", "part_no", F.octet_length("part").alias("bytes"), weight.alias("weight"), path.alias("path"), "part")
 
 
 def truncate_diff(diffs: DataFrame, limit: int) -> DataFrame:
@@ -90,6 +91,22 @@ def truncate_diff(diffs: DataFrame, limit: int) -> DataFrame:
     return parts.withColumn("so_far", so_far).join(whole, "pr_id").where(F.col("whole") | (F.col("so_far") <= limit)).select("pr_id", "part_no", "weight")
 
 
+def truncated_text(diffs: DataFrame, limit: int) -> DataFrame:
+    """pr_id, kind, parts, text: a whole diff that fits, else its chosen parts, else its first ``limit`` bytes.
+
+    The bytes end at a whole character.
+    """
+    chosen = truncate_diff(diffs, limit).join(diff_parts(diffs).select("pr_id", "part_no", "part"), ["pr_id", "part_no"])
+    order = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "part_no", F.concat(F.lit("diff --git "), "part").alias("part"))))
+    texts = chosen.groupBy("pr_id").agg(order.alias("xs")).select("pr_id", F.size("xs").cast("long").alias("parts"), F.array_join(F.transform("xs", lambda x: x["part"]), "").alias("joined"))
+    rows = diffs.select("pr_id", "diff").join(texts, "pr_id", "left")
+    fits = F.octet_length("diff") <= limit
+    # a character cut in two is invalid at the end only, and goes
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.col("diff").cast("binary"), 1, limit).cast("string")), "\ufffd+$", "")
+    kind = F.when(fits, "whole").when(F.col("joined").isNotNull(), "parts").otherwise("prefix")
+    return rows.select("pr_id", kind.alias("kind"), F.coalesce("parts", F.lit(0)).alias("parts"), F.when(fits, F.col("diff")).otherwise(F.coalesce("joined", head)).alias("text"))
+
+
 def grep(files: DataFrame, pattern: str, context: int = 0, case_sensitive: bool = False) -> DataFrame:
     """file, line (from 1), col (byte in the searched line), text, and lines around: literal search, first hit a line."""
     lines = files.select("file", F.split("text", "\n").alias("all"))
@@ -100,3 +117,21 @@ def grep(files: DataFrame, pattern: str, context: int = 0, case_sensitive: bool
     before = F.slice("all", F.greatest(F.col("k") + 1 - context, F.lit(1)), F.least(F.col("k"), F.lit(context)))
     after = F.slice("all", F.col("k") + 2, F.lit(context))
     return rows.select("file", (F.col("k") + 1).cast("long").alias("line"), (F.octet_length(F.substring(hay, F.lit(1), at - 1)) + 1).cast("long").alias("col"), "text", F.array_join(before, "\n").alias("before"), F.array_join(after, "\n").alias("after"))
+
+
+def grep_everywhere(change: DataFrame, fragments: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
+    """Matches in a change's files, and in fragments of other files of the repository that are no noise.
+
+    change: file, text.  fragments: file, fragment, text; their lines count from the
+    fragment's first.
+    """
+    own = grep(change, pattern, case_sensitive=case_sensitive).select("file", "line", "col", "text")
+    others = fragments.join(change.select("file").distinct(), "file", "left_anti").where(~p.is_noise(F.col("file")))
+    key = F.struct("file", "fragment").alias("file")
+    found = grep(others.select(key, "text"), pattern, case_sensitive=case_sensitive)
+    return own.unionByName(found.select(F.col("file.file").alias("file"), "line", "col", "text"))
+
+
+def first_matches(matches: DataFrame, limit: int = SHOWN_MATCHES) -> DataFrame:
+    """The matches that are shown; the total is counted beside them."""
+    return matches.orderBy("file", "line", "col").limit(limit)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltascope.sources.tables import cut
+from deltascope.functions import predicates as p
+from deltascope.sources.tables import cut, global_rank
 
 #: Transitive dependents are counted up to this many.
 BLAST_CAP = 10_000
@@ -38,14 +39,13 @@ def blast_radius(edges: DataFrame, changes: DataFrame, cap: int = BLAST_CAP) ->
     """
     step = cut(edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct())
     start = changes.select(F.col("entity_id").alias("origin")).distinct()
-    reached = cut(start.join(step, F.col("origin") == F.col("at")).select("origin", F.col("next").alias("at")).where("origin <> at").distinct())
-    frontier = reached
-    while frontier.limit(1).count():
+    frontier = reached = cut(start.join(step, F.col("origin") == F.col("at")).select("origin", F.col("next").alias("at")).where("origin <> at").distinct())
+    while not frontier.isEmpty():
         found = frontier.join(step, "at").select("origin", F.col("next").alias("at")).where("origin <> at").distinct()
         fresh = found.join(reached, ["origin", "at"], "left_anti")
         full = reached.groupBy("origin").count().where(F.col("count") >= cap).select("origin")
         frontier = cut(fresh.join(full, "origin", "left_anti"))
-        reached = cut(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)  # tables written so far, each once
     return reached.groupBy(F.col("origin").alias("entity_id")).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("blast_radius"))
 
 
@@ -62,7 +62,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = label.join(near, "a").select("a", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         up = label.select(F.col("a").alias("c"), F.col("c").alias("up"))
         new = cut(low.join(up, "c").select("a", "old", F.least("c", "up").alias("c")))
-        moved = new.where("c <> old").limit(1).count()
+        moved = not new.where("c <> old").isEmpty()
         label = new.select("a", "c")
         if not moved:
             break
@@ -78,10 +78,52 @@ def groups(reviews: DataFrame, membership: DataFrame) -> DataFrame:
     """
     rows = reviews.join(membership, "entity_id")
     agg = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("review_rank", "entity_name")).alias("first"), F.min("file_path").alias("lo"), F.max("file_path").alias("hi"))
-    n = F.least(F.length("lo"), F.length("hi"))
-    same = F.expr("array_min(concat(filter(sequence(1, 500), k -> substr(lo, k, 1) <> substr(hi, k, 1)), array(501))) - 1")
-    prefix = F.substring("lo", F.lit(1), F.least(n, same))
+    shorter = F.least(F.length("lo"), F.length("hi"))
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda k: F.substring("lo", k, F.lit(1)) != F.substring("hi", k, F.lit(1)))
+    prefix = F.substring("lo", F.lit(1), F.least(F.coalesce(F.array_min(differ) - 1, shorter), shorter))
     cut_at = F.when(prefix.contains("/"), F.regexp_extract(prefix, "^(.*/)", 1)).otherwise(prefix)
     label = F.when(F.col("size") == 1, F.col("first.entity_name")).when(cut_at != "", cut_at).otherwise(F.concat(F.col("size").cast("string"), F.lit(" entities")))
-    number = F.row_number().over(Window.orderBy(F.desc("size"), F.col("first.review_rank"))) - 1
-    return agg.select("component", number.alias("group_id"), label.alias("label"), "size")
+    named = agg.select("component", "size", label.alias("label"), F.col("first.review_rank").alias("rank"))
+    return global_rank(named, [F.desc("size"), "rank"], "number").select("component", (F.col("number") - 1).alias("group_id"), "label", "size")
+
+
+def neighbours(edges: DataFrame, entities: DataFrame, incoming: bool, limit: int | None = None) -> DataFrame:
+    """entity_id and its neighbours as an array of (name, file), by name: dependents if ``incoming``, else dependencies.
+
+    With a ``limit`` only that many are gathered of each entity, so that a hub is a short row.
+    """
+    here, there = ("dst", "src") if incoming else ("src", "dst")
+    other = entities.select(F.col("entity_id").alias(there), F.col("entity_name").alias("name"), F.col("file_path").alias("file"))
+    rows = edges.select("src", "dst").distinct().join(other, there)
+    if limit is not None:
+        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(here).orderBy("name", "file", there))).where(F.col("rn") <= limit)
+    return rows.groupBy(F.col(here).alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("name", "file"))).alias("neighbours"))
+
+
+def with_lines(changes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds start_line and end_line of the entity in the graph; 0 where it isn't there."""
+    lines = entities.groupBy("entity_id").agg(F.min("start_line").alias("start_line"), F.min_by("end_line", "start_line").alias("end_line"))
+    rows = changes.join(lines, "entity_id", "left")
+    return rows.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("start_line", "end_line")})
+
+
+def find(reviews: DataFrame, name: str, path_suffix: str = "") -> DataFrame:
+    """The first entity of that name in review order, in a file that ends so; no row if there is none."""
+    rows = reviews.where((F.col("entity_name") == name) & F.col("file_path").endswith(path_suffix))
+    return rows.orderBy(F.desc("risk_score"), "change_seq").limit(1)
+
+
+def lookup(entities: DataFrame, name: str, path_part: str = "") -> DataFrame:
+    """Entities of that name, or members of it, in files whose path contains ``path_part``."""
+    return entities.where(p.named(F.col("entity_name"), name) & F.col("file_path").contains(path_part))
+
+
+def references(entities: DataFrame) -> DataFrame:
+    """(src, dst): entities whose content has another one's name as a word; the edges of a graph.
+
+    Words meet names by an equi join; a name borne by several entities leads to
+    the one with the least id.
+    """
+    names = entities.where(F.coalesce("entity_name", F.lit("")) != "").groupBy(F.col("entity_name").alias("word")).agg(F.min("entity_id").alias("dst"))
+    words = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0)))
+    return entities.select(F.col("entity_id").alias("src"), words.alias("word")).join(names, "word").where("src <> dst").select("src", "dst").distinct()

@@ -39,15 +39,21 @@ def lower_set(xs: Column) -> Column:
 def judge_by_path(golden: DataFrame, findings: DataFrame) -> DataFrame:
     """gold_id, verdict: the first finding on the golden file decides by lines, then identifiers.
 
+    A finding's ``entity_name`` is one of its identifiers, and ``end_line`` ends its
+    range, where the table has them.
+
     Basenames are the equi key of the join; the rest of the path rule is residual.
     """
     base = lambda x: F.substring_index(F.regexp_replace(x, r"\\", "/"), "/", -1)
-    f = findings.select("pr_id", base(F.col("file")).alias("base"), "pos", F.col("file").alias("f_file"), F.col("line").alias("f_line"), F.col("issue").alias("f_issue"))
+    has = lambda name, other: F.col(name) if name in findings.columns else other
+    end = F.coalesce(F.nullif(has("end_line", F.lit(None).cast("long")), F.lit(0)), "line")
+    f = findings.select("pr_id", base(F.col("file")).alias("base"), "pos", F.col("file").alias("f_file"), F.col("line").alias("f_line"), end.alias("f_end"), F.col("issue").alias("f_issue"), has("entity_name", F.lit(None).cast("string")).alias("f_entity"))
     g = golden.withColumn("base", base(F.col("path")))
     rows = g.join(f, ["pr_id", "base"]).where(p.same_path(F.col("path"), F.col("f_file")))
-    first = rows.groupBy("gold_id").agg(F.min_by(F.struct("from_line", "to_line", "f_line", "note", "f_issue"), "pos").alias("x"))
-    lines = p.lines_overlap(F.col("x.from_line"), F.col("x.to_line"), F.col("x.f_line"), F.col("x.f_line"))
-    idents = F.arrays_overlap(lower_set(identifiers(F.col("x.note"))), lower_set(identifiers(F.col("x.f_issue"))))
+    first = rows.groupBy("gold_id").agg(F.min_by(F.struct("from_line", "to_line", "f_line", "f_end", "note", "f_issue", "f_entity"), "pos").alias("x"))
+    lines = p.lines_overlap(F.col("x.from_line"), F.col("x.to_line"), F.col("x.f_line"), F.col("x.f_end"))
+    named = F.when(F.coalesce("x.f_entity", F.lit("")) != "", F.array(F.lower("x.f_entity"))).otherwise(F.array().cast("array<string>"))
+    idents = F.arrays_overlap(lower_set(identifiers(F.col("x.note"))), F.concat(lower_set(identifiers(F.col("x.f_issue"))), named))
     found = first.select("gold_id", F.when(lines | F.coalesce(idents, F.lit(False)), "match").otherwise("partial").alias("verdict"))
     return golden.select("gold_id", "severity").join(found, "gold_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("miss")))
 
@@ -105,3 +111,44 @@ def usage(reviews: DataFrame, keys: DataFrame) -> DataFrame:
     requests = keys.groupBy("user_id").agg(F.sum("request_count").alias("requests"))
     cost = F.round(F.col("input_tokens") / 1e6 * 0.2 + F.col("output_tokens") / 1e6 * 15, 6)
     return requests.join(tokens, "user_id", "left").select("user_id", "requests", F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), F.coalesce(cost, F.lit(0.0)).alias("cost"), F.col("last_activity").cast("string").alias("last_activity"))
+
+
+def with_errors(judged: DataFrame, failed: DataFrame) -> DataFrame:
+    """Golden rows of a change that could not be run are errors; they stay in every denominator."""
+    down = failed.select("pr_id").distinct().withColumn("down", F.lit(True))
+    return judged.join(down, "pr_id", "left").withColumn("verdict", F.when(F.col("down"), "error").otherwise(F.col("verdict"))).drop("down")
+
+
+def breakdowns(judged: DataFrame, dimensions: list[str]) -> DataFrame:
+    """dimension, value, n, matches, strict recall in percent; ``high_critical`` is the part with those severities.
+
+    One pass: grouping sets over the dimensions and the severities.  Missing values are no group.
+    """
+    hc = F.when(F.col("severity").isin("critical", "high"), F.lit("yes"))
+    rows = judged.withColumn("high_critical", hc)
+    names = [*dimensions, "high_critical"]
+    parts = F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(x).cast("string").alias("value")) for x in names))).alias("part")
+    counts = rows.select(parts, "verdict").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "match").alias("matches"))
+    return counts.where("part.value IS NOT NULL").select("part.dimension", "part.value", "n", "matches", F.round(F.col("matches") / F.col("n") * 100, 6).alias("recall"))
+
+
+def findings_once(rows: DataFrame) -> DataFrame:
+    """Findings of all changes, each (repo, pr) counted by its last row."""
+    last = rows.groupBy("repo", "pr_id").agg(F.max_by("finding_count", "row_num").alias("finding_count"))
+    return last.agg(F.coalesce(F.sum("finding_count"), F.lit(0)).alias("findings"), F.count(F.lit(1)).alias("changes"))
+
+
+def keys_of(keys: DataFrame, user_id: int) -> DataFrame:
+    """A user's keys in use, newest first."""
+    return keys.where((F.col("user_id") == user_id) & ~F.col("revoked")).orderBy(F.desc("created_at"), F.desc("key_id"))
+
+
+def review_of(reviews: DataFrame, review_id: int, user_id: int) -> DataFrame:
+    """One review by id, for its owner only; no row otherwise."""
+    return reviews.where((F.col("review_id") == review_id) & (F.col("user_id") == user_id))
+
+
+def token_totals(calls: DataFrame) -> DataFrame:
+    """Tokens in and out of each job over the calls that came back, validation included."""
+    done = calls.where("ok")
+    return done.groupBy("job_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("calls"))

@@ -17,9 +17,20 @@ CONTENT_CHARS, LISTED = 2000, 10
 SNIPPET_BUDGET = 15_000
 
 
-def prompt() -> Column:
-    """The question about one entity: what changed, how risky, what depends on it."""
-    lines = [F.concat(F.lit(f"{x}: "), F.col(x).cast("string")) for x in ("entity_name", "entity_type", "file_path", "change_type", "classification", "risk_level", "blast_radius", "dependent_count")]
+def prompt(entities: DataFrame) -> Column:
+    """The question about one entity: what changed, how risky, what depends on it, and its texts.
+
+    Dependents (``dependents``: array of name and file, the first LISTED), ``before_content``
+    and ``after_content`` are shown where the table has them.
+    """
+    c, has = F.col, entities.columns
+    lines = [F.concat(F.lit(f"{x}: "), c(x).cast("string")) for x in ("entity_name", "entity_type", "file_path", "change_type", "classification", "risk_level", "blast_radius", "dependent_count")]
+    if "is_public_api" in has:
+        lines.append(F.when(c("is_public_api"), "public API: yes"))
+    if "dependents" in has:
+        names = F.transform(F.slice(F.coalesce("dependents", F.array().cast("array<struct<name:string,file:string>>")), 1, LISTED), lambda x: F.concat(F.lit("  "), x["name"], F.lit(" ("), x["file"], F.lit(")")))
+        lines.append(F.when(F.size("dependents") > 0, F.concat(F.lit("dependents:\n"), F.array_join(names, "\n"))))
+    lines += [F.concat(F.lit(f"{side}:\n```\n"), c(f"{side}_content"), F.lit("\n```")) for side in ("before", "after") if f"{side}_content" in has]
     return F.concat_ws("\n", *lines)
 
 
@@ -36,7 +47,7 @@ def review(entities: DataFrame, reviewer: Callable[[str], str]) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["entity_id", "answer"])
 
-    answers = entities.select("entity_id", prompt().alias("prompt")).mapInPandas(run, "entity_id string, answer string")
+    answers = entities.select("entity_id", prompt(entities).alias("prompt")).mapInPandas(run, "entity_id string, answer string")
     return answers.withColumn("verdict", parsing.model_verdict(F.col("answer"))["verdict"])
 
 
@@ -46,7 +57,9 @@ def lens_calls(changes: DataFrame) -> DataFrame:
 
 
 def verdict_counts(reviews: DataFrame) -> DataFrame:
-    return reviews.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    """Reviews by verdict, and their tokens where they are known."""
+    tokens = [F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")] if "tokens" in reviews.columns else []
+    return reviews.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), *tokens)
 
 
 def validated(candidates: DataFrame, answers: DataFrame, limit: int = 7) -> DataFrame:
@@ -72,8 +85,16 @@ def snippets(entities: DataFrame, budget: int = SNIPPET_BUDGET) -> DataFrame:
 
 
 def entity_json(scored: DataFrame, least: str = "low") -> DataFrame:
-    """The JSON of each entity that an API returns: two decimals, lower-case names, content cut."""
-    fields = F.struct("entity_name", "entity_type", "file_path", F.lower("change_type").alias("change_type"), "classification", F.format_string("%.2f", "risk_score").alias("risk_score"), "risk_level", "blast_radius", "dependent_count", "is_public_api")
+    """The JSON of each entity that an API returns: two decimals, lower-case names, content cut.
+
+    Content (CONTENT_CHARS characters) is left out of cosmetic changes; of dependents and
+    dependencies (arrays of name and file) the first LISTED are given.  Columns
+    that the table hasn't, and missing values, are left out.
+    """
+    has = scored.columns
+    extra = [F.when(~p.is_cosmetic(F.col("structural_change")), F.left(x, F.lit(CONTENT_CHARS))).alias(x) for x in ("before_content", "after_content") if x in has]
+    extra += [F.slice(x, 1, LISTED).alias(x) for x in ("dependents", "dependencies") if x in has]
+    fields = F.struct("entity_name", "entity_type", "file_path", F.lower("change_type").alias("change_type"), "classification", F.format_string("%.2f", "risk_score").alias("risk_score"), "risk_level", "blast_radius", "dependent_count", "is_public_api", *extra)
     return scored.where(p.at_least(F.col("risk_rank"), least)).select("entity_id", F.to_json(fields).alias("json"))
 
 
@@ -106,9 +127,3 @@ def remaining(benchmark: DataFrame, done: DataFrame) -> DataFrame:
 def run_summary(results: DataFrame) -> DataFrame:
     """ok, failed, findings and mean seconds of a run."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum("n_findings"), F.lit(0)).alias("findings"), F.avg(F.when(F.col("error").isNull(), F.col("seconds"))).alias("mean_seconds"))
-
-
-def markdown(rows: list, verdict: str) -> str:
-    """A report of already limited rows."""
-    head = ["# Review", "", f"Verdict: {verdict}", "", "| entity | file | change | risk |", "|---|---|---|---|"]
-    return "\n".join(head + [f"| {r.entity_name} | {r.file_path} | {r.change_type} | {r.risk_level} {r.risk_score:.2f} |" for r in rows])

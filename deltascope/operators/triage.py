@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deltascope.functions import predicates as p
 from deltascope.functions import scoring as s
 from deltascope.operators import graph
+from deltascope.sources.tables import global_rank
 
 
 def score(changes: DataFrame, edges: DataFrame, total: int) -> DataFrame:
@@ -29,8 +30,8 @@ def remote_score(changes: DataFrame) -> DataFrame:
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """The first ``n`` of this order come from a top-k; the full rank needs a global sort."""
-    return scored.withColumn("review_rank", F.row_number().over(Window.orderBy(F.desc("risk_score"), "change_seq")))
+    """Adds review_rank over all entities, by a distributed sort."""
+    return global_rank(scored, [F.desc("risk_score"), "change_seq"], "review_rank")
 
 
 def top(scored: DataFrame, least: str = "high", n: int = 10) -> DataFrame:
@@ -96,3 +97,23 @@ def repo_rollup(commits: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
     noise = F.when(F.col("entity_count") < F.col("file_count"), F.round(1 - F.col("entity_count") / F.col("file_count"), 6)).otherwise(share("cosmetic_count", "entity_count"))
     return row.select("commits", "entity_count", "max_blast_radius", noise.alias("noise_reduction"), share("group_count", "commits").alias("avg_groups"), share("tangled", "commits").alias("tangled_ratio"), share("file_count", "commits").alias("avg_files"), share("entity_count", "commits").alias("avg_entities"), share("high_critical_count", "entity_count").alias("high_critical_ratio"), share("with_dependents", "entity_count").alias("with_dependents_ratio"))
+
+
+def selection(scored: DataFrame, least: str = "high", n: int = 10) -> DataFrame:
+    """How many entities there are, how many of them ``top`` keeps, and the reduction in whole percent."""
+    row = scored.agg(F.count(F.lit(1)).alias("total"), F.least(F.count_if(p.at_least(F.col("risk_rank"), least)), F.lit(n)).alias("reviewed"))
+    cut = F.when(F.col("total") > 0, F.floor((F.col("total") - F.col("reviewed")) / F.col("total") * 100)).otherwise(0)
+    return row.select("total", "reviewed", cut.cast("long").alias("reduction_pct"))
+
+
+def stats_with_groups(scored: DataFrame, membership: DataFrame) -> DataFrame:
+    """``stats`` and the number of independent groups."""
+    n = membership.join(scored.select("entity_id"), "entity_id", "left_semi").agg(F.count_distinct("component").alias("n_groups"))
+    return stats(scored).join(n, how="cross")  # one row each
+
+
+def first_by_file(scored: DataFrame, n: int = 3) -> DataFrame:
+    """file_path and the names of its first ``n`` entities in review order."""
+    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("risk_score"), "change_seq"))
+    rows = scored.withColumn("rn", rank).where(F.col("rn") <= n)
+    return rows.groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "entity_name"))), lambda x: x["entity_name"]).alias("names"))

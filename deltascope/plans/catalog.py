@@ -142,7 +142,7 @@ def classify_breakdown(spark, sf_dir):
 _TRIAGE_COLUMNS = ["entity_id", "entity_name", "file_path", "change_type", "classification", "risk_level", "blast_radius", "dependent_count", "dependency_count", "is_public_api"]
 
 
-@query(f"WITH {SCORED} SELECT {', '.join(_TRIAGE_COLUMNS)}, round(risk_score, 6) AS risk_score FROM ranked WHERE risk_rank >= 1 ORDER BY review_rank LIMIT 200")
+@query(f"WITH {SCORED} SELECT {', '.join(_TRIAGE_COLUMNS)}, round(risk_score, 6) AS risk_score FROM ranked WHERE risk_rank >= 1 ORDER BY review_rank")
 def triage_query(spark, sf_dir):
     rows = scored(spark, sf_dir).where(p.at_least(F.col("risk_rank"), "medium")).orderBy(F.desc("risk_score"), "change_seq")
     return rows.select(*_TRIAGE_COLUMNS, F.round("risk_score", 6).alias("risk_score"))
@@ -371,19 +371,15 @@ def grep_repo_wide(spark, sf_dir):
 
 # ---------------------------------------------------------------- findings
 
+#: The entity that a finding is about.
+ENTITY_OF = "CASE WHEN pos % 3 = 0 THEN 'e' || CAST(pos % 17 AS VARCHAR(9)) END"
 FOUND, GOLD = t.sql(t.FINDINGS, "events", "event_id % 37 <> 0"), t.sql(t.GOLDEN, "events", "event_id % 37 = 0")
 
 
 @query(f"SELECT pr_id, lens_idx, pos, issue FROM ({FOUND}) WHERE lens_idx <> 4")
 def merge_lenses(spark, sf_dir):
     """Lens outputs in one table; a failed lens (here the fifth) adds nothing."""
-    rows = t.findings(spark, sf_dir)
-    out = None
-    for k in range(9):
-        if k != 4:
-            lens = rows.where(F.col("lens_idx") == k)
-            out = lens if out is None else out.unionByName(lens)
-    return out.select("pr_id", "lens_idx", "pos", "issue")
+    return t.findings(spark, sf_dir).where("lens_idx <> 4").select("pr_id", "lens_idx", "pos", "issue")
 
 
 @query(f"SELECT pr_id, lens_idx, pos, issue FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, left(lower(issue), {funnel.DEDUP_PREFIX}) ORDER BY lens_idx, pos) AS rn FROM ({FOUND})) WHERE rn = 1")
@@ -425,7 +421,7 @@ def per_pr_cap(spark, sf_dir):
 @query()
 def dedup_findings_greedy(spark, sf_dir):
     """Order-dependent greedy merge; tests hold it against a plain Python fold."""
-    return funnel.dedup_greedy(t.findings(spark, sf_dir))
+    return funnel.dedup_greedy(t.findings(spark, sf_dir).withColumn("entity_name", F.expr(ENTITY_OF)))
 
 
 def _per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,8 +437,7 @@ def round_robin_select(spark, sf_dir):
 @query()
 def round_robin_exact(spark, sf_dir):
     """The turn order with its shift when a file runs empty; tests hold it against the fold itself."""
-    rows = _per_file(spark, sf_dir).select("pr_id", "entity_id", "file_path", "risk_score", "change_seq")
-    return rows.groupBy("pr_id").applyInPandas(lambda pdf: funnel.round_robin_exact(pdf), "pr_id long, entity_id string, rank long")
+    return funnel.round_robin_exact(_per_file(spark, sf_dir).select("pr_id", "entity_id", "file_path", "risk_score", "change_seq"))
 
 
 @query(f"WITH {SCORED}, x AS (SELECT *, change_seq % 5 AS pr_id FROM ranked), h AS (SELECT DISTINCT pr_id, file_path FROM x WHERE risk_rank >= 1), l AS (SELECT *, row_number() OVER (PARTITION BY pr_id, file_path ORDER BY risk_score DESC, change_seq) AS rn FROM x WHERE risk_rank = 0 AND (pr_id, file_path) NOT IN (SELECT pr_id, file_path FROM h)) SELECT pr_id, file_path, entity_id FROM l WHERE rn = 1")
@@ -465,7 +460,6 @@ def gap_files(spark, sf_dir):
 
 # ---------------------------------------------------------------- judging and accounts
 
-_ASCII = "regexp_matches(text, '^[\\x00-\\x7F]*$')"
 _IDENT = "list_distinct(list_filter(flatten([" + ", ".join([*(f"regexp_extract_all({{0}}, '{x}')" for x in judge.IDENTIFIER_PATTERNS), "regexp_extract_all({0}, '`([^`]+)`', 1)", "regexp_extract_all({0}, '''([^'']+)''', 1)"]) + f"]), lambda x: length(x) >= 3 AND lower(x) NOT IN {judge.STOP_WORDS}))"
 
 
@@ -473,9 +467,9 @@ def _ids(x: str) -> str:
     return _IDENT.replace("{0}", x)
 
 
-@query(f"SELECT doc_id, len(v)::BIGINT AS n, array_to_string(list_sort(v), ',') AS ids FROM (SELECT doc_id, {_ids('text')} AS v FROM documents WHERE {_ASCII})")
+@query()
 def extract_identifiers(spark, sf_dir):
-    """All documents; the SQL has only those in ASCII, as its word boundaries know no other letters."""
+    """No SQL: its word boundaries know no letters but ASCII ones; tests hold all documents against Python."""
     docs = t.table(spark, sf_dir, "documents")
     ids = judge.identifiers(F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.size(ids).cast("long").alias("n"), F.array_join(F.array_sort(ids), ",").alias("ids"))
@@ -501,14 +495,14 @@ def judge_overlap(spark, sf_dir):
     return judge.judge_by_identifiers(t.golden(spark, sf_dir), t.findings(spark, sf_dir))
 
 
-_NAMES = "SELECT user_id AS pr_id, list_distinct(list(event_type) FILTER (WHERE value > 60)) AS hc_names, list_distinct(list(event_type || '_x') FILTER (WHERE value > 30)) AS all_names, list_distinct(list('src/' || event_type || '.py') FILTER (WHERE value > 90)) AS hc_files, count(*) AS entity_count FROM events WHERE event_id % 29 = 0 GROUP BY user_id"
+_NAMES = "SELECT user_id AS pr_id, list_distinct(list(event_type) FILTER (WHERE value > 60)) AS hc_names, list_distinct(list(event_type || '_x') FILTER (WHERE value > 30)) AS all_names, list_distinct(list('src/' || event_type || '.py') FILTER (WHERE value > 90)) AS hc_files, count(*) AS entity_count FROM events WHERE event_id % 37 <> 0 GROUP BY user_id"
 
 
 @query(f"""WITH g AS ({GOLD}), n AS ({_NAMES}), x AS (SELECT g.gold_id, {_LOWSET('note')} AS ids, hc_names, all_names, hc_files, entity_count FROM g LEFT JOIN n USING (pr_id)),
 y AS (SELECT *, EXISTS (SELECT 1 FROM unnest(ids) AS a(i), unnest(list_concat(coalesce(hc_names, []), coalesce(all_names, []))) AS b(m) WHERE contains(m, i) OR contains(i, m)) AS hit, EXISTS (SELECT 1 FROM unnest(ids) AS a(i), unnest(coalesce(hc_files, [])) AS b(m) WHERE contains(m, i)) AS inside FROM x)
 SELECT gold_id, CASE WHEN hit THEN 'match' WHEN inside THEN 'partial' WHEN coalesce(entity_count, 0) = 0 THEN 'miss' ELSE 'partial' END AS verdict FROM y""")
 def judge_names(spark, sf_dir):
-    """Names come from the rows of all findings; the SQL takes one event in 29."""
+    """Names come from the rows of all findings."""
     e = t.table(spark, sf_dir, "events").where("event_id % 37 <> 0")
     names = lambda cond, x: F.collect_set(F.when(F.expr(cond), x))
     kind = F.col("event_type")
@@ -613,3 +607,6 @@ def export_candidates(spark, sf_dir):
     urls = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("url")).distinct()
     found = t.findings(spark, sf_dir).where("pr_id % 3 <> 0").withColumnRenamed("pr_id", "url")
     return reviewer.candidates(urls, found).select(F.col("url").alias("pr_id"), F.size("candidates").cast("long").alias("n_candidates"))
+
+
+from deltascope.plans import details  # noqa: E402, F401  registers further queries

@@ -6,7 +6,10 @@ both Spark and the checking engine understand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,11 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage (the session's checkpoint folder)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+    """Cut lineage through a table in the session's checkpoint folder, which all machines share.
+
+    It is computed once (a checkpoint computes its rows twice), and its size is
+    known to the plans that read it.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... in the total order ``order``, by a range sort and the counts of its parts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = cut(placed.withColumns({"__part": F.shiftright("__id", 33), "__nth": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id"))
+    parts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each of the n parts
+    before = parts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__nth") + 1).drop("__part", "__nth", "__before")
 
 
 #: Classes in the order of their bits: text, syntax, functional.

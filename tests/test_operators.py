@@ -1,9 +1,10 @@
 import random
+import re
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from deltascope.operators import diff, funnel, graph, judge
+from deltascope.functions import scoring
+from deltascope.operators import diff, funnel, graph, judge, render, triage
 from deltascope.streaming import jobs
 
 
@@ -65,23 +66,59 @@ def test_grep_counts_bytes_and_clamps_context(spark):
     assert got == [("f", 1, 4, "é Foo", "", "b"), ("f", 3, 1, "foo foo", "b", "")]
 
 
-def test_greedy_merge_is_the_fold_of_each_file(spark):
+def words_of(text):
+    plain = set("the and for not but with this that from are was were been being have has had does did will would could should may might can shall must need null undefined error function method class variable parameter return value type file line code issue bug check missing unused added removed changed instead when where which what there here also only".split())
+    return {w for w in re.findall(r"[A-Za-z0-9_]+", text) if len(w) > 2 and not w[0].isdigit() and w not in plain}
+
+
+def test_greedy_merge_takes_the_first_kept_finding_that_fits(spark):
     rng = random.Random(1)
-    rows = [(rng.randint(0, 2), f"f{rng.randint(0, 2)}", rng.choice([None, *range(0, 400)]), i, " ".join(rng.choice(["alphaOne", "betaTwo", "gamma_x", "the", "zz"]) for _ in range(rng.randint(1, 4)))) for i in range(120)]
-    rows = [(a, b, c or 0, d, e) for a, b, c, d, e in rows]
-    df = spark.createDataFrame(rows, "pr_id long, file string, line long, pos long, issue string")
-    want = []
+    rows = [(rng.randint(0, 1), f"f{rng.randint(0, 1)}", rng.choice([None, *range(0, 900)]), i, rng.choice([None, "", "e1", "e2"]) if i % 5 == 0 else None, " ".join(rng.choice(["alphaOne", "betaTwo", "gamma_x", "the", "zz", "deltaFour", "line", "x9y"]) for _ in range(rng.randint(0, 5)))) for i in range(240)]
+    df = spark.createDataFrame(rows, "pr_id long, file string, line long, pos long, entity_name string, issue string")
+    want, merged_by_entity = [], 0
     for key in {(r[0], r[1]) for r in rows}:
-        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2], r[3]))
-        want += [tuple(x.values()) for x in funnel.merge_near([dict(zip(("pr_id", "file", "line", "pos", "issue"), r)) for r in own])]
+        kept = []
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2] or 0, r[3])):
+            fits = []
+            for k in kept:
+                near, shared = abs((k[2] or 0) - (r[2] or 0)) < 21, len(words_of(k[5]) & words_of(r[5])) > 1
+                merged_by_entity += bool(r[4]) and r[4] == k[4] and not near and not shared
+                fits.append(near or shared or (bool(r[4]) and r[4] == k[4]))
+            if True not in fits:
+                kept.append(r)
+            elif len(r[5]) > len(kept[fits.index(True)][5]):
+                kept[fits.index(True)] = r
+        want += [(r[0], r[1], r[2] or 0, r[3], r[5], r[4] or "") for r in kept]
+    assert merged_by_entity
     assert sorted(tuple(r) for r in funnel.dedup_greedy(df).collect()) == sorted(want)
+    assert funnel.dedup_greedy(df.drop("entity_name").limit(0)).count() == 0
+
+
+def taken_turns(queues, limit):
+    """Who is served, one turn at a time."""
+    queues, out, turn = [list(q) for q in queues], [], 0
+    while queues and len(out) < limit:
+        at = turn % len(queues)
+        if queues[at]:
+            out.append(queues[at].pop(0))
+            turn += 1
+        else:
+            del queues[at]
+    return out
 
 
 def test_turns_over_files(spark):
-    pdf = pd.DataFrame([(1, "a1", "A", 0.9, 1), (1, "a2", "A", 0.8, 2), (1, "b1", "B", 0.7, 3), (1, "a3", "A", 0.6, 4)], columns=["pr_id", "entity_id", "file_path", "risk_score", "change_seq"])
-    assert list(funnel.round_robin_exact(pdf).entity_id) == ["a1", "b1", "a2", "a3"]
-    df = spark.createDataFrame(pdf)
-    assert [r.entity_id for r in funnel.round_robin(df).orderBy("rank").collect()] == ["a1", "b1", "a2", "a3"]
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = [rng.randint(0, 7) for _ in range(rng.randint(0, 7))]
+        limit = rng.choice([0, 3, 9, 30])
+        queues = [[(q, n) for n in range(size)] for q, size in enumerate(sizes)]
+        got = funnel.turn_ranks(sizes, limit)
+        assert [x[:2] for x in got] == taken_turns(queues, limit) and [x[2] for x in got] == list(range(len(got)))
+    rows = [(1, "a1", "A", 0.9, 1), (1, "a2", "A", 0.8, 2), (1, "b1", "B", 0.7, 3), (1, "a3", "A", 0.6, 4), (2, "z", "Z", 0.1, 5)]
+    df = spark.createDataFrame(rows, "pr_id long, entity_id string, file_path string, risk_score double, change_seq long")
+    assert [(r.entity_id, r.rank) for r in funnel.round_robin_exact(df).where("pr_id = 1").orderBy("rank").collect()] == [("a1", 1), ("b1", 2), ("a2", 3), ("a3", 4)]
+    assert [r.entity_id for r in funnel.round_robin(df).where("pr_id = 1").orderBy("rank").collect()] == ["a1", "b1", "a2", "a3"]
 
 
 def test_identifiers(spark):
@@ -101,3 +138,37 @@ def test_latest_status_in_batch_and_stream(spark, tmp_path):
     run.stop()
     assert {(r.job_id, r.status) for r in spark.table("latest").collect()} == want
     assert jobs.windowed_counts(df).count() == 3
+
+
+def test_groups_have_labels_of_any_length(spark):
+    deep = "d/" * 400
+    rows = [("a", "x", deep + "p.py", 0.9, 1), ("b", "y", deep + "q.py", 0.8, 2), ("c", "solo", "m.py", 0.7, 3), ("e", "u", "k.py", 0.1, 4), ("f", "v", "z.py", 0.2, 5)]
+    df = triage.ranked(spark.createDataFrame(rows, "entity_id string, entity_name string, file_path string, risk_score double, change_seq long"))
+    assert [r.entity_id for r in df.orderBy("review_rank").collect()] == ["a", "b", "c", "f", "e"]
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("e", "e"), ("f", "e")], "entity_id string, component string")
+    assert [(r.group_id, r.label, r.size) for r in graph.groups(df, members).orderBy("group_id").collect()] == [(0, deep, 2), (1, "2 entities", 2), (2, "solo", 1)]
+
+
+def test_truncated_text_keeps_whole_characters(spark):
+    part = lambda name, body: f"diff --git a/{name} b/{name}\n--- a/{name}\n+++ b/{name}\n@@ -1 +1 @@\n{body}"
+    small, large = part("a.py", "+x"), part("b.py", "+" + "é" * 500)
+    df = spark.createDataFrame([(1, small), (2, small + "\n" + large), (3, large)], "pr_id long, diff string")
+    for limit in (150, 151):
+        got = {r.pr_id: (r.kind, r.text) for r in diff.truncated_text(df, limit).collect()}
+        assert got[1] == ("whole", small) and got[2] == ("parts", small + "\n")
+        assert got[3][0] == "prefix" and large.startswith(got[3][1]) and limit - 1 <= len(got[3][1].encode()) <= limit
+
+
+def test_patterns_outside_the_change(spark):
+    change = spark.createDataFrame([("a.py", "x\nfoo")], "file string, text string")
+    fragments = spark.createDataFrame([("a.py", 0, "foo"), ("b.py", 0, "no\nFoo"), ("b.py", 1, "foo"), ("dist/c.js", 0, "foo")], "file string, fragment int, text string")
+    got = diff.grep_everywhere(change, fragments, "foo")
+    assert sorted((r.file, r.line) for r in got.collect()) == [("a.py", 2), ("b.py", 1), ("b.py", 2)]
+    assert render.matches(diff.first_matches(got, 2).collect()) == "a.py:2:foo\n\nb.py:1:foo\n\n2 matches across 2 files"
+    around = diff.grep(change, "foo", context=1).collect()
+    assert render.matches(around) == "a.py:1- x\na.py:2:foo\na.py:3- \n\n1 matches across 1 files" or render.matches(around).startswith("a.py:1- x\na.py:2:foo")
+
+
+def test_white_space_of_any_script_is_trimmed(spark):
+    df = spark.createDataFrame([("\u00a0 a\u3000\t", "a")], "b string, a string")
+    assert df.select(scoring.classify(F.col("b"), F.col("a"), F.lit(None).cast("boolean"))).first()[0] == "text"

@@ -30,6 +30,8 @@ def test_references_and_values(spark):
     assert tuple(value(spark, g.repo_parts(F.col("u")), u="o/r/s")) == ("o", "r/s")
     assert [value(spark, g.scope(F.col("s")).getField("kind"), s=x) for x in ("working", "a..b", "abc")] == ["working", "range", "commit"]
     assert value(spark, g.scope(F.col("s")).getField("to"), s="a...b") == ".b"
+    assert value(spark, g.balanced_object(F.col("t")), t="a {b {c} \"}\" d} {e}") == "{b {c} \"}"
+    assert value(spark, g.balanced_object(F.col("t")), t="{{x}") is None and value(spark, g.balanced_object(F.col("t")), t="none") is None
     assert [value(spark, g.file_status(F.col("s")), s=x) for x in ("added", "removed", "copied")] == ["added", "deleted", "modified"]
     assert value(spark, g.decoded_content(F.col("s")), s="aGV\nsbG8=") == "hello"
     df = spark.range(1).select(g.clamp_lines(F.array(F.lit(3), F.lit(9), F.lit(12)), F.lit(4), F.lit(10)).alias("x"), g.short_number(F.lit(1234)).alias("k"), g.cost(F.lit(1000000), F.lit(0)).alias("c"))
