@@ -40,9 +40,10 @@ def blast_radius(edges: DataFrame, changes: DataFrame, cap: int = BLAST_CAP) ->
     step = cut(edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct())
     start = changes.select(F.col("entity_id").alias("origin")).distinct()
     frontier = reached = cut(start.join(step, F.col("origin") == F.col("at")).select("origin", F.col("next").alias("at")).where("origin <> at").distinct())
+    hop = lambda pairs: pairs.join(step, "at").select("origin", F.col("next").alias("at")).where("origin <> at").distinct()
     while not frontier.isEmpty():
-        found = frontier.join(step, "at").select("origin", F.col("next").alias("at")).where("origin <> at").distinct()
-        fresh = found.join(reached, ["origin", "at"], "left_anti")
+        near = hop(frontier).join(reached, ["origin", "at"], "left_anti")
+        fresh = near.unionByName(hop(near)).distinct().join(reached, ["origin", "at"], "left_anti")  # two steps a round
         full = reached.groupBy("origin").count().where(F.col("count") >= cap).select("origin")
         frontier = cut(fresh.join(full, "origin", "left_anti"))
         reached = reached.unionByName(frontier)  # tables written so far, each once
@@ -60,8 +61,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
         low = label.join(near, "a").select("a", F.col("c").alias("old"), F.least("c", "near").alias("c"))
-        up = label.select(F.col("a").alias("c"), F.col("c").alias("up"))
-        new = cut(low.join(up, "c").select("a", "old", F.least("c", "up").alias("c")))
+        for _ in range(2):  # two jumps a round, over the labels known at its beginning
+            up = label.select(F.col("a").alias("c"), F.col("c").alias("up"))
+            low = low.join(up, "c").select("a", "old", F.least("c", "up").alias("c"))
+        new = cut(low)
         moved = not new.where("c <> old").isEmpty()
         label = new.select("a", "c")
         if not moved:
