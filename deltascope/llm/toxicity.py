@@ -1,8 +1,8 @@
 """Severity of toxic language by cumulative-link ordinal regression.
 
 Features are hashed words and 5-byte word beginnings, as log counts.  From a
-bounded sample of labelled documents the features most associated with the label
-are kept; toxic documents are graded 1 to 3 by how many occurrences of strongly
+bounded sample of labelled documents all features associated with the label
+(LEAST_ASSOCIATION standard errors) are taken; toxic documents are graded 1 to 3 by how many occurrences of strongly
 associated words they have (the labels only say toxic or not).  One weight vector
 is shared by the ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k); the
 result is the expected severity, sum of P(grade >= k).
@@ -11,8 +11,8 @@ Cases: null and empty texts have no features, and the severity of the thresholds
 alone; null labels are left out; without both kinds of label every severity is 0;
 repeated rows are rows of their own; further columns are ignored.
 
-Scale: training takes at most ``MAX_LABELLED`` rows (least hash of doc_id) and
-brings at most ``MAX_FEATURES`` weights to the driver; scoring is one pass over
+Scale: training takes at most ``MAX_LABELLED`` rows (least hash of doc_id), and with
+them bounds what comes to the driver; scoring is one pass over
 the texts without a shuffle.
 """
 
@@ -30,8 +30,8 @@ from deltascope.llm import _common as c
 
 #: Most labelled rows that a model is fitted on.
 MAX_LABELLED = 12_000
-#: Most features that a model has.
-MAX_FEATURES = 2048
+#: Standard errors from which an association with the label is one.
+LEAST_ASSOCIATION = 3.0
 MIN_DOCS = 4
 BEGINNING = 5
 GRADES = 3
@@ -131,13 +131,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     both = counts.groupBy("feature").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("y")).where(F.col("x") + F.col("y") >= MIN_DOCS)
     odds = F.log((F.col("x") + 0.5) / (bad - F.col("x") + 0.5)) - F.log((F.col("y") + 0.5) / (total - bad - F.col("y") + 0.5))
     error = F.sqrt(1 / (F.col("x") + 0.5) + 1 / (F.col("y") + 0.5))
-    best = both.withColumn("z", odds / error).where(F.abs("z") > 4).orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES)
+    best = both.withColumn("z", odds / error).where(F.abs("z") > LEAST_ASSOCIATION)
     table = best.select("feature", "z", odds.alias("odds")).toPandas().sort_values("feature")
     if table.empty:
         return none
     feature = table["feature"].to_numpy()
     strong = (table["z"].to_numpy() > 3) & (table["odds"].to_numpy() > 3)
-    found = counts.join(F.broadcast(spark.createDataFrame(table[["feature"]])), "feature").select("doc_id", "feature", "n").toPandas()
+    found = counts.join(best.select("feature"), "feature", "left_semi").select("doc_id", "feature", "n").toPandas()
     labelled = counts.select("doc_id", "toxic").distinct().toPandas().sort_values("doc_id")
     ids, toxic = labelled["doc_id"].to_numpy(), labelled["toxic"].to_numpy().astype(int)
     row, col = np.searchsorted(ids, found["doc_id"].to_numpy()), np.searchsorted(feature, found["feature"].to_numpy())

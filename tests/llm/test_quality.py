@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -55,3 +57,42 @@ def test_scorer_tells_junk_from_prose(spark):
     got = {r.doc_id: r.kept for r in qc.score(df, *qc.train(df)).collect()}
     assert len(got) == 602 and sum(got[i] == (i % 5 != 0) for i in range(600)) > 590
     assert qc.score(df.limit(0), *qc.train(df.limit(0))).count() == 0
+
+
+def plain_score(text, weight, bias):
+    """The score of a text, one word at a time."""
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    total, last = 0.0, None
+    for word in words:
+        raw = word.encode()
+        data = np.frombuffer(raw, np.uint8)
+        h = int(qc.c.span_hashes(qc._VALUES[data], np.array([0]), np.array([len(raw)]))[0])
+        total += weight[h % qc.WORD_BUCKETS]
+        shape = int(qc._SHAPE[raw[0]]) * qc.SHAPES + int(qc._SHAPE[raw[-1]])
+        total += weight[qc.WORD_BUCKETS + shape + (qc.SHAPES * qc.SHAPES if h == last else 0)]
+        last = h
+    band = min(15, int(math.log2(len(words) + 1)))
+    return 1 / (1 + math.exp(-(total / max(1, len(words)) + weight[qc.SHAPE_END + band] + bias)))
+
+
+def test_classifier_scores_are_those_of_plain_python(spark):
+    weight = np.random.default_rng(3).normal(0, 1, qc.DIMENSION)
+    texts = ["A plain text, with words words Words and 3 numbers.", None, "", "x", "é ü\nñ !!! ###", "w " * 3000, "A plain text, with words words Words and 3 numbers."]
+    df = spark.createDataFrame([(i, t, 0.5, True) for i, t in enumerate(texts)], "doc_id long, text string, score double, kept boolean").repartition(3)
+    got = {r.doc_id: r for r in qc.score(df, weight, 0.25).collect()}
+    for i, text in enumerate(texts):
+        want = plain_score(text, weight, 0.25)
+        assert abs(got[i].score - want) < 1e-9 and got[i].kept == (want >= qc.KEEP_FROM), text
+    assert qc.score(df.limit(0), weight, 0.0).count() == 0
+
+
+def test_classifier_on_ties_repeats_and_nothing(spark):
+    good = "This is a plain sentence of quite ordinary words. It goes on for a while, and then it ends.\nAnother line follows here, with other words in it."
+    bad = "### $$$ ### buy buy buy buy buy ###"
+    rows = [(i % 40, [good, bad][i % 2] + (f" word{i}." if i % 3 else ""), 1.0, False) for i in range(160)] + [(None, good, 1.0, False), (7, None, 1.0, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, kept boolean")
+    first, again = (qc.score(df, *qc.train(df.repartition(n))).collect() for n in (2, 5))
+    key = lambda r: (r.doc_id or -1, round(r.score, 4))
+    assert sorted(map(key, first)) == sorted(map(key, again)) and len(first) == 162
+    empty = df.limit(0)
+    assert qc.score(empty, *qc.train(empty)).count() == 0
