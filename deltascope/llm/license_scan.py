@@ -18,12 +18,15 @@ are ignored.
 
 Scale: paragraphs are exploded into n-grams and meet the model in a broadcast join
 (its size is fixed); only hits are summed, by row and paragraph, with map-side
-combine, so no text is shuffled and a licence that is everywhere is no hot key.
+combine, so no text is shuffled and a licence that is everywhere is no hot key.  Paragraphs
+that lack every word of which a found one must have one (``anchors``) aren't split.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -201,20 +204,47 @@ def _split(column: Column) -> Column:
     return F.filter(F.split(F.lower(column), r"[^0-9a-z.]+|\.(?![0-9])"), lambda x: x != "")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
+@lru_cache(1)
+def anchors() -> list[str]:
+    """Words of which a paragraph must have one to be found.
+
+    Of each template so many that the rest alone is under LEAST_COVER of it; those
+    that templates share first, as they make the list short.
+    """
+    templates = [set(_tokens(t)) for ts in TEMPLATES.values() for t in ts]
+    shared = Counter(w for t in templates for w in t)
+    out: set[str] = set()
+    for t in templates:
+        most_missing = len(t) - math.ceil(LEAST_COVER * len(t) - 1e-9)
+        out |= set(sorted(t, key=lambda w: (len(w) < 5, -shared[w], -len(w), w))[: most_missing + 1])
+    return sorted(out)
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether a text has an anchor anywhere: a test without splitting it."""
+    lower = F.lower(text)
+    return functools.reduce(lambda a, b: a | b, (lower.contains(w) for w in anchors()))
+
+
+def paragraphs(docs: DataFrame, findable: bool = False) -> DataFrame:
     """doc_id, row, paragraph, part, family, chance and found, of paragraphs with an n-gram of the model.
 
     Part 0 is the whole paragraph; one of several lines also has a part for each.
+    With ``findable`` those without an anchor are left out, none of which is found.
     """
     spark = docs.sparkSession
     _, bias, temperature = model()
     table = _model_table(spark)
     owner = [(f, len(set(_tokens(t)))) for f, ts in TEMPLATES.items() for t in ts]
     docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy"))
+    if findable:
+        docs = docs.where(_may_hold(F.col("text")))
     blocks = docs.select("doc_id", "copy", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", _BREAK)).alias("paragraph", "whole"))
     parts = F.when(F.col("whole").contains("\n"), F.concat(F.array("whole"), F.split("whole", "\n"))).otherwise(F.array("whole"))
     lines = blocks.select("doc_id", "copy", "row", "paragraph", F.posexplode(parts).alias("part", "line"))
     place = ["doc_id", "copy", "row", "paragraph", "part"]
+    if findable:
+        lines = lines.where(_may_hold(F.col("line")))
     words = lines.select(*place, _split(F.col("line")).alias("x")).where(F.size("x") > 0)
     grams = F.array_distinct(F.concat("x", F.transform(F.slice("x", 2, F.size("x")), lambda w, i: F.concat_ws(" ", F.element_at("x", i + 1), w))))
     hits = words.select(*place, F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
@@ -236,7 +266,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Each document's surest family ("none" without), chance, notices and all families found."""
-    found = paragraphs(docs).where("found").groupBy("doc_id", "row")
+    found = paragraphs(docs, findable=True).where("found").groupBy("doc_id", "row")
     # a row may come repeatedly: its paragraphs count once
     best = F.max_by(F.struct("family", "chance"), F.struct(F.round("chance", 6), -F.col("paragraph"), -F.col("part"))).alias("best")
     found = found.agg(best, F.countDistinct("paragraph").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))

@@ -74,6 +74,8 @@ def test_parts_are_those_of_brute_force(spark):
         assert len(mine) == len(want), (i, mine, want)
         for (_, part, (family, chance, found)), ((_, want_part), (f, c, ok)) in zip(mine, sorted(want), strict=True):
             assert part == want_part and family == f and abs(chance - c) < 1e-9 and found == ok, (i, part)
+    found = {(r.doc_id, r.paragraph, r.part) for r in s.paragraphs(df.where("doc_id is not null"), findable=True).where("found").collect()}
+    assert found == {k for k, v in got.items() if v[2]}
     scanned = s.scan(df).collect()
     assert len(scanned) == len(TEXTS) + 2 and {r.family for r in scanned if r.doc_id is None} == {"apache-2.0"}
     best = {r.doc_id: (r.family, r.n_notices, r.families) for r in scanned}
@@ -110,3 +112,11 @@ def test_held_out_families():
     for t, y in zip(texts, labels, strict=True):
         right += int(np.argmax(bias + sum((weights[g] for g in t if g in weights), np.zeros(len(s.FAMILIES))))) == y
     assert right / len(texts) > 0.97
+
+
+def test_a_found_paragraph_has_an_anchor():
+    for xs in s.TEMPLATES.values():
+        for x in xs:
+            words = set(words_of(x))
+            rest = words - set(s.anchors())
+            assert len(rest) < s.LEAST_COVER * len(words)
