@@ -209,7 +209,7 @@ def _segments(anchor_buckets: int, buckets: int):
         for a, b in zip(edge, [*edge[1:], len(heads)] if len(heads) else [], strict=True):
             h = heads[a:b]
             blob = b"".join([own.data[x:y].tobytes() for x, y in zip(own.start[h].tolist(), own.end[h].tolist(), strict=True)])
-            meta = b"".join(np.ascontiguousarray(x).tobytes() for x in (own.anchor[h], own.h1[h], own.h2[h], least[a:b].astype(np.int64), own.count[h].astype(np.uint8)))
+            meta = b"".join(np.ascontiguousarray(x).tobytes() for x in (own.anchor[h], own.h1[h], least[a:b].astype(np.int64), own.count[h].astype(np.uint8)))
             out["bucket"].append(int(own.to[h[0]]))
             out["block"].append(key[0].as_py())
             out["size"].append([len(h), len(blob)])
@@ -313,16 +313,16 @@ def _floors(key: tuple, table: pa.Table) -> pa.Table:
     """For each block's segments of a bucket: the least document of each window's class, as runs."""
     meta, blobs, parts = [], [], []
     for (heads, raw), blob, packed in zip(*(table.column(x).to_pylist() for x in ("size", "blob", "meta")), strict=True):
-        plain = _unpack(packed, 33 * heads)
-        meta.append((*np.frombuffer(plain, np.uint64, 3 * heads).reshape(3, heads), np.frombuffer(plain, np.int64, heads, 24 * heads), np.frombuffer(plain, np.uint8, heads, 32 * heads).astype(np.int64)))
+        plain = _unpack(packed, 25 * heads)
+        meta.append((*np.frombuffer(plain, np.uint64, 2 * heads).reshape(2, heads), np.frombuffer(plain, np.int64, heads, 16 * heads), np.frombuffer(plain, np.uint8, heads, 24 * heads).astype(np.int64)))
         blobs.append(np.frombuffer(_unpack(blob, raw), np.uint8))
         parts.append(heads)
-    anchor, h1, h2, least, count = (np.concatenate(x) for x in zip(*meta, strict=True))
+    anchor, name, least, count = (np.concatenate(x) for x in zip(*meta, strict=True))
     text = np.concatenate(blobs)
     del meta, blobs
-    # equal segments of all blocks are one, with the least document of them all
-    order = np.lexsort((h2, h1, anchor))
-    new = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
+    # equal segments of all blocks (by anchor, size and 64 bits over the bytes) are one, with the least document of them all
+    order = np.lexsort((count, name, anchor))
+    new = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1]) | (count[order][1:] != count[order][:-1])]
     named = np.empty(len(order), np.int64)
     named[order] = np.cumsum(new) - 1
     edge = np.flatnonzero(new)
