@@ -208,3 +208,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(c.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, sum(k) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT *, len(regexp_extract_all(line, '{_WORD}')) AS k FROM l) WHERE k > 0),
+pairs AS (SELECT a.doc_id, a.pos AS a, b.pos AS b FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + {MIN_WORDS} WHERE b.upto - a.upto + a.k >= {MIN_WORDS}),
+win AS (SELECT doc_id, a, min(b) AS b FROM pairs GROUP BY doc_id, a UNION SELECT doc_id, max(a) AS a, b FROM pairs GROUP BY doc_id, b),
+run AS (SELECT win.doc_id, a, b, string_agg(line, chr(10) ORDER BY pos) AS lines FROM win JOIN w ON w.doc_id = win.doc_id AND pos BETWEEN a AND b GROUP BY win.doc_id, a, b),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lines ORDER BY doc_id, a) AS nth FROM run) WHERE nth > 1),
+dead AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM later),
+flag AS (SELECT w.doc_id, w.i, dead.pos IS NOT NULL AS gone FROM w LEFT JOIN dead USING (doc_id, pos)),
+around AS (SELECT l.doc_id, l.i, line, gone, last_value(gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.i) AS before, first_value(gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM l LEFT JOIN flag ON flag.doc_id = l.doc_id AND flag.i = l.i),
+rest AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(gone, before AND after, false)), '') AS text FROM around GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_removed_lines, CASE WHEN d.text IS NOT NULL THEN sha256(rest.text) END AS text_sha256 FROM documents d LEFT JOIN rest USING (doc_id)
+"""

@@ -21,4 +21,6 @@ ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }

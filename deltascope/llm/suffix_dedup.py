@@ -438,3 +438,20 @@ def dedupe(docs: DataFrame, outputs: tuple[str, ...] = ("n_bytes", "n_removed",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(c.table(spark, sf_dir, "documents"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
+SQL = f"""
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS s FROM doc, LATERAL (SELECT unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS p) x),
+least_doc AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, p FROM win JOIN least_doc USING (s) WHERE first < doc_id),
+edge AS (SELECT *, p + {LENGTH} AS stop, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM hit),
+numbered AS (SELECT *, sum((prev IS NULL OR p - prev > {LENGTH})::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM edge),
+span AS (SELECT doc_id, k, min(p) AS a, max(stop) AS b FROM numbered GROUP BY doc_id, k),
+size AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span),
+piece AS (SELECT doc_id, since AS from_byte, substr(h, 2 * since + 1, 2 * (a - since)) AS x FROM cut JOIN doc USING (doc_id) UNION ALL SELECT doc_id, max(b), substr(any_value(h), 2 * max(b) + 1) FROM span JOIN doc USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY from_byte) AS h FROM piece GROUP BY doc_id)
+SELECT doc_id, length(doc.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, doc.h))) AS kept_sha256
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
