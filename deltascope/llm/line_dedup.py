@@ -1,11 +1,12 @@
-"""Line dedup by a suffix array over sequences of line ids.
+"""Line dedup by suffix ranks over sequences of line ids.
 
 Blank lines aside, a document is a sequence of line ids.  Prefix doubling ranks
 all suffixes that begin with a repeated line: level 0 ranks lines, level k + 1
 ranks the pairs of level-k ranks 2**k lines apart, each time by a distributed
 sort of the distinct pairs.  Two ranks of one level that overlap fix the first L
-lines of a suffix, so they name its interval of longest common prefix L or more
-(the suffixes that agree on L lines stand side by side in the suffix array).
+lines of a suffix, so they name its interval of longest common prefix L or more:
+the suffixes that agree on L lines, side by side in the sorted order.  (The order
+is kept as ranks, and the interval as that name; no row holds a neighbour.)
 
 A run counts when it has ``MIN_WORDS`` words or more.  For every line the shortest
 such run that begins there, and the shortest that ends there, are looked up: the

@@ -370,6 +370,7 @@ def components(edges: DataFrame, scratch: c.Scratch, name: str) -> DataFrame:
         scratch.drop(f"{name}-{step - 1}")
         label = label_next.select("id", "comp")
         if not moved:
+            scratch.drop(f"{name}-edges")
             return label
 
 
