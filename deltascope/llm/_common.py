@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SALTS = 8
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of one Arrow batch while a scratch table is written.
 ARROW_BYTES = 16 << 20
 
