@@ -133,17 +133,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     odds = F.log((F.col("x") + 0.5) / (bad - F.col("x") + 0.5)) - F.log((F.col("y") + 0.5) / (total - bad - F.col("y") + 0.5))
     error = F.sqrt(1 / (F.col("x") + 0.5) + 1 / (F.col("y") + 0.5))
     best = both.withColumn("z", odds / error).where(F.abs("z") > LEAST_ASSOCIATION)
-    table = best.select("feature", "z", odds.alias("odds")).toPandas().sort_values("feature")
-    if table.empty:
+    table = best.select("feature", "z", odds.alias("odds")).toArrow().sort_by("feature")
+    if not table.num_rows:
         scratch.drop("counts")
         return none
-    feature = table["feature"].to_numpy()
-    strong = (table["z"].to_numpy() > 3) & (table["odds"].to_numpy() > 3)
-    found = counts.join(best.select("feature"), "feature", "left_semi").select("doc_id", "feature", "n").toPandas()
-    labelled = counts.select("doc_id", "toxic").distinct().toPandas().sort_values("doc_id")
-    ids, toxic = labelled["doc_id"].to_numpy(), labelled["toxic"].to_numpy().astype(int)
-    row, col = np.searchsorted(ids, found["doc_id"].to_numpy()), np.searchsorted(feature, found["feature"].to_numpy())
-    n = found["n"].to_numpy()
+    feature, z, odd = (table.column(x).to_numpy() for x in ("feature", "z", "odds"))
+    strong = (z > 3) & (odd > 3)
+    found = counts.join(best.select("feature"), "feature", "left_semi").select("doc_id", "feature", F.col("n").cast("int").alias("n")).toArrow()
+    labelled = counts.select("doc_id", "toxic").distinct().toArrow().sort_by("doc_id")
+    ids, toxic = (labelled.column(x).to_numpy() for x in ("doc_id", "toxic"))
+    row, col = np.searchsorted(ids, found.column("doc_id").to_numpy()).astype(np.int32), np.searchsorted(feature, found.column("feature").to_numpy()).astype(np.int32)
+    n = found.column("n").to_numpy()
+    del found, table, labelled
     hits = np.bincount(row, n * strong[col], len(ids))
     grade = np.where(toxic > 0, np.searchsorted(GRADE_FROM, hits, side="right"), 0)
     weight, threshold = fit_ordinal(row, col, np.log1p(n), grade, len(feature))
