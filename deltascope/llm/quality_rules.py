@@ -36,6 +36,8 @@ HOST_LIMIT = 0.6
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
 SALTS = 16
+#: Bytes of text measured at a time.
+SLICE_BYTES = 1 << 20
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 STATS_SCHEMA = ", ".join(f"{x} long" for x in STATS)
@@ -96,7 +98,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in c.text_slices(batches):
+    for rows, data, offsets in c.text_slices(batches, limit=SLICE_BYTES):
         stats = measure(data, offsets)
         kept = [x for x in rows.schema.names if x != "text"]
         yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in kept), *(pa.array(stats[k].astype(np.int64)) for k in STATS)], names=[*kept, *STATS])
@@ -156,7 +158,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     scratch.drop("stats")
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in c.text_slices(batches):
+        for rows, data, offsets in c.text_slices(batches, limit=SLICE_BYTES):
             got = measure(data, offsets)
             fails = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEAT_PCT * got["n_words"])
             yield rows.filter(pa.array(~fails))
