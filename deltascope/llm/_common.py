@@ -6,6 +6,7 @@ batches bounded by bytes, so that memory doesn't follow the batch row count.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -101,11 +102,22 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 # ---------------------------------------------------------------- Arrow slices
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers wait between tasks, and several may wait at once."""
+    POWERS.__init__()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Yield (rows, bytes, offsets) with about ``limit`` bytes of ``column`` each.
 
     A single longer text forms a slice of its own: texts are never cut.
     """
+    batch = data = offsets = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -117,6 +129,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             lo = offsets[begin]
             yield batch.slice(begin, end - begin), data[lo : offsets[end]], offsets[begin : end + 1] - lo
             begin = end
+    del batch, data, offsets
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -264,6 +264,8 @@ def _tile_lists(table: pa.Table) -> pa.Table:
         edge, size = edge[size > 1][at], size[size > 1][at]
         spread = np.repeat(edge - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         out.append(_found(LISTED, len(spread), place=place[spread], list=np.repeat(name, size), weight=np.repeat(weight, size)))
+    del sign, place, order, same, shared
+    c.give_back()
     return pa.concat_tables([_found(OWN, 0), *out])
 
 
