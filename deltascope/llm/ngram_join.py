@@ -24,7 +24,8 @@ copies costs a row a copy.
 Cases: null and wordless texts are empty and linked with nothing; under that
 many words the whole sequence is the one shingle; repeated rows and equal texts are
 linked (100 % overlap); rows without a doc_id are members too, but give no component
-its name (a component of such rows alone has none); an empty table gives an empty result; further columns are
+its name (a component of such rows alone has none); where one row of each stays, rows
+are told apart by id and text; an empty table gives an empty result; further columns are
 ignored.
 
 Scale: one pass over the texts makes everything but the exact sets.  Signatures
@@ -160,8 +161,8 @@ SLOTS = 1 << 16
 #: Bytes of a signature on its way; equal ones of unequal parts only add candidates.
 SIGN_BYTES = 6
 
-_PACKED = "bucket long, block long, docs array<long>, sizes array<long>, nodes array<long>, slots array<long>, slot_sizes array<long>, bits array<binary>, signs binary, places binary"
-_FOUND = "kind int, doc_id long, n long, node long, place long, list long, weight long, bits binary"
+_PACKED = "bucket long, block long, docs array<long>, rows array<long>, sizes array<long>, nodes array<long>, slots array<long>, slot_sizes array<long>, bits array<binary>, signs binary, places binary"
+_FOUND = "kind int, doc_id long, row long, n long, node long, place long, list long, weight long, bits binary"
 OWN, SLOT, LISTED = 0, 1, 2
 
 
@@ -185,8 +186,9 @@ def _tile_rows(k: int, percent: int, buckets: int):
     """Blocks of documents: one row of sizes and nodes, and the signatures and slots by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("docs", "sizes", "nodes", "slots", "slot_sizes")), ("bits", pa.list_(pa.binary())), ("signs", pa.binary()), ("places", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("docs", "rows", "sizes", "nodes", "slots", "slot_sizes")), ("bits", pa.list_(pa.binary())), ("signs", pa.binary()), ("places", pa.binary())])
         docs: list[int | None] = []
+        texts: list[int] = []
         sizes: list[int] = []
         nodes: list[int | None] = []
         slots: dict[int, int] = {}
@@ -196,10 +198,10 @@ def _tile_rows(k: int, percent: int, buckets: int):
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal docs, sizes, nodes, slots, slot_sizes, bits, signs, held
+            nonlocal docs, texts, sizes, nodes, slots, slot_sizes, bits, signs, held
             if docs:
                 block = _block_name(np.fromiter(slots, np.int64, len(slots)))
-                rows = [{"bucket": block % buckets, "block": block, "docs": docs, "sizes": sizes, "nodes": nodes, "slots": list(slots), "slot_sizes": slot_sizes, "bits": bits}]
+                rows = [{"bucket": block % buckets, "block": block, "docs": docs, "rows": texts, "sizes": sizes, "nodes": nodes, "slots": list(slots), "slot_sizes": slot_sizes, "bits": bits}]
                 if signs:
                     sign = np.concatenate(signs) >> np.uint64(64 - 8 * SIGN_BYTES)
                     place = np.repeat(np.arange(len(signs), dtype=np.uint16), [len(x) for x in signs])
@@ -209,12 +211,13 @@ def _tile_rows(k: int, percent: int, buckets: int):
                     edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
                     rows += [{"bucket": int(bucket[x]), "block": block, "signs": _narrow(sign[x:y]), "places": place[x:y].tobytes()} for x, y in zip(edge, np.r_[edge[1:], len(bucket)], strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
-            docs, sizes, nodes, slots, slot_sizes, bits, signs, held = [], [], [], {}, [], [], [], 0
+            docs, texts, sizes, nodes, slots, slot_sizes, bits, signs, held = [], [], [], [], {}, [], [], [], 0
 
         for rows, data, offsets in c.text_slices(batches):
-            for doc, s in zip(rows.column(0).to_pylist(), shingle_sets(data, offsets, k), strict=True):
+            for doc, row, s in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), shingle_sets(data, offsets, k), strict=True):
                 node = set_hash(s) if len(s) else None
                 docs.append(doc)
+                texts.append(row)
                 sizes.append(len(s))
                 nodes.append(node)
                 if node is not None and node not in slots:
@@ -240,8 +243,8 @@ def _tile_lists(table: pa.Table) -> pa.Table:
     """
     none = np.zeros(0, np.int64)
     out = []
-    for row in table.filter(pc.is_valid(table.column("docs"))).select(["block", "docs", "sizes", "nodes", "slots", "slot_sizes", "bits"]).to_pylist():
-        out.append(_found(OWN, len(row["docs"]), doc_id=row["docs"], n=row["sizes"], node=row["nodes"]))
+    for row in table.filter(pc.is_valid(table.column("docs"))).select(["block", "docs", "rows", "sizes", "nodes", "slots", "slot_sizes", "bits"]).to_pylist():
+        out.append(_found(OWN, len(row["docs"]), doc_id=row["docs"], row=row["rows"], n=row["sizes"], node=row["nodes"]))
         out.append(_found(SLOT, len(row["slots"]), node=row["slots"], n=row["slot_sizes"], bits=row["bits"], place=(row["block"] << 16) + np.arange(len(row["slots"]))))
     packed = table.filter(pc.is_valid(table.column("signs"))).select(["block", "signs", "places"]).to_pylist()
     sign = np.concatenate([np.zeros(0, np.uint64), *(_wide(row["signs"]) for row in packed)])
@@ -271,7 +274,7 @@ def _tile_lists(table: pa.Table) -> pa.Table:
 
 def _found(kind: int, rows: int, /, **columns) -> pa.Table:
     cols = {"kind": pa.array(np.full(rows, kind, np.int32))}
-    for name in ("doc_id", "n", "node", "place", "list", "weight", "bits"):
+    for name in ("doc_id", "row", "n", "node", "place", "list", "weight", "bits"):
         kind_of = pa.binary() if name == "bits" else pa.int64()
         cols[name] = pa.array(columns[name], kind_of) if name in columns else pa.nulls(rows, kind_of)
     return pa.table(cols)
@@ -391,16 +394,21 @@ def _across_components(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document, by shingles of ``k`` words."""
+    return _placed(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
+
+
+def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, row (a hash of its text), n and, unless the set is empty, comp (a node of the component) and head (its least doc_id) of each document."""
     spark = docs.sparkSession
     scratch = c.Scratch(spark, "ngrams")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // BUCKET_BYTES))
 
     packed = texts.mapInArrow(_tile_rows(k, percent, buckets), _PACKED)
     found = scratch.save(packed.groupBy("bucket").applyInArrow(_tile_lists, _FOUND), "found")
     scratch.release()
-    own = found.where(F.col("kind") == OWN).select("doc_id", "n", "node")
+    own = found.where(F.col("kind") == OWN).select("doc_id", "row", "n", "node")
     slots = found.where(F.col("kind") == SLOT).select("place", "node").distinct()
     listed = found.where(F.col("kind") == LISTED).groupBy("list", "place").agg(F.sum("weight").alias("weight"))
     members = scratch.save(listed.join(slots, "place").groupBy("list", "node").agg(F.max("weight").alias("weight")), "members")
@@ -459,8 +467,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     nodes = scratch.save(nodes, "nodes")
     joined = nodes.join(comp.select(F.col("id").alias("node")), "node", "left_semi")
     least = joined.groupBy("comp").agg(F.min("least").alias("head"))
-    heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", F.coalesce("head", "least").alias("head")), "heads")
-    out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
+    heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", "comp", F.coalesce("head", "least").alias("head")), "heads")
+    out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", "row", "n", "comp", "head")
     scratch.drop_tables()
     scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "sets3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
     scratch.release()
@@ -481,10 +489,23 @@ def _sets_of(texts: DataFrame, own: DataFrame, pairs: DataFrame, k: int) -> Data
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with its own columns."""
-    found = classes(docs, k, percent)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    return docs.join(heads, docs["doc_id"].cast("long") == F.col("__head"), "left_semi")
+    """One row of each class, with its own columns: the least doc_id, then the least hash of a text.
+
+    Rows without a doc_id come last in a class, but one stays where there are no others; of equal
+    rows (id and text) one stays; rows with an empty set all stay.
+    """
+    found = _placed(docs, k, percent).withColumn("doc_id", F.coalesce("doc_id", F.lit(c.LAST)))
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
+    scratch = c.Scratch(docs.sparkSession, "firsts")
+    kept = scratch.save(first.unionByName(found.where("comp is null").select("doc_id", "row").distinct()).toDF("__doc", "__row"), "kept")
+    again = found.where("comp is not null").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row").toDF("__doc", "__row")
+    again = scratch.save(again, "again")
+    keys = ["__doc", "__row"]
+    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(c.LAST))).withColumn("__row", F.xxhash64("text"))
+    rows = rows.join(kept, keys, "left_semi")
+    if not again.isEmpty():  # repeated rows are rare, and only theirs are met by key
+        rows = rows.join(again, keys, "left_anti").unionByName(rows.join(again, keys, "left_semi").dropDuplicates(keys))
+    return rows.select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

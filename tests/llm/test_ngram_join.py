@@ -62,10 +62,21 @@ def test_classes_are_those_of_brute_force(spark, seed):
 def test_keep_first_and_odd_tables(spark):
     df = spark.createDataFrame([(5, "a b c d e", "x"), (3, "A b c d e", "x"), (9, None, "x"), (10, None, "x"), (3, "A b c d e", "x")], "doc_id long, text string, n string")
     kept = j.keep_first(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 3, 9, 10]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 9, 10]
     assert j.classes(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    alone, shared = " ".join(f"n{i}" for i in range(40)), [f"s{i}" for i in range(80)]
+    near = " ".join(["other", *shared[1:]])
+    rows = [(None, alone), (None, " ".join(shared)), (7, near), (7, alone + " more of it"), (8, "far off all the rest"), (8, "quite another text of this id"), (None, None), (None, None)]
+    rows += [(9, "row given four times over")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in j.keep_first(df).collect())
+    assert kept == sorted([(0, ""), (0, ""), (7, near), (7, alone + " more of it"), (8, "far off all the rest"), (8, "quite another text of this id"), (9, "row given four times over")])
+    assert j.keep_first(df.limit(0)).count() == 0
+
+
 def test_linked_sets_share_a_tile():
     rng = np.random.default_rng(1)
     for _ in range(300):
