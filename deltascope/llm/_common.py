@@ -198,12 +198,29 @@ class Powers:
 POWERS = Powers()
 
 
+#: Bytes over which span hashes take one run of prefix sums.
+PIECE_BYTES = 64 << 10
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``values[start:end]`` for each span, from prefix sums."""
-    up, down = POWERS.to(len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[:-1], dtype=U64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of ``values[start:end]`` for each span, from prefix sums.
+
+    Spans whose starts lie in one piece of the bytes are hashed together: a hash doesn't
+    depend on where its sums begin, and a piece's sums stay in the processor's cache.
+    """
+    out = np.empty(len(starts), U64)
+    cuts = np.flatnonzero(np.diff(starts // PIECE_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(starts)], strict=True):
+        if a == b:
+            continue
+        start, end = starts[a:b], ends[a:b]
+        lo, hi = int(start.min()), int(end.max())
+        up, down = POWERS.to(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, U64)
+        np.cumsum(values[lo:hi] * up[:-1], dtype=U64, out=sums[1:])
+        start, end = start - lo, end - lo
+        out[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    return out
 
 
 # ---------------------------------------------------------------- words
