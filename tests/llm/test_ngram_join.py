@@ -102,3 +102,17 @@ def test_other_widths_and_thresholds(spark):
             comp = {i: x if v == y else v for i, v in comp.items()}
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.classes(df, k=5, percent=80).collect()} == {i: (len(s), comp[i]) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_span_hashes_do_not_depend_on_pieces(order):
+    rng = np.random.default_rng(4)
+    size = 3 * j.c.PIECE_BYTES
+    data = rng.integers(97, 123, size).astype(np.uint8)
+    values = j.c.byte_values()[data]
+    starts = np.sort(rng.integers(0, size, 400))[::order]
+    ends = np.minimum(size, starts + np.where(rng.random(400) < 0.01, j.c.PIECE_BYTES + 9, rng.integers(0, 60, 400)))
+    got = j.c.span_hashes(values, starts, ends)
+    alone = [j.c.span_hashes(values[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends, strict=True)]
+    assert got.tolist() == [int(x) for x in alone]
+    assert len(j.c.span_hashes(values, starts[:0], ends[:0])) == 0
