@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltascope.llm import byte_bpe, decontaminate, html_text, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, toxicity
+from deltascope.llm import byte_bpe, conversation_repair, decontaminate, hard_negatives, html_text, license_scan, line_dedup, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_line_dedup": line_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_token_counts": token_counts.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op7_quality_rules": quality_rules.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
