@@ -19,6 +19,7 @@ A task that runs again writes the same rows.  Only the tokenizer file is broadca
 from __future__ import annotations
 
 import hashlib
+import os
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,7 +36,9 @@ from deltascope.llm import byte_bpe
 #: A document of more tokens is over the limit.
 LIMIT = 1024
 #: Distinct words whose counts a worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Words that the library encodes at once: what it returns for each is far larger than a count.
+AT_ONCE = 2000
 _SCHEMA = "digest binary, n_tokens long"
 
 
@@ -128,8 +131,9 @@ class WordCounts:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [x for x in words if x not in self.known]
-        if new:
-            self.known.update(zip(new, _whole(self.tokenizer, [x.decode() for x in new]), strict=True))
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            self.known.update(zip(some, _whole(self.tokenizer, [x.decode() for x in some]), strict=True))
         return np.array([self.known[x] for x in words], np.int64)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +160,7 @@ _COUNTERS: dict[str, WordCounts] = {}
 
 def _counted(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark shares out the cores
         file: TokenizerFile = shared.value
         tokenizer = _loaded(file.version, file)
         by_words = file.byte_level()
