@@ -179,8 +179,8 @@ def _block_rows(block: str, ids: list[int], starts: list[np.ndarray], texts: lis
     begin, length, bucket = begin[order], length[order], bucket[order]
     to = np.r_[0, np.cumsum(length)]
     spelt = data[np.repeat(begin - to[:-1], length) + np.arange(to[-1])]
-    bounds = np.flatnonzero(np.r_[True, np.diff(bucket) != 0]) if len(order) else []
-    for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
+    bounds = [*np.flatnonzero(np.r_[True, np.diff(bucket) != 0]), len(order)] if len(order) else []  # none in a block of empty texts
+    for lo, hi in zip(bounds, bounds[1:]):
         blob = spelt[to[lo] : to[hi]].tobytes()
         yield {"key": f"bucket {bucket[lo]}", "block": block, "kind": WORDS, "bucket": int(bucket[lo]), "ids": None, "counts": length[lo:hi], "size": len(blob), "packed": _pack(blob)}
 

@@ -164,10 +164,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
             yield rows.filter(pa.array(~fails))
 
     passed = docs.mapInArrow(flagged, T.StructType(docs.schema.fields))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    parts = bad.select(F.col("source").alias("__source"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
-    passed = passed.withColumn("__salt", salt)
-    return passed.join(parts, (F.col("source") == F.col("__source")) & (F.col("__salt") == F.col("__part")), "left_anti").select(*docs.columns)
+    parts = bad.select(F.col("source").alias("host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    # columns by their table, since documents may have any others
+    here = (passed["source"] == parts["host"]) & (F.pmod(F.xxhash64(passed["doc_id"]), F.lit(SALTS)).cast("int") == parts["part"])
+    return passed.join(parts, here, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,20 @@ def test_two_vocabularies_in_one_session(spark, tmp_path):
             rows = b.encode(docs, vocabulary).collect()
             assert {bytes(r.decoded).decode() for r in rows} == {"hello été", "a" * 70000}
             assert ({r.n_tokens for r in rows} == {11, 70000}) == (vocabulary != PATH)
+
+
+def test_blocks_and_tables_of_empty_texts(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()) for i, _ in rows]
+    assert sorted(tuple(r) for r in b.digests(docs.coalesce(1)).collect()) == want
+    docs.coalesce(1).write.parquet(f"{tmp_path}/empty")
+    spark.createDataFrame([(4, "some words")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/some")
+    got = {r.doc_id: r for r in b.encode(spark.read.parquet(f"{tmp_path}/empty", f"{tmp_path}/some"), PATH).collect()}
+    assert [bytes(got[i].decoded) for i in (1, 2, 3, 4)] == [b"", b"", b"", b"some words"] and not got[1].ids and not got[2].n_tokens
+
+
+def test_a_very_long_text(spark):
+    text = "long words of a text, été 日本 " * 150_000 + "x" * 300_000
+    [row] = b.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert bytes(row.decoded).decode() == text and row.n_tokens == len(row.ids)

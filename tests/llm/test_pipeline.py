@@ -50,3 +50,19 @@ def test_near_duplicate_stage_takes_five_words_at_four_fifths(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
     assert sorted(r.doc_id for r in stage(spark, df, str(tmp_path)).collect()) == [0, 2, 3]
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Other columns with clashing names, rows without an id, repeated rows, null texts, and no rows at all."""
+    make(spark, str(tmp_path))
+    text = " ".join(f"w{i}" for i in range(40))
+    schema = "doc_id long, text string, source string, __part int, row long, n_words long, part int, line long, component_id long, keep boolean"
+    rows = [(1, text, "s", 1, 2, 3, 4, 5, 6, True)] * 3 + [(None, text + " more", None, 1, 2, 3, 4, 5, 6, True)] * 2 + [(2, None, "s", 1, 2, 3, 4, 5, 6, True), (3, "", None, 1, 2, 3, 4, 5, 6, True), (4, "\n".join(f"v{i} u{i}" for i in range(30)), "s", 1, 2, 3, 4, 5, 6, True)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        many = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == [x.split(" ")[0] for x in schema.split(", ")], name
+        left = docs.collect()
+        assert sorted((r.doc_id or 0) for r in left) == ([1, 4] if many else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(left)

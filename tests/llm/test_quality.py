@@ -96,3 +96,16 @@ def test_classifier_on_ties_repeats_and_nothing(spark):
     assert sorted(map(key, first)) == sorted(map(key, again)) and len(first) == 162
     empty = df.limit(0)
     assert qc.score(empty, *qc.train(empty)).count() == 0
+
+
+def test_other_columns_of_documents_may_have_any_names(spark):
+    from deltascope.llm import quality_rules
+
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    schema = "doc_id long, text string, source string, host string, part int, __part int, __source string, salt int, n_words long, kept boolean"
+    rows = [(i, bad if i % 10 else good, "bad host", "x", 1, 2, "y", 3, 4, True) for i in range(200)] + [(500 + i, good, "good host", "x", 1, 2, "y", 3, 4, False) for i in range(200)]
+    df = spark.createDataFrame(rows, schema)
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {500 + i for i in range(200)}
+    assert quality_rules.keep_good(df.limit(0)).count() == 0
