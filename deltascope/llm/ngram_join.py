@@ -15,11 +15,13 @@ and bitmaps reject most pairs, and the rest are intersected exactly.
 
 Equal sets are one node, named by a 64-bit hash, and tiles with the same members
 are one list.  Each list first links its members with the one that meets others
-in the most tiles (a star, never all pairs); where members stay in different
-components, each member outside the largest is compared with its likeliest
-partner elsewhere, and, where that leaves them apart, with all members of other
-components.  So no link between components is missed, and a tight group of
-copies costs a row a copy.
+in the most tiles (a star, never all pairs).  Where members stay in different
+components, sets meet by their rarest shingles: linked ones have a common shingle so
+early in the order of rarity that enough follow it in both.  First neighbours among the
+sets with the same rare shingle are tested, then, where that leaves components apart,
+each set outside its list's largest one with all that have such a shingle in common and are of
+another component.  So no link between components is missed, and neither a tight group of copies nor many
+texts of one template that fall short of the threshold make all their pairs.
 
 Cases: null and wordless texts are empty and linked with nothing; under that
 many words the whole sequence is the one shingle; repeated rows and equal texts are
@@ -322,40 +324,67 @@ def _intersected(percent: int):
     return run
 
 
-def _across(percent: int, best_only: bool):
-    """Pairs of a tile in different components that sizes and bitmaps allow; or each member's likeliest one."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        doc, comp, n = (table.column(x).to_numpy() for x in ("node", "comp", "n"))
-        names, code, count = np.unique(comp, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(code != np.argmax(count))
-        bits = table.column("bits").to_pylist()
-        by_width: dict[int, np.ndarray] = {}
-        top = max(map(len, bits))
-        wide = np.array([np.frombuffer(x, np.uint64)[np.arange(top // 8) % (len(x) // 8)] for x in bits])
-        width = np.array([len(x) for x in bits])
-        out = set()
-        for i in rest.tolist():
-            near = np.flatnonzero((code != code[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if not len(near):
-                continue
-            found: list[tuple[float, int]] = []
-            for w in np.unique(np.minimum(width[near], width[i])).tolist():
-                own = near[np.minimum(width[near], width[i]) == w]
-                if w not in by_width:
-                    by_width[w] = np.bitwise_or.reduce(wide.reshape(len(wide), -1, w // 8), axis=1)
-                differ = np.bitwise_count(by_width[w][own] ^ by_width[w][i]).sum(axis=1, dtype=np.int64)
-                most = np.minimum((n[own] + n[i] - differ) // 2, np.minimum(n[own], n[i]))
-                likely = 100 * most >= percent * (n[own] + n[i] - most)
-                found += [(m / (n[j] + n[i] - m), int(doc[j])) for m, j in zip(most[likely].tolist(), own[likely].tolist(), strict=True)]
-            for _, other in [max(found)] if best_only and found else found:
-                out.add((min(int(doc[i]), other), max(int(doc[i]), other)))
-        pairs = sorted(out)
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
+#: Buckets of shingle hashes whose counts order the shingles of a set: a fixed table of 4 MB.
+COUNT_BITS = 20
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall in each bucket."""
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            np.add.at(total, _bucket(np.frombuffer(x.as_py(), np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.record_batch({"bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+
+_RARE = "gram long, node long, comp long, rest boolean, n long, place long, held boolean"
+
+
+def _rarest(percent: int, counts):
+    """The rarest shingles of each set, with how many of it follow from there on.
+
+    Two linked sets, each in the order of rarity, have their first common shingle so early in
+    both that enough follow it.  The larger set asks with all that are early enough for any
+    partner; ``held`` are those early enough for a partner that is no smaller.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            for node, comp, rest, raw in zip(*(batch.column(i) for i in range(4)), strict=True):
+                s = np.frombuffer(raw.as_py(), np.uint64)
+                n = len(s)
+                asks, holds = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+                first = s[np.lexsort((s, table[_bucket(s)]))[:asks]]
+                k = len(first)
+                yield pa.record_batch({
+                    "gram": pa.array(first.view(np.int64)), "node": pa.array(np.full(k, node.as_py(), np.int64)), "comp": pa.array(np.full(k, comp.as_py(), np.int64)), "rest": pa.array(np.full(k, rest.as_py(), bool)),
+                    "n": pa.array(np.full(k, n, np.int64)), "place": pa.array(n - np.arange(k)), "held": pa.array(np.arange(k) < holds),
+                })
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that follow each other among those with the same rare shingle."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram, node, comp = (batch.column(i).to_numpy() for i in range(3))
+        if last is not None:
+            gram, node, comp = (np.r_[x, y] for x, y in zip(last, (gram, node, comp), strict=True))
+        pair = np.flatnonzero((gram[1:] == gram[:-1]) & (comp[1:] != comp[:-1]))
+        a, b = node[pair], node[pair + 1]
+        yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        last = gram[-1:], node[-1:], comp[-1:]
+
+
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -442,20 +471,22 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         comp = components(links, scratch, "comp1")
     scratch.release()
 
-    # lists whose members are still apart: each member with its likeliest partner, then all pairs
-    # across components, but for those of the largest, that are left
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for step, best_only in ((2, True), (3, False)):
+    # Lists whose members are still apart: a set first meets its neighbours among those with the
+    # same rare shingle, then each one outside its list's largest component all that may be linked.
+    for step, meet in ((2, _in_chains), (3, _by_rarest)):
         placed = members.join(comp, F.col("node") == F.col("id"), "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
-        apart = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("list")
-        rows = placed.join(apart, "list", "left_semi").join(light, F.col("node") == F.col("id")).select("list", "node", "comp", "n", "bits")
-        pairs = rows.groupBy("list").applyInArrow(_across(percent, best_only), _PAIR).distinct()
-        pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{step}")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        sets = scratch.save(_sets_of(texts, own, pairs, k), f"sets{step}", bucket_by="id")
-        found_now = scratch.save(_verified(pairs, sets, percent), f"links{step}")
+        sizes = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"))
+        apart = sizes.groupBy("list").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
+        nodes = placed.join(apart, "list").groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("largest")).alias("rest"))
+        nodes = scratch.save(nodes, f"apart{step}")
+        if nodes.isEmpty():
+            break
+        if step == 2:
+            open_sets = scratch.save(_sets_of(texts, own, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), k), "sets2", bucket_by="id")
+        rare = _rare_rows(open_sets, nodes, percent).where("n > 0")
+        pairs = scratch.save(meet(rare, percent), f"pairs{step}")
+        bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(percent), _PAIR)
+        found_now = scratch.save(_verified(bounded, open_sets, percent), f"links{step}")
         if not found_now.isEmpty():
             links = links.unionByName(found_now)
             comp = components(links, scratch, f"comp{step}")
@@ -470,11 +501,39 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", "comp", F.coalesce("head", "least").alias("head")), "heads")
     out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", "row", "n", "comp", "head")
     scratch.drop_tables()
-    scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "sets3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
+    scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "apart2", "apart3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
     scratch.release()
     return out
 
 
+def _rare_rows(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """A row for each of the rarest shingles of each of the nodes."""
+    own = nodes.join(sets, F.col("node") == F.col("id")).select("node", "comp", "rest", "shingles")
+    rows = own.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << COUNT_BITS, np.int32)
+    counts[rows["bucket"]] = np.minimum(rows["n"], (1 << 31) - 1)
+    return own.mapInArrow(_rarest(percent, sets.sparkSession.sparkContext.broadcast(counts)), _RARE)
+
+
+def _in_chains(rare: DataFrame, percent: int) -> DataFrame:
+    """As many pairs as there are held shingles at most."""
+    n = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["gram", "n", "node"]
+    rows = rare.where("held").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return rows.select("gram", "node", "comp").mapInArrow(_neighbours, _PAIR).distinct()
+
+
+def _by_rarest(rare: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components with a common shingle after which enough follow in both."""
+    held = rare.where("held").select("gram", *(F.col(x).alias(f"{x}_2") for x in ("node", "comp", "rest", "n", "place")))
+    need = percent * (F.col("n") + F.col("n_2"))
+    fits = (F.col("place") * (100 + percent) >= need) & (F.col("place_2") * (100 + percent) >= need) & (100 * F.col("n_2") >= percent * F.col("n"))
+    fits &= (F.col("comp") != F.col("comp_2")) & ((F.col("n") > F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("node") > F.col("node_2"))))
+    met = [c.salted_join(rare.where(x), held.where(y), ["gram"], ["node"]).where(fits) for x, y in (("rest", "true"), ("not rest", "rest_2"))]
+    pairs = met[0].unionByName(met[1])
+    return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+
+
 def _sets_of(texts: DataFrame, own: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The set of each node of the pairs, once, from the text of its least document.
 

@@ -116,3 +116,75 @@ def test_span_hashes_do_not_depend_on_pieces(order):
     alone = [j.c.span_hashes(values[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends, strict=True)]
     assert got.tolist() == [int(x) for x in alone]
     assert len(j.c.span_hashes(values, starts[:0], ends[:0])) == 0
+
+
+def letters(n, own, seed=7):
+    """Texts of one template that fall just short of the threshold among each other."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(403)]
+    out = []
+    for i in range(n):
+        at = rng.randrange(0, 360)
+        out.append(" ".join(template[:at] + [f"o{i}x{k}" for k in range(own)] + template[at:]))
+    return out
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows of the tables of pairs that a run writes."""
+    rows = {}
+    save = j.c.Scratch.save
+
+    def counted(self, df, name, bucket_by=None):
+        out = save(self, df, name, bucket_by)
+        if name.startswith(("pairs", "likely", "first")):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(j.c.Scratch, "save", counted)
+    return rows
+
+
+def test_letters_of_one_template_do_not_make_all_pairs(spark, written):
+    texts = letters(1500, 38)
+    texts += [t.replace("t100 ", "changed ") for t in texts[:40]]  # each linked with its original
+    got = {r.doc_id: r.component_id for r in j.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i if i < 1500 else i - 1500 for i in range(1540)}
+    assert sum(written.values()) < 20 * len(texts), written
+
+
+def test_large_classes_with_two_centres(spark, written):
+    """Each class is linked through its centres only; members of one differ from those of the other."""
+    rng = random.Random(3)
+    one = [f"a{i}" for i in range(200)]
+    two = one[:100] + [f"b{i}" for i in range(5)] + one[105:]  # linked with the first
+    texts = []
+    for base in (one, two):
+        texts.append(" ".join(base))
+        for i in range(250):
+            own = list(base)
+            own[rng.randrange(20, 90)] = f"n{i}"
+            texts.append(" ".join(own))
+    assert {r.component_id for r in j.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()} == {0}
+    assert sum(written.values()) < 40 * len(texts), written
+
+
+def test_near_misses_and_links_equal_brute_force(spark):
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(120)]
+    docs = []
+    for i in range(260):
+        text = list(template)
+        for at in rng.sample(range(120), rng.randint(0, 6)):
+            text[at] = f"v{rng.randrange(12)}"
+        docs.append((i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.classes(df).collect()} == brute(docs)
+
+
+def test_a_very_long_text_and_a_class_of_many_copies(spark):
+    rng = random.Random(2)
+    long = " ".join(f"l{rng.randrange(50_000)}" for _ in range(200_000))
+    rows = [(i, "the same forty words " * 10) for i in range(3000)] + [(5000, long), (5001, long.replace("l7 ", "x ")), (5002, "alone")]
+    got = {r.doc_id: r.component_id for r in j.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), 5000: 5000, 5001: 5000, 5002: 5002}
