@@ -8,14 +8,18 @@ both sides of a file are compared there, so nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from deltascope.functions import lexing
 
 Entity = tuple[str, str, int, int, str]
 Extractor = Callable[[str, str], list[Entity]]
-SCHEMA = "entity_id string, entity_name string, entity_type string, file_path string, change_type string, start_line long, end_line long, before_content string, after_content string, structural_change boolean"
+SCHEMA = "entity_id string, entity_name string, entity_type string, file_path string, change_type string, start_line long, end_line long, before_content string, after_content string, structural_change boolean, body_hash string"
 #: Words that open an entity, and its kind.
 OPENERS = {"def": "function", "fn": "function", "func": "function", "function": "function", "class": "class", "struct": "struct", "enum": "enum", "trait": "trait", "interface": "interface"}
 _OPENING = re.compile(rf"^\s*(?:(?:pub(?:\([a-z]+\))?|export|default|async|static|public|private)\s+)*({'|'.join(OPENERS)})\s+([A-Za-z_][A-Za-z0-9_]*)")
@@ -49,53 +53,167 @@ def outline(path: str, text: str) -> list[Entity]:
     return sorted(out, key=lambda e: (e[2], -e[3]))
 
 
-def _bare(text: str) -> str:
-    """The text without comments and white space: what a structural change is seen in."""
-    return re.sub(r"\s+", "", re.sub(r"(?m)(//|#).*$", "", text))
+#: Token shingles that an entity under a new name shares with the old one, of all that either has.
+RENAMED_FROM = 0.6
+
+
+class _Side:
+    """One side of an entity: its tokens, with its own name left out, as what renames are seen by."""
+
+    def __init__(self, entity: Entity, path: str):
+        self.entity = entity
+        self.tokens = lexing.tokens(entity[4], path)
+        own = entity[0].split("::")[-1]
+        self.body = lexing.shingles(["\1" if x == own else x for x in self.tokens])
+
+    def alike(self, other: _Side) -> float:
+        both = len(self.body & other.body)
+        return both / (len(self.body) + len(other.body) - both) if both else 0.0
+
+
+def _most_alike(old: list[_Side], new: list[_Side], least: float) -> list[tuple[_Side, _Side]]:
+    """Pairs of an old and a new side, the most alike first; each is in one pair at most.
+
+    Only sides that share a shingle meet, through an index of the old ones.
+    """
+    index: dict[tuple, list[int]] = defaultdict(list)
+    for i, x in enumerate(old):
+        for part in x.body:
+            index[part].append(i)
+    found = []
+    for j, y in enumerate(new):
+        shared = Counter(i for part in y.body for i in index.get(part, ()))
+        found += [(-both / (len(old[i].body) + len(y.body) - both), i, j) for i, both in shared.items()]
+    pairs, gone, come = [], set(), set()
+    for score, i, j in sorted(found):
+        if -score >= least and i not in gone and j not in come:
+            pairs.append((old[i], new[j]))
+            gone.add(i)
+            come.add(j)
+    return pairs
+
+
+def _pairs(old: list[_Side], new: list[_Side]) -> Iterator[tuple[_Side | None, _Side | None, bool]]:
+    """(old, new, renamed): entities of one name and kind meet by equal text, likeness, then order; the rest by likeness."""
+    by_name: dict[tuple, tuple[list[_Side], list[_Side]]] = defaultdict(lambda: ([], []))
+    for at, sides in enumerate((old, new)):
+        for x in sides:
+            by_name[x.entity[:2]][at].append(x)
+    gone: dict[str, list[_Side]] = defaultdict(list)
+    come: dict[str, list[_Side]] = defaultdict(list)
+    for (_, kind), (before, after) in by_name.items():
+        for y in list(after):
+            x = next((x for x in before if x.entity[4] == y.entity[4]), None)
+            if x:
+                before.remove(x), after.remove(y)
+                yield x, y, False
+        for x, y in _most_alike(before, after, 0.0) if len(before) > 1 or len(after) > 1 else []:
+            before.remove(x), after.remove(y)
+            yield x, y, False
+        same = min(len(before), len(after))
+        yield from ((x, y, False) for x, y in zip(before[:same], after[:same], strict=True))
+        gone[kind] += before[same:]
+        come[kind] += after[same:]
+    for kind in {**come, **gone}:
+        pairs = _most_alike(gone[kind], come[kind], RENAMED_FROM)
+        yield from ((x, y, True) for x, y in pairs)
+        taken = {id(side) for pair in pairs for side in pair}
+        yield from ((None, y, False) for y in come[kind] if id(y) not in taken)
+        yield from ((x, None, False) for x in gone[kind] if id(x) not in taken)
+
+
+def _ids(path: str, sides: list[_Side]) -> dict[int, str]:
+    """file::kind::name of each entity; further ones of a name and kind are numbered."""
+    seen: Counter = Counter()
+    out = {}
+    for x in sides:
+        seen[x.entity[:2]] += 1
+        n = seen[x.entity[:2]]
+        out[id(x)] = f"{path}::{x.entity[1]}::{x.entity[0]}" + (f"#{n}" if n > 1 else "")
+    return out
 
 
 def compare(path: str, before: str | None, after: str | None, extractor: Extractor, old_path: str | None = None) -> list[tuple]:
-    """The entities that differ between two texts of a file; equal ones in a moved file are moved."""
-    def known(text: str | None) -> dict[tuple[str, str], Entity]:
-        out: dict[tuple[str, str], Entity] = {}
-        for e in extractor(path, text) if text else []:
-            out.setdefault((e[0], e[1]), e)
-        return out
-
-    old, new = known(before), known(after)
-    gone = {k: e for k, e in old.items() if k not in new}
+    """The entities that differ between two texts of a file; equal ones in a moved file are moved.
+
+    A change is structural if the tokens differ: comments and white space don't count, what
+    stands in strings does.
+    """
+    old = [_Side(e, old_path or path) for e in (extractor(old_path or path, before) if before else [])]
+    new = [_Side(e, path) for e in (extractor(path, after) if after else [])]
+    ids = _ids(path, new) | _ids(path, old)
     rows = []
-    for key, e in new.items():
-        o, change = old.get(key), "modified"
-        if o is None:
-            same = next((k for k, x in gone.items() if k[1] == key[1] and x[4].replace(k[0].split("::")[-1], key[0].split("::")[-1]) == e[4]), None)
-            o, change = (gone.pop(same), "renamed") if same else (None, "added")
-        elif o[4] == e[4]:
+    for x, y, renamed in _pairs(old, new):
+        if y is None:
+            e = x.entity
+            rows.append((ids[id(x)], e[0], e[1], path, "deleted", e[2], e[3], e[4], None, None, lexing.token_hash(x.tokens)))
+            continue
+        e, change = y.entity, "renamed" if renamed else "modified" if x else "added"
+        if x and x.entity[4] == e[4] and not renamed:
             if not old_path or old_path == path:
                 continue
             change = "moved"
-        rows.append((f"{path}::{key[1]}::{key[0]}", key[0], key[1], path, change, e[2], e[3], o[4] if o else None, e[4], _bare(o[4]) != _bare(e[4]) if o else None))
-    rows += [(f"{path}::{k[1]}::{k[0]}", k[0], k[1], path, "deleted", e[2], e[3], e[4], None, None) for k, e in gone.items()]
-    return rows
+        rows.append((ids[id(y)], e[0], e[1], path, change, e[2], e[3], x.entity[4] if x else None, e[4], x.tokens != y.tokens if x else None, lexing.token_hash(y.tokens)))
+    return sorted(rows, key=lambda r: (r[4] == "deleted", r[5], r[0]))
 
 
-def changed_entities(files: DataFrame, extractor: Extractor = outline) -> DataFrame:
-    """The changed entities of ``files`` (file_path, before_content, after_content, and old_file_path if moved).
+def moved_between(changed: DataFrame, keys: list[str]) -> DataFrame:
+    """Entities deleted in one file and added with the same name, kind and tokens in another of the same change: moved.
 
-    A file that the extractor fails on has no entities.
+    ``keys`` name a change.  Equal entities are paired in the order of their files.
     """
-    columns = ["file_path", "before_content", "after_content", *(["old_file_path"] if "old_file_path" in files.columns else [])]
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+    same = [*keys, "entity_type", "entity_name", "body_hash"]
+    nth = F.row_number().over(Window.partitionBy(*same, "change_type").orderBy("file_path", "start_line"))
+    turn = changed.where(F.col("change_type").isin("added", "deleted")).withColumn("nth", nth)
+    gone = turn.where("change_type = 'deleted'").select(*same, "nth", F.col("entity_id").alias("from_id"), F.col("before_content").alias("old_content"))
+    come = turn.where("change_type = 'added'").select(*same, "nth", "entity_id")
+    pairs = gone.join(come, [*same, "nth"]).select(*keys, "entity_id", "from_id", "old_content")
+    rest = changed.join(pairs.select(*keys, F.col("from_id").alias("entity_id"), F.lit(True).alias("left")), [*keys, "entity_id"], "left").where(~(F.coalesce("left", F.lit(False)) & (F.col("change_type") == "deleted"))).drop("left")
+    rows = rest.join(pairs.drop("from_id"), [*keys, "entity_id"], "left")
+    here = F.col("old_content").isNotNull() & (F.col("change_type") == "added")
+    rows = rows.withColumns({"before_content": F.when(here, F.col("old_content")).otherwise(F.col("before_content")), "structural_change": F.when(here, F.lit(False)).otherwise(F.col("structural_change")), "change_type": F.when(here, "moved").otherwise(F.col("change_type"))})
+    return rows.select(*changed.columns)
+
+
+def _mapped(files: DataFrame, columns: list[str], keys: list[str], schema: str, rows_of: Callable[[dict], list[tuple]]) -> DataFrame:
+    """``rows_of`` each file in ``mapInPandas``, with its keys before them; a file it fails on has no rows."""
+    kinds = {x: files.schema[x].dataType.simpleString() for x in keys}
+    names = [*keys, *(x.split(" ")[0] for x in schema.split(", "))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
                 try:
-                    rows += compare(row["file_path"] or "", row["before_content"], row["after_content"], extractor, row.get("old_file_path"))
+                    rows += [(*(row[x] for x in keys), *made) for made in rows_of(row)]
                 except Exception:  # noqa: BLE001  extractors are foreign code
                     continue
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"start_line": "int64", "end_line": "int64", "structural_change": "object"})
+            yield out.astype({x: "int64" for x in ("start_line", "end_line")} | ({"structural_change": "object"} if "structural_change" in names else {}))
+
+    return files.select(*keys, *columns).mapInPandas(run, ", ".join([*(f"`{x}` {k}" for x, k in kinds.items()), schema]))
+
+
+def changed_entities(files: DataFrame, extractor: Extractor = outline, keys: list[str] | None = None) -> DataFrame:
+    """The changed entities of ``files`` (file_path, before_content, after_content, and old_file_path if moved).
+
+    ``keys`` are columns that name the change a file belongs to; they stay.  A file that the
+    extractor fails on has no entities.
+    """
+    columns = ["file_path", "before_content", "after_content", *(["old_file_path"] if "old_file_path" in files.columns else [])]
+    return _mapped(files, columns, keys or [], SCHEMA, lambda row: compare(row["file_path"] or "", row["before_content"], row["after_content"], extractor, row.get("old_file_path")))
+
+
+def entities(files: DataFrame, extractor: Extractor = outline, keys: list[str] | None = None) -> DataFrame:
+    """All entities of ``files`` (file_path, content): what a dependency graph is made of."""
+
+    def of(row: dict) -> list[tuple]:
+        path = row["file_path"] or ""
+        sides = [_Side(e, path) for e in extractor(path, row["content"] or "")]
+        ids = _ids(path, sides)
+        return [(ids[id(x)], x.entity[0], x.entity[1], path, x.entity[2], x.entity[3], x.entity[4], sorted({t for t in x.tokens if _WORD.fullmatch(t)})) for x in sides]
+
+    return _mapped(files, ["file_path", "content"], keys or [], "entity_id string, entity_name string, entity_type string, file_path string, start_line long, end_line long, content string, words array<string>", of)
+
 
-    return files.select(*columns).mapInPandas(run, SCHEMA)
+_WORD = re.compile(r"[^\W\d]\w*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as p
@@ -11,11 +11,16 @@ from deltascope.operators import graph
 from deltascope.sources.tables import global_rank
 
 
+def public(changes: DataFrame) -> Column:
+    """Public by the new text where the table has it, else by name alone."""
+    return p.is_public(F.col("entity_type"), F.col("entity_name"), F.col("after_content") if "after_content" in changes.columns else None)
+
+
 def score(changes: DataFrame, edges: DataFrame, total: int) -> DataFrame:
     """Adds graph signals, is_public_api, risk_score, risk_level and risk_rank."""
     rows = changes.join(graph.dependents(edges), "entity_id", "left").join(graph.dependencies(edges), "entity_id", "left").join(graph.blast_radius(edges, changes), "entity_id", "left")
     counts = {x: F.coalesce(x, F.lit(0)).cast("long") for x in ("dependent_count", "dependency_count", "blast_radius")}
-    rows = rows.withColumns(counts | {"is_public_api": p.is_public(F.col("entity_type"), F.col("entity_name"))})
+    rows = rows.withColumns(counts | {"is_public_api": public(changes)})
     risk = s.risk_score(F.col("classification"), F.col("change_type"), F.col("is_public_api"), F.col("blast_radius"), F.lit(total), F.col("dependent_count"), F.col("structural_change"))
     rows = rows.withColumn("risk_score", risk).withColumn("risk_level", s.risk_level(F.col("risk_score")))
     return rows.withColumn("risk_rank", p.risk_rank(F.col("risk_level")))
@@ -24,8 +29,7 @@ def score(changes: DataFrame, edges: DataFrame, total: int) -> DataFrame:
 def remote_score(changes: DataFrame) -> DataFrame:
     """Scores without a graph, as for a change seen only over the network: never above medium."""
     zero = F.lit(0).cast("long")
-    public = p.is_public(F.col("entity_type"), F.col("entity_name"))
-    risk = s.risk_score(F.col("classification"), F.col("change_type"), public, zero, zero, zero, F.col("structural_change"))
+    risk = s.risk_score(F.col("classification"), F.col("change_type"), public(changes), zero, zero, zero, F.col("structural_change"))
     return changes.select("entity_id", "change_seq", risk.alias("risk_score"), s.risk_level(risk).alias("risk_level"))
 
 

@@ -106,10 +106,10 @@ _CONTEXT = {
 }
 
 
-@query(f"WITH e AS ({t.sql(_CONTEXT, 'events')}), f AS (SELECT pr_id, string_agg(lower(issue), ' ' ORDER BY lens_idx, pos) AS combined FROM ({FOUND}) WHERE confidence >= 5 GROUP BY pr_id) SELECT pr_id, entity_id FROM e JOIN f USING (pr_id) WHERE entity_name <> '' AND entity_type <> 'chunk' AND (coalesce(before_content, '') <> '' OR coalesce(after_content, '') <> '') AND contains(combined, lower(entity_name))")
+@query(f"WITH e AS ({t.sql(_CONTEXT, 'events')}), f AS (SELECT pr_id, string_agg(lower(issue), ' ' ORDER BY lens_idx, pos) AS combined FROM ({FOUND}) GROUP BY pr_id) SELECT pr_id, entity_id FROM e JOIN f USING (pr_id) WHERE entity_name <> '' AND entity_type <> 'chunk' AND (coalesce(before_content, '') <> '' OR coalesce(after_content, '') <> '') AND contains(combined, lower(entity_name))")
 def validation_context(spark, sf_dir):
     entities = t.table(spark, sf_dir, "events").selectExpr(*t.columns(_CONTEXT))
-    return funnel.validation_context(entities, t.findings(spark, sf_dir).where("confidence >= 5")).select("pr_id", "entity_id")
+    return funnel.validation_context(entities, t.findings(spark, sf_dir)).select("pr_id", "entity_id")
 
 
 @query("WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS w FROM documents), n AS (SELECT w[1] AS word, min('d' || doc_id::VARCHAR) AS dst FROM d WHERE len(w) > 0 GROUP BY 1), r AS (SELECT DISTINCT 'd' || doc_id::VARCHAR AS src, unnest(w) AS word FROM d) SELECT DISTINCT src, dst FROM r JOIN n USING (word) WHERE src <> dst")
@@ -162,7 +162,7 @@ def review_selection(spark, sf_dir):
 
 
 @query(f"WITH {SCORED}, e2 AS ({EDGES}), {q._COMPONENTS.replace('FROM e ', 'FROM e2 ')} SELECT (SELECT count(*) FROM scored) AS total, (SELECT count(*) FROM scored WHERE risk_level = 'high') AS n_high, count(DISTINCT component) AS n_groups FROM comp")
-def inspect_stats(spark, sf_dir):
+def review_totals(spark, sf_dir):
     return triage.stats_with_groups(q.scored(spark, sf_dir), q._membership(spark, sf_dir)).select("total", "n_high", "n_groups")
 
 
