@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as p
-from deltascope.sources.tables import cut, global_rank
+from deltascope.operators.skew import SALTS
+from deltascope.sources.tables import contained, cut, global_rank
 
 #: Transitive dependents are counted up to this many.
 BLAST_CAP = 10_000
@@ -31,25 +32,124 @@ def changed_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("entity_id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def blast_radius(edges: DataFrame, changes: DataFrame, cap: int = BLAST_CAP) -> DataFrame:
+#: Least hashes of its reach that each node keeps: fewer are the whole reach.
+SKETCH = 64
+
+
+@contained
+def blast_radius(edges: DataFrame, changes: DataFrame, cap: int = BLAST_CAP, k: int = SKETCH) -> DataFrame:
     """entity_id, blast_radius: distinct transitive dependents, the start excluded, capped.
 
-    A breadth-first frontier from the changed entities only; a source leaves the
-    search once it has reached the cap.
+    Every node gathers the ``k`` least hashes of what it reaches, from its neighbours, until
+    nothing changes: the rows are ``k`` a node at most, cycles or not.  Where there are fewer than ``k``,
+    they are the whole reach.  Only the rest is counted one by one, and there cycles are one
+    node each, and what reaches something over the cap is over it too (see ``_large``).
+    """
+    named = edges.select("src", "dst").where("src <> dst").distinct()
+    step = cut(named.select(F.xxhash64("dst").alias("at"), F.xxhash64("src").alias("next")))
+    origins = cut(changes.select("entity_id").distinct().select("entity_id", F.xxhash64("entity_id").alias("node")))
+    sketch = _sketches(step, k)
+    sizes = cut(sketch.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    counts = sizes.where(F.col("n") < k)
+    big = sizes.where(F.col("n") >= k).select("node")
+    if not big.isEmpty():
+        counts = counts.unionByName(_large(step, sketch, cut(big), origins, cap, k))
+    return origins.join(counts, "node").select("entity_id", F.least("n", F.lit(cap)).alias("blast_radius"))
+
+
+def _sketches(step: DataFrame, k: int) -> DataFrame:
+    """(node, item): the ``k`` least nodes by hash that each node reaches, itself not among them."""
+    least = F.row_number().over(Window.partitionBy("node").orderBy("item"))
+    kept = fresh = cut(step.select(F.col("at").alias("node"), F.col("next").alias("item")).distinct().withColumn("rank", least).where(F.col("rank") <= k).select("node", "item"))
+    while not fresh.isEmpty():
+        come = fresh.select(F.col("node").alias("next"), "item").join(step, "next").select(F.col("at").alias("node"), "item").where("node <> item").distinct()
+        both = come.withColumn("new", F.lit(1)).unionByName(kept.withColumn("new", F.lit(0))).groupBy("node", "item").agg(F.min("new").alias("new"))
+        step_on = cut(both.withColumn("rank", least).where(F.col("rank") <= k).select("node", "item", "new"))
+        kept, fresh = step_on.select("node", "item"), step_on.where("new = 1").select("node", "item")
+    return kept
+
+
+def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
+    """(node): all that ``start`` (node) reaches over ``step`` (at, next), itself included; a row a node."""
+    seen = fresh = cut(start.select("node").distinct())
+    while not fresh.isEmpty():
+        fresh = cut(fresh.join(step, F.col("node") == F.col("at")).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = seen.unionByName(fresh)
+    return seen
+
+
+def _cycles(step: DataFrame, sketch: DataFrame, big: DataFrame, k: int) -> DataFrame:
+    """(node, comp): the large nodes, those of one cycle under the name of one of them.
+
+    Nodes of a cycle reach the same, so their sketches (with themselves) are equal; in each set of nodes with
+    one sketch, those that its least node reaches and that reach it are a cycle.  Others keep their own name.
     """
-    step = cut(edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct())
-    start = changes.select(F.col("entity_id").alias("origin")).distinct()
-    frontier = reached = cut(start.join(step, F.col("origin") == F.col("at")).select("origin", F.col("next").alias("at")).where("origin <> at").distinct())
-    hop = lambda pairs: pairs.join(step, "at").select("origin", F.col("next").alias("at")).where("origin <> at").distinct()
-    while not frontier.isEmpty():
-        near = hop(frontier).join(reached, ["origin", "at"], "left_anti")
-        fresh = near.unionByName(hop(near)).distinct().join(reached, ["origin", "at"], "left_anti")  # two steps a round
-        full = reached.groupBy("origin").count().where(F.col("count") >= cap).select("origin")
-        frontier = cut(fresh.join(full, "origin", "left_anti"))
-        reached = reached.unionByName(frontier)  # tables written so far, each once
-    return reached.groupBy(F.col("origin").alias("entity_id")).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("blast_radius"))
+    own = sketch.join(big, "node", "left_semi").unionByName(big.select("node", F.col("node").alias("item")))
+    same = own.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("item")), 1, k).alias("items")).select("node", F.xxhash64("items").alias("mark"))
+    same = cut(same)
+    pivots = cut(same.groupBy("mark").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "node"))
+    a, b = same.select(F.col("node").alias("at"), F.col("mark").alias("x")), same.select(F.col("node").alias("next"), F.col("mark").alias("y"))
+    inside = cut(step.join(a, "at").join(b, "next").where("x = y").select("at", "next"))
+    forward = _spread(pivots, inside)
+    backward = _spread(pivots, inside.select(F.col("next").alias("at"), F.col("at").alias("next")))
+    ring = forward.join(backward, "node", "left_semi").join(same, "node").join(pivots.select("mark", F.col("node").alias("comp")), "mark").select("node", "comp")
+    return cut(big.join(ring, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+
+
+def _large(step: DataFrame, sketch: DataFrame, big: DataFrame, origins: DataFrame, cap: int, k: int) -> DataFrame:
+    """(node, n): the reach of the large nodes, at least ``cap`` where it is that much.
+
+    Each cycle is one place with a size.  A sketch also tells about how much a place reaches:
+    of those that seem to pass the cap, the last ones on the way (with none such behind them) are
+    walked first, and what leads to a place found full is full without a walk.
+    """
+    comp = _cycles(step, sketch, big, k)
+    of = lambda df, x: df.join(comp.select(F.col("node").alias(x), F.col("comp").alias("c")), x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    paths = cut(of(of(step, "at"), "next").where("at <> next").distinct())
+    size = cut(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).select(F.col("comp").alias("item"), "size"))
+    # the k-th least of n even hashes stands at about k / n of the range
+    last = sketch.join(big, "node", "left_semi").groupBy("node").agg(F.max("item").alias("top"))
+    share = (F.col("top") / F.lit(2.0**64)) + 0.5
+    seems = cut(last.join(comp, "node").groupBy("comp").agg(F.max(F.lit(float(k - 1)) / share).alias("about")).select(F.col("comp").alias("node"), (F.col("about") >= cap).alias("wide")))
+    wanted = cut(comp.join(origins.select("node"), "node", "left_semi").select(F.col("comp").alias("node")).distinct())
+    back = paths.select(F.col("next").alias("at"), F.col("at").alias("next"))
+    full = cut(seems.where("false").select("node"))
+    found = cut(seems.where("false").select("node", F.lit(0).cast("long").alias("n")))
+    todo = cut(seems.where("wide").select("node"))
+    while not todo.isEmpty():
+        ahead = paths.join(todo.select(F.col("node").alias("next")), "next", "left_semi").select(F.col("at").alias("node"))
+        first = todo.join(ahead, "node", "left_anti")
+        first = cut(todo if first.isEmpty() else first)  # a cycle of places: all of them
+        walked = _walk(first, paths, size, full, cap)
+        full = cut(_spread(full.unionByName(walked.where(F.col("n") >= cap).select("node")), back))
+        found = cut(found.unionByName(walked))
+        todo = cut(todo.join(full, "node", "left_anti").join(found, "node", "left_anti"))
+    rest = cut(wanted.join(full, "node", "left_anti").join(found, "node", "left_anti"))
+    known = found.join(full, "node", "left_anti").unionByName(_walk(rest, paths, size, full, cap)).unionByName(full.select("node", F.lit(cap).cast("long").alias("n")))
+    one = known.groupBy("node").agg(F.max("n").alias("n")).select(F.col("node").alias("comp"), "n")
+    return comp.join(one, "comp").select("node", "n")
+
+
+def _walk(starts: DataFrame, paths: DataFrame, size: DataFrame, full: DataFrame, cap: int) -> DataFrame:
+    """(node, n): how much each start reaches, itself not counted; a start leaves the walk at the cap or where it meets a full place."""
+    count = F.sum(F.coalesce("size", F.lit(1))).alias("n")
+    reached = fresh = cut(starts.select("node", F.col("node").alias("item")))
+    over = cut(starts.where("false").select("node"))
+    while True:
+        near = fresh.join(paths, F.col("item") == F.col("at")).select("node", F.col("next").alias("item")).distinct().join(reached, ["node", "item"], "left_anti")
+        fresh = cut(near)
+        if fresh.isEmpty():
+            break
+        reached = reached.unionByName(fresh)
+        met = fresh.join(full.select(F.col("node").alias("item")), "item", "left_semi").select("node")
+        much = reached.join(size, "item", "left").groupBy("node").agg(count).where(F.col("n") > cap).select("node")
+        over = cut(over.unionByName(met.unionByName(much)).distinct())
+        fresh = fresh.join(over, "node", "left_anti")
+    n = reached.join(size, "item", "left").groupBy("node").agg(count).join(over.withColumn("over", F.lit(True)), "node", "left")
+    return cut(n.select("node", F.when(F.col("over"), F.greatest(F.col("n") - 1, F.lit(cap))).otherwise(F.col("n") - 1).alias("n")))
 
 
+@contained
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """entity_id, component: the least id connected with it, directions ignored.
 
@@ -93,13 +193,16 @@ def groups(reviews: DataFrame, membership: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, entities: DataFrame, incoming: bool, limit: int | None = None) -> DataFrame:
     """entity_id and its neighbours as an array of (name, file), by name: dependents if ``incoming``, else dependencies.
 
-    With a ``limit`` only that many are gathered of each entity, so that a hub is a short row.
+    With a ``limit`` only that many are gathered of each entity, first in each of SALTS parts of it,
+    so that a hub is a short row and no task ranks all its edges.
     """
     here, there = ("dst", "src") if incoming else ("src", "dst")
     other = entities.select(F.col("entity_id").alias(there), F.col("entity_name").alias("name"), F.col("file_path").alias("file"))
     rows = edges.select("src", "dst").distinct().join(other, there)
     if limit is not None:
-        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(here).orderBy("name", "file", there))).where(F.col("rn") <= limit)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(there), F.lit(SALTS)))
+        for own in ([here, "part"], [here]):
+            rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*own).orderBy("name", "file", there))).where(F.col("rn") <= limit)
     return rows.groupBy(F.col(here).alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("name", "file"))).alias("neighbours"))
 
 

@@ -6,8 +6,10 @@ both Spark and the checking engine understand.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,11 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables written inside the calls of ``contained`` that are running, the innermost last.
+_INSIDE: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(at) if at_end else system.delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the session's checkpoint folder, which all machines share.
 
     It is computed once (a checkpoint computes its rows twice), and its size is
-    known to the plans that read it.
+    known to the plans that read it.  It goes when the driver ends, or with the operator
+    that wrote it on its way (``contained``).
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,9 +44,32 @@ def cut(df: DataFrame) -> DataFrame:
         root = f"{tempfile.gettempdir()}/checkpoints"
     path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _INSIDE:
+        _INSIDE[-1].append(path)
+    else:
+        _delete(spark, path, at_end=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def contained(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is a table; the tables that it wrote on its way are deleted."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        own: list[str] = []
+        _INSIDE.append(own)
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            _INSIDE.pop()
+        kept = cut(out)
+        for path in own:
+            _delete(out.sparkSession, path)
+        return kept
+
+    return run
+
+
 def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     """Adds ``name``: 1, 2, ... in the total order ``order``, by a range sort and the counts of its parts."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,8 @@
+import pathlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from deltascope.functions import scoring
@@ -42,6 +44,79 @@ def test_components_and_reach_of_random_graphs(spark):
     assert max(r.blast_radius for r in graph.blast_radius(df, nodes, cap=2).collect()) <= 2
 
 
+def reach_of(ids, edges):
+    step = {}
+    for a, b in edges:
+        step.setdefault(b, set()).add(a)
+    out = {}
+    for x in ids:
+        seen, todo = set(), [x]
+        while todo:
+            new = step.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        out[x] = len(seen - {x})
+    return out
+
+
+def graphs():
+    rng = random.Random(6)
+    ring = [(f"r{i}", f"r{(i + 1) % 14}") for i in range(14)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(4)]
+    two = [(f"s{i}", f"s{(i + 1) % 9}") for i in range(9)] + [("s0", "r3"), ("r5", "c0"), ("x", "s4"), ("y", "y")]
+    some = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(75)]
+    fan = [(f"f{i}", "hub") for i in range(40)] + [("hub", f"g{i}") for i in range(10)]
+    return {"chain of rings": (ring + chain + two, [(4, 10_000), (5, 12)]), "random": (some, [(64, 10)]), "fan": (fan, [(5, 12)]), "none": ([], [(4, 10)])}
+
+
+@pytest.mark.parametrize("name", graphs())
+def test_reach_equals_brute_force_for_any_sketch_and_cap(spark, name):
+    edges, settings = graphs()[name]
+    ids = sorted({x for e in edges for x in e} | {"alone"})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in ids], "entity_id string")
+    want = {k: v for k, v in reach_of(ids, edges).items() if v}
+    for k, cap in settings:
+        got = {r.entity_id: r.blast_radius for r in graph.blast_radius(df, nodes, cap=cap, k=k).collect()}
+        assert got == {x: min(n, cap) for x, n in want.items()}, (k, cap)
+
+
+def test_reach_in_one_cycle_writes_no_pairs(spark, monkeypatch):
+    """A ring of 400 with a tail: all pairs would be 160,000 rows."""
+    edges = [(f"r{i}", f"r{(i * 7 + 1) % 400}") for i in range(400)] + [(f"r{i}", f"r{(i + 1) % 400}") for i in range(400)] + [("t", "r1")]
+    rows, cut = [], graph.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    ids = sorted({x for e in edges for x in e})
+    nodes = spark.createDataFrame([(x,) for x in ids], "entity_id string")
+    got = {r.entity_id: r.blast_radius for r in graph.blast_radius(spark.createDataFrame(edges, "src string, dst string"), nodes, k=8).collect()}
+    assert got == {k: v for k, v in reach_of(ids, edges).items() if v} and max(rows) <= 8 * 401
+    assert sum(rows) < 80_000
+
+
+def test_operators_leave_one_table(spark):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_id string")
+    before = len(list(folder.iterdir()))
+    assert {r.entity_id: r.blast_radius for r in graph.blast_radius(edges, nodes).collect()} == {"b": 1, "c": 2}
+    assert len(list(folder.iterdir())) == before + 1
+    graph.components(nodes, edges).collect()
+    assert len(list(folder.iterdir())) == before + 2
+
+
+def test_a_hubs_neighbours_are_the_first_by_name(spark):
+    edges = spark.createDataFrame([(f"e{i}", "hub") for i in range(200)], "src string, dst string")
+    entities = spark.createDataFrame([(f"e{i}", f"name{i:03}", "f") for i in range(200)], "entity_id string, entity_name string, file_path string")
+    [row] = graph.neighbours(edges, entities, incoming=True, limit=10).collect()
+    assert [x.name for x in row.neighbours] == [f"name{i:03}" for i in range(10)]
+
+
 PATCHES = [(1, "@@ -10,3 +10,4 @@\n a\n-b\n+c\n+d\n e"), (2, "noise\n@@ -1,2 +1,3 @@ fn\n x\n+y\n z\n@@ -20 +21,2 @@\n p\n+q"), (3, "@@ -0,0 +1,3 @@\n+a\n+b\n+c\n\\ No newline")]
 
 
