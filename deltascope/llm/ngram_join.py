@@ -324,8 +324,10 @@ def _intersected(percent: int):
     return run
 
 
-#: Buckets of shingle hashes whose counts order the shingles of a set: a fixed table of 4 MB.
+#: Buckets of shingle hashes whose counts order the shingles of a set, and how many of them, the most
+#: frequent ones, have a count: a fixed table.  Any order gives the same pairs; this one keeps them few.
 COUNT_BITS = 20
+COUNTED = 1 << 16
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
@@ -509,9 +511,10 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _rare_rows(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """A row for each of the rarest shingles of each of the nodes."""
     own = nodes.join(sets, F.col("node") == F.col("id")).select("node", "comp", "rest", "shingles")
-    rows = own.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = own.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    often = rows.where("n > 1").orderBy(F.desc("n"), "bucket").limit(COUNTED).toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.int32)
-    counts[rows["bucket"]] = np.minimum(rows["n"], (1 << 31) - 1)
+    counts[often.column("bucket").to_numpy()] = np.minimum(often.column("n").to_numpy(), (1 << 31) - 1)
     return own.mapInArrow(_rarest(percent, sets.sparkSession.sparkContext.broadcast(counts)), _RARE)
 
 
