@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as p
+from deltascope.operators import matching
 
 DEDUP_PREFIX = 80
 MAX_VALIDATED, MAX_RAW, SHORTCUT = 7, 50, 2
@@ -200,8 +201,7 @@ CONFIG_EXTENSIONS = ("json", "yml", "yaml", "toml", "xml", "md", "txt", "lock")
 
 def gap_files(chunks: DataFrame, covered: DataFrame, limit: int = 5) -> DataFrame:
     """Files of a change that no finding covers: source first, larger first."""
-    c = covered.select(F.col("pr_id"), F.col("path").alias("other")).distinct()
-    hit = chunks.join(c, "pr_id").where(F.col("file").endswith(F.col("other")) | F.col("other").endswith(F.col("file"))).select("pr_id", "file").distinct()
+    hit = matching.ends_meet(chunks, covered, ["pr_id"], "file", "path").select("pr_id", "file").distinct()
     rest = chunks.join(hit, ["pr_id", "file"], "left_anti").where("chunk_len > 50")
     ext = F.lower(F.substring_index("file", ".", -1))
     kind = F.when(ext.isin(*SOURCE_EXTENSIONS), 2).when(ext.isin(*CONFIG_EXTENSIONS), 0).otherwise(1)
@@ -222,4 +222,11 @@ def validation_context(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     texts = candidates.groupBy("pr_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lens_idx", "pos", F.lower("issue").alias("x")))), lambda r: r["x"]), " ").alias("combined"))
     content = F.coalesce(F.nullif("before_content", F.lit("")), F.nullif("after_content", F.lit("")))
     named = (F.coalesce("entity_name", F.lit("")) != "") & (F.col("entity_type") != "chunk") & content.isNotNull()
-    return entities.where(named).join(texts, "pr_id").where(F.col("combined").contains(F.lower("entity_name"))).drop("combined")
+    known = entities.where(named).withColumn("sought", F.lower("entity_name"))
+    # a name can only be in a text that has all its grams; those of a text are few, however many names there are
+    there = texts.select("pr_id", F.explode(matching.grams(F.col("combined"))).alias("gram"))
+    asked = known.select("pr_id", "sought").distinct().withColumn("grams", matching.grams(F.col("sought")))
+    n = asked.select("pr_id", "sought", F.explode("grams").alias("gram")).join(there, ["pr_id", "gram"]).groupBy("pr_id", "sought").agg(F.count(F.lit(1)).alias("n"))
+    likely = asked.join(n, ["pr_id", "sought"], "left").where(F.coalesce("n", F.lit(0)) == F.size("grams")).select("pr_id", "sought")
+    found = likely.join(texts, "pr_id").where(F.col("combined").contains(F.col("sought"))).select("pr_id", "sought")
+    return known.join(found, ["pr_id", "sought"], "left_semi").drop("sought")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as p
+from deltascope.operators import matching
 
 # Identifier patterns, and words that are no identifiers.
 IDENTIFIER_PATTERNS = (r"\b[A-Z][a-zA-Z0-9]+(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*\b", r"\b[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b", r"\b[a-z_][a-z0-9_]+\b")
@@ -42,15 +43,21 @@ def judge_by_path(golden: DataFrame, findings: DataFrame) -> DataFrame:
     A finding's ``entity_name`` is one of its identifiers, and ``end_line`` ends its
     range, where the table has them.
 
-    Basenames are the equi key of the join; the rest of the path rule is residual.
+    Only the first finding of each file of a change matters, so each path is one row; paths of
+    which one ends like the other meet on whole ends.
     """
-    base = lambda x: F.substring_index(F.regexp_replace(x, r"\\", "/"), "/", -1)
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\", "/"), "^/+", "")
     has = lambda name, other: F.col(name) if name in findings.columns else other
     end = F.coalesce(F.nullif(has("end_line", F.lit(None).cast("long")), F.lit(0)), "line")
-    f = findings.select("pr_id", base(F.col("file")).alias("base"), "pos", F.col("file").alias("f_file"), F.col("line").alias("f_line"), end.alias("f_end"), F.col("issue").alias("f_issue"), has("entity_name", F.lit(None).cast("string")).alias("f_entity"))
-    g = golden.withColumn("base", base(F.col("path")))
-    rows = g.join(f, ["pr_id", "base"]).where(p.same_path(F.col("path"), F.col("f_file")))
-    first = rows.groupBy("gold_id").agg(F.min_by(F.struct("from_line", "to_line", "f_line", "f_end", "note", "f_issue", "f_entity"), "pos").alias("x"))
+    f = findings.where(F.col("file") != "").select("pr_id", plain(F.col("file")).alias("f_file"), "pos", F.struct(F.col("line").alias("f_line"), end.alias("f_end"), F.col("issue").alias("f_issue"), has("entity_name", F.lit(None).cast("string")).alias("f_entity")).alias("f"))
+    f = f.groupBy("pr_id", "f_file").agg(F.min("pos").alias("pos"), F.min_by("f", "pos").alias("f"))
+    g = golden.where(F.col("path") != "").withColumn("g_file", plain(F.col("path")))
+    meet = matching.ends_meet(g, f, ["pr_id"], "g_file", "f_file")
+    # a path of separators only is the end of any
+    bare = lambda df, x: df.where(F.col(x) == "").select("pr_id", x).distinct()
+    meet = meet.unionByName(bare(g, "g_file").join(f.select("pr_id", "f_file"), "pr_id")).unionByName(bare(f, "f_file").join(g.select("pr_id", "g_file").distinct(), "pr_id").where("g_file <> ''"))
+    best = meet.join(f, ["pr_id", "f_file"]).groupBy("pr_id", "g_file").agg(F.min_by("f", "pos").alias("f"))
+    first = g.join(best, ["pr_id", "g_file"]).select("gold_id", F.struct("from_line", "to_line", "f.f_line", "f.f_end", "note", "f.f_issue", "f.f_entity").alias("x"))
     lines = p.lines_overlap(F.col("x.from_line"), F.col("x.to_line"), F.col("x.f_line"), F.col("x.f_end"))
     named = F.when(F.coalesce("x.f_entity", F.lit("")) != "", F.array(F.lower("x.f_entity"))).otherwise(F.array().cast("array<string>"))
     idents = F.arrays_overlap(lower_set(identifiers(F.col("x.note"))), F.concat(lower_set(identifiers(F.col("x.f_issue"))), named))
@@ -70,10 +77,16 @@ def judge_by_names(golden: DataFrame, entities: DataFrame) -> DataFrame:
 
     entities has one row per change: hc_names, all_names, hc_files (lower case), hc_count, entity_count.
     """
-    rows = golden.join(entities, "pr_id", "left").withColumn("ids", lower_set(identifiers(F.col("note"))))
-    some = lambda names: F.exists("ids", lambda i: F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.contains(i) | i.contains(n)))
-    inside = F.exists("ids", lambda i: F.exists(F.coalesce(F.col("hc_files"), F.array().cast("array<string>")), lambda n: n.contains(i)))
-    verdict = F.when(some(F.col("hc_names")) | some(F.col("all_names")), "match").when(inside, "partial").when(F.coalesce("entity_count", F.lit(0)) == 0, "miss").otherwise("partial")
+    ids = golden.select("gold_id", "pr_id", F.explode(lower_set(identifiers(F.col("note")))).alias("id"))
+    names = entities.select("pr_id", F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in ("hc_names", "all_names")))).alias("name"))
+    paths = entities.select("pr_id", F.explode("hc_files").alias("name"))
+    in_names = matching.parts_found(names, ids, ["pr_id"], "name", "id").select("pr_id", "id")
+    of_names = matching.parts_found(ids, names, ["pr_id"], "id", "name").select("pr_id", "id")
+    in_paths = matching.parts_found(paths, ids, ["pr_id"], "name", "id").select("pr_id", "id")
+    met = in_names.unionByName(of_names).withColumn("hit", F.lit(2)).unionByName(in_paths.withColumn("hit", F.lit(1))).groupBy("pr_id", "id").agg(F.max("hit").alias("hit"))
+    best = ids.join(met, ["pr_id", "id"]).groupBy("gold_id").agg(F.max("hit").alias("hit"))
+    rows = golden.select("gold_id", "pr_id").join(entities.select("pr_id", "entity_count"), "pr_id", "left").join(best, "gold_id", "left")
+    verdict = F.when(F.col("hit") == 2, "match").when(F.col("hit") == 1, "partial").when(F.coalesce("entity_count", F.lit(0)) == 0, "miss").otherwise("partial")
     return rows.select("gold_id", verdict.alias("verdict"))
 
 
@@ -122,14 +135,19 @@ def with_errors(judged: DataFrame, failed: DataFrame) -> DataFrame:
 def breakdowns(judged: DataFrame, dimensions: list[str]) -> DataFrame:
     """dimension, value, n, matches, strict recall in percent; ``high_critical`` is the part with those severities.
 
-    One pass: grouping sets over the dimensions and the severities.  Missing values are no group.
+    One pass by grouping sets, one for each dimension.  Missing values are no group.
     """
     hc = F.when(F.col("severity").isin("critical", "high"), F.lit("yes"))
-    rows = judged.withColumn("high_critical", hc)
     names = [*dimensions, "high_critical"]
-    parts = F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(x).cast("string").alias("value")) for x in names))).alias("part")
-    counts = rows.select(parts, "verdict").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "match").alias("matches"))
-    return counts.where("part.value IS NOT NULL").select("part.dimension", "part.value", "n", "matches", F.round(F.col("matches") / F.col("n") * 100, 6).alias("recall"))
+    rows = judged.withColumn("high_critical", hc).select("verdict", *(F.col(x).cast("string").alias(x) for x in names))
+    sets = rows.groupingSets([[x] for x in names], *names)
+    counts = sets.agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "match").alias("matches"))
+    # the set of the i-th dimension has all bits but its own
+    every = (1 << len(names)) - 1
+    own = {x: every ^ (1 << (len(names) - 1 - i)) for i, x in enumerate(names)}
+    pick = lambda of: F.coalesce(*(F.when(F.col("gid") == own[x], of(x)) for x in names))
+    out = counts.select(pick(F.lit).alias("dimension"), pick(F.col).alias("value"), "n", "matches")
+    return out.where("value IS NOT NULL").withColumn("recall", F.round(F.col("matches") / F.col("n") * 100, 6))
 
 
 def findings_once(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from deltascope.functions import parsing
 from deltascope.functions import predicates as p
+from deltascope.operators import matching
+from deltascope.operators.skew import SALTS
 
 LENSES = ("security", "correctness", "concurrency", "errors", "api", "performance", "general", "general-2", "general-3")
 #: Characters of content shown for an entity, and names listed each way.
@@ -98,17 +100,48 @@ def entity_json(scored: DataFrame, least: str = "low") -> DataFrame:
     return scored.where(p.at_least(F.col("risk_rank"), least)).select("entity_id", F.to_json(fields).alias("json"))
 
 
+def _longest(words: Column, limit: int) -> Column:
+    return F.transform(F.slice(F.array_sort(F.transform(words, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, limit), lambda s: s["x"])
+
+
+# Words that tell nothing about a file.
+COMMON_WORDS = ("self", "this", "None", "null", "true", "false", "return", "const", "static", "void", "string", "else", "break", "continue", "import", "from", "class", "function", "async", "await", "public", "private", "protected", "override")
+
+
+def enrich_by_file(findings: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
+    """Adds `` [ctx: ...]``: the longest identifiers and entity names of the files that a finding's path stands for.
+
+    findings: pr_id, file, issue; entities: pr_id, file_path, entity_name, before_content,
+    after_content.  Each file keeps its own ``limit`` longest words, gathered word by word, before
+    files meet findings; of equally long ones the first in order.
+    """
+    code = F.coalesce(F.nullif("after_content", F.lit("")), F.nullif("before_content", F.lit("")), F.lit(""))
+    found = F.filter(F.regexp_extract_all(code, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]{3,}\b"), 0), lambda x: (F.upper(x) != x) & ~x.isin(*COMMON_WORDS))
+    named = F.filter(F.array("entity_name"), lambda x: F.coalesce(x, F.lit("")) != "")
+    words = entities.select("pr_id", "file_path", F.explode(F.array_union(found, named)).alias("word")).distinct()
+    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
+    for own in (["pr_id", "file_path", "part"], ["pr_id", "file_path"]):
+        words = words.withColumn("rn", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc(F.length("word")), "word"))).where(F.col("rn") <= limit)
+    by_file = words.groupBy("pr_id", "file_path").agg(F.collect_list("word").alias("words"))
+    plain = lambda x: F.regexp_replace(F.translate(x, "\\", "/"), "^/+", "")
+    left, right = findings.select("pr_id", "file", plain(F.col("file")).alias("a")).distinct(), by_file.withColumn("b", plain(F.col("file_path")))
+    met = matching.ends_meet(left, right, ["pr_id"], "a", "b").join(right, ["pr_id", "b"]).join(left, ["pr_id", "a"])
+    best = met.groupBy("pr_id", "file").agg(_longest(F.array_distinct(F.flatten(F.collect_list("words"))), limit).alias("words"))
+    text = F.concat(F.coalesce("issue", F.lit("")), F.lit(" [ctx: "), F.array_join("words", ", "), F.lit("]"))
+    return findings.join(best, ["pr_id", "file"], "left").withColumn("issue", F.when(F.col("words").isNotNull(), text).otherwise(F.col("issue"))).select(*findings.columns)
+
+
 def enrich(findings: DataFrame, entities: DataFrame, limit: int = 15) -> DataFrame:
     """Adds the longest identifiers of the entity that covers a finding's line (or starts within 20 of it).
 
-    entities: file, start_line, end_line, ids.  The file is the equi key, the range residual.
+    entities: file, start_line, end_line, ids.  Places meet ranges on aligned spans, so a long file is no all-pairs join.
     """
-    near = (F.col("line").between(F.col("start_line"), F.col("end_line"))) | (F.abs(F.col("start_line") - F.col("line")) <= 20)
-    rows = findings.join(entities, "file").where(near)
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy(~F.col("line").between(F.col("start_line"), F.col("end_line")), "start_line"))
-    best = rows.withColumn("rn", rank).where("rn = 1")
-    longest = F.transform(F.slice(F.array_sort(F.transform("ids", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, limit), lambda s: s["x"])
-    words = best.select("pos", F.array_join(longest, " ").alias("words"))
+    known = entities.withColumns({"low": F.col("start_line") - 20, "high": F.greatest("end_line", F.col("start_line") + 20)})
+    rows = matching.points_in_ranges(findings.select("file", "line", "pos"), known, ["file"], "line", "low", "high")
+    outside = ~F.col("line").between(F.col("start_line"), F.col("end_line"))
+    rows = rows.where(~outside | (F.abs(F.col("start_line") - F.col("line")) <= 20))
+    best = rows.groupBy("pos").agg(F.min_by("ids", F.struct(outside, F.col("start_line"), F.col("end_line"))).alias("ids"))
+    words = best.select("pos", F.array_join(_longest(F.col("ids"), limit), " ").alias("words"))
     return findings.join(words, "pos", "left").withColumn("issue", F.concat_ws(" ", "issue", "words")).drop("words")
 
 

@@ -631,4 +631,4 @@ def export_candidates(spark, sf_dir):
     return reviewer.candidates(urls, found).select(F.col("url").alias("pr_id"), F.size("candidates").cast("long").alias("n_candidates"))
 
 
-from deltascope.plans import details, reviews  # noqa: E402, F401  register further queries
+from deltascope.plans import details, matches, reviews  # noqa: E402, F401  register further queries

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as p
+from deltascope.operators import matching
 
 COMMENTS = "path string, line long, body string, title string"
 GOLDEN = "pr_title string, comments array<struct<comment:string,severity:string>>"
@@ -42,13 +43,18 @@ def pull_requests(lines: DataFrame) -> DataFrame:
 def match_titles(pulls: DataFrame, golden: DataFrame) -> DataFrame:
     """Each pull request with the first golden set of its title: equal, or alike in 40 characters.
 
-    Both rules imply equal first characters, which is the equi key of the join.
+    One of the titles cut to 40 characters is then the start of the other: titles meet on whole starts.
     """
-    key = lambda x: F.left(F.lower(x), F.lit(1))
-    g = golden.select("gold_id", F.col("title").alias("g_title")).withColumn("k", key(F.col("g_title")))
-    near = (F.col("title") == F.col("g_title")) | F.col("title").startswith(F.left("g_title", F.lit(40))) | F.col("g_title").startswith(F.left("title", F.lit(40)))
-    rows = pulls.withColumn("k", key(F.col("title"))).join(g, "k").where(near)
-    return rows.groupBy("repo", "number", "title").agg(F.min("gold_id").alias("gold_id"))
+    distinct = lambda df, name: df.select(F.col("title").alias(name)).where(F.col("title") != "").distinct()
+    mine, theirs = distinct(pulls, "title"), distinct(golden, "g_title")
+    short = lambda df, name, out: df.select(F.left(name, F.lit(40)).alias(out)).distinct()
+    near = matching.starts_meet(short(mine, "title", "t40"), short(theirs, "g_title", "g40"), [], "t40", "g40")
+    # a short title is the start of a long one within 40 characters, or a long one begins with its first 40
+    met = mine.withColumn("t40", F.left("title", F.lit(40))).join(near, "t40").join(theirs.withColumn("g40", F.left("g_title", F.lit(40))), "g40")
+    fits = (F.col("title") == F.col("g_title")) | F.col("title").startswith(F.col("g40")) | F.col("g_title").startswith(F.col("t40"))
+    first = golden.groupBy(F.col("title").alias("g_title")).agg(F.min("gold_id").alias("gold_id"))
+    best = met.where(fits).join(first, "g_title").groupBy("title").agg(F.min("gold_id").alias("gold_id"))
+    return pulls.select("repo", "number", "title").distinct().join(best, "title").select("repo", "number", "title", "gold_id")
 
 
 def round_robin_sample(items: DataFrame, limit: int) -> DataFrame:
