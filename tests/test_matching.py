@@ -212,3 +212,56 @@ def test_the_stream_gives_the_states_of_the_fold(spark, tmp_path):
         spark.conf.set(key, before)
     want = fold(events, closing[2], 3600)
     assert {k: v for k, v in got.items() if k < 900} == want
+
+
+# ---------------------------------------------------------------- the review sink
+
+
+def arrived(root):
+    import collections
+    import json
+
+    return collections.Counter((f.parent.name, json.loads(f.read_text())["comments"][0]["body"]) for f in root.glob("*-*/*.json"))
+
+
+def written(tmp_path):
+    import json
+
+    return sorted((x["state"], x["sent"], x["known"], len(x["failed"])) for x in (json.loads(f.read_text()) for f in (tmp_path / "log").glob("*.json")))
+
+
+def test_each_review_arrives_once(spark, tmp_path):
+    """A worker dies after posting; the task, or the whole write, runs again."""
+    from deltascope.sinks import outputs, posted
+
+    root = tmp_path / "host"
+    root.mkdir()
+    comments = spark.createDataFrame([("o/r", n, "f.py", 1, f"text {n}") for n in range(12)], "repo string, number long, path string, line long, body string")
+    payloads = outputs.review_payloads(comments).repartition(3)
+    spark.dataSource.register(posted.PostedSink)
+    write = lambda **options: payloads.write.format("review_posts").options(client="tests.posting_host:FolderHost", root=str(root), log=str(tmp_path / "log"), **options).mode("append").save()
+    for _ in range(12):
+        try:
+            write(fail_after_posting="4")
+            break
+        except Exception:  # noqa: BLE001  a local master doesn't run a failed task again
+            continue
+    assert sum(arrived(root).values()) == 12 and set(arrived(root).values()) == {1}
+    write()
+    assert set(arrived(root).values()) == {1} and ("committed", 0, 12, 0) in written(tmp_path)
+
+
+def test_reviews_that_fail_are_told(spark, tmp_path):
+    from deltascope.sinks import posted
+
+    root = tmp_path / "host"
+    root.mkdir()
+    body = '{"event": "COMMENT", "comments": [{"body": "x"}]}'
+    rows = spark.createDataFrame([("down/down", 1, body), ("o/r", 2, body), ("o/r", 2, body)], "repo string, number long, payload string").coalesce(1)
+    spark.dataSource.register(posted.PostedSink)
+    sink = rows.write.format("review_posts").options(client="tests.posting_host:FolderHost", root=str(root), log=str(tmp_path / "log")).mode("append")
+    sink.save()
+    assert written(tmp_path) == [("committed", 1, 1, 1)] and sum(arrived(root).values()) == 1
+    with pytest.raises(Exception, match="weren't sent"):
+        sink.option("fail_on_error", "true").save()
+    assert [x[0] for x in written(tmp_path)] == ["aborted", "committed"]
