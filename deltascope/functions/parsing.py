@@ -47,16 +47,20 @@ def without_fences(text: Column) -> Column:
 
 
 def balanced_object(text: Column) -> Column:
-    """The first {...} whose braces balance, quotes disregarded; null without one."""
+    """The first {...} whose braces balance, quotes disregarded; null without one.
+
+    Only the braces are walked; where the closing one stands follows from the pieces between them.
+    """
     rest = F.regexp_extract(text, r"(?s)(\{.*)", 1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
 
     def step(a: Column, x: Column) -> Column:
-        depth = a["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
-        return F.struct((a["at"] + 1).alias("at"), depth.alias("depth"), F.when((a["end"] == 0) & (depth == 0), a["at"] + 1).otherwise(a["end"]).alias("end"))
+        depth = a["depth"] + F.when(x == "{", 1).otherwise(-1)
+        return F.struct((a["n"] + 1).alias("n"), depth.alias("depth"), F.when((a["end"] == 0) & (depth == 0), a["n"] + 1).otherwise(a["end"]).alias("end"))
 
-    end = F.aggregate(F.split(rest, ""), start, step)["end"]
-    return F.when((rest != "") & (end > 0), F.substring(rest, F.lit(1), end))
+    closing = F.aggregate(F.regexp_extract_all(rest, F.lit(r"[{}]"), 0), start, step)["end"]
+    between = F.aggregate(F.slice(F.split(rest, r"[{}]"), F.lit(1), closing), F.lit(0), lambda n, x: n + F.length(x))
+    return F.when((rest != "") & (closing > 0), F.substring(rest, F.lit(1), closing + between))
 
 
 def summary_names(text: Column) -> Column:

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from deltascope.functions import signing
-from deltascope.operators import matching, reviewer, search
+from deltascope.operators import agent, matching, reviewer, search
 from deltascope.plans.catalog import FOUND, GOLD, query
 from deltascope.sources import files
 from deltascope.sources import tables as t
@@ -105,3 +105,32 @@ def indexed_grep(spark, sf_dir):
     rows = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
     with search.index(rows) as index:
         return t.cut(index.grep("ation of").select("file", "line", "text"))
+
+
+# ---------------------------------------------------------------- agents
+
+_AGENT_FILES = "SELECT doc_id % 20 AS pr_id, 'd' || CAST(doc_id AS VARCHAR(12)) AS file, text FROM documents"
+
+
+def _agent(said: list[str]) -> str:
+    """An offline agent: looks for a word, then for the dependents of a name, and keeps by what it heard."""
+    if len(said) == 1:
+        return '{"tool": "search", "args": {"pattern": "The And"}}'
+    if len(said) == 2:
+        return 'I ask: {"tool": "dependents", "args": {"name": "hub"}}'
+    heard = said[1].count("\n") + (said[1] != "no matches"), said[2] != "none"
+    return '{"keep": [%s]}' % ("2, 1" if heard[0] > 3 and heard[1] else "1" if heard[1] else "2")
+
+
+@query(f"""WITH f AS ({_AGENT_FILES}), c AS (SELECT DISTINCT user_id % 25 AS pr_id FROM events),
+n AS (SELECT pr_id, count(*) AS hits FROM (SELECT pr_id, unnest(string_split(text, chr(10))) AS line FROM f) WHERE contains(lower(line), 'the and') GROUP BY pr_id)
+SELECT pr_id, CASE WHEN coalesce(hits, 0) > 3 AND pr_id % 3 <> 0 THEN 'second,first' WHEN pr_id % 3 <> 0 THEN 'first' ELSE 'second' END AS kept, 3::BIGINT AS steps FROM c LEFT JOIN n USING (pr_id)""")
+def agents(spark, sf_dir):
+    """The agents of all changes at once, over the documents as their files."""
+    events, docs = t.table(spark, sf_dir, "events"), t.table(spark, sf_dir, "documents")
+    changes = events.select((F.col("user_id") % 25).alias("pr_id")).distinct().withColumn("candidates", F.array(F.lit("first"), F.lit("second")))
+    files_ = docs.select((F.col("doc_id") % 20).alias("pr_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), "text")
+    entities = changes.select("pr_id", F.explode(F.array(F.struct(F.lit("h").alias("entity_id"), F.lit("Core::hub").alias("entity_name")), F.struct(F.lit("u").alias("entity_id"), F.lit("user").alias("entity_name")))).alias("x")).select("pr_id", "x.*", F.lit("a.rs").alias("file_path"), F.lit("").alias("content"))
+    edges = changes.where("pr_id % 3 <> 0").select("pr_id", F.lit("u").alias("src"), F.lit("h").alias("dst"))
+    rows = agent.challenge_all(changes, _agent, entities, edges, files_)
+    return rows.select("pr_id", F.array_join("kept", ",").alias("kept"), F.col("steps").cast("long").alias("steps"))

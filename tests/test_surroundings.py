@@ -186,3 +186,49 @@ def test_context_takes_names_across_issues(spark):
     kinds = spark.createDataFrame([("added",), ("moved",)], "change_type string")
     assert funnel.code_changes(kinds).count() == 1
     assert spark.range(1).select(F.lit(len(funnel.identifiers("value fooBar x1 the")))).first()[0] == 1
+
+
+def test_agents_of_many_changes_answer_as_one_by_one(spark):
+    """The same scripted agent at the driver, change by change, and for all changes at once."""
+    entities = [(pr, f"{pr}{i}", name, f"src/{i}.rs", f"body {i}") for pr in (1, 2, 3, 4) for i, name in enumerate(("A::run", "run", "Run", "x.A::run", "walk"))]
+    edges = [(pr, f"{pr}{a}", f"{pr}{b}") for pr in (1, 2, 3) for a, b in ((0, 4), (1, 4), (4, 2))]
+    texts = [(pr, f"f{i}.rs", f"fn walk() {{}}\nlet RUN = {i};\n") for pr in (1, 2, 3) for i in range(3)]
+    scripts = {
+        1: ['{"tool": "entity", "args": {"name": "run"}}', '{"tool": "entity", "args": {"name": "A::run", "file": "src/0"}}', '{"keep": [2, 9, 1]}'],
+        2: ['{"tool": "dependents", "args": {"name": "walk"}}', '{"tool": "dependencies", "args": {"name": "walk"}}', '{"tool": "search", "args": {"pattern": "run"}}', '{"tool": "nothing"}', '{"keep": []}'],
+        3: ['{"tool": "file", "args": {"path": "f1"}}', '{"tool": "file", "args": {"path": "none"}}', '{"tool": "search", "args": {"pattern": "none"}}', "no step"],
+        4: ['{"tool": "dependents", "args": {"name": "walk"}}', "fail"],
+    }
+
+    def ask(said):
+        pr = int(said[0].split(" of ")[1][0])
+        step = scripts[pr][len(said) - 1] if len(said) <= len(scripts[pr]) else "still nothing"
+        if step == "fail":
+            raise OSError("down")
+        if "keep" in step and pr == 1:
+            return '{"keep": [%d]}' % (len("|".join(said[1:])) % 2 + 1)
+        return step
+
+    heard = {}
+
+    def telling(said):
+        heard[int(said[0].split(" of ")[1][0])] = list(said)
+        return ask(said)
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    e, g, f = frame(entities, "pr_id long, entity_id string, entity_name string, file_path string, content string"), frame(edges, "pr_id long, src string, dst string"), frame(texts, "pr_id long, file string, text string")
+    want = {}
+    for pr in scripts:
+        own = lambda df: df.where(F.col("pr_id") == pr).drop("pr_id")  # noqa: B023, E731
+        want[pr] = agent.challenge([f"one of {pr}", f"two of {pr}"], telling, agent.Tools(own(e), own(g), own(f)))
+    changes = frame([(pr, [f"one of {pr}", f"two of {pr}"]) for pr in scripts], "pr_id long, candidates array<string>")
+
+    def checked(said):
+        pr = int(said[0].split(" of ")[1][0])
+        assert list(said) == seen[pr][: len(said)], (said, seen[pr])
+        return ask(said)
+
+    seen = dict(heard)
+    got = {r.pr_id: r.kept for r in agent.challenge_all(changes, checked, e, g, f).collect()}
+    assert got == want and want[4] == ["one of 4", "two of 4"] and want[2] == []
+    assert agent.challenge_all(changes.limit(0), ask, e, g, f).count() == 0
