@@ -410,6 +410,18 @@ def components(edges: DataFrame, scratch: c.Scratch, name: str) -> DataFrame:
             return label
 
 
+def _joined(comp: DataFrame, links: DataFrame, scratch: c.Scratch, name: str) -> DataFrame:
+    """(id, comp) after further links: only the components that they join are walked again."""
+    x, y = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    ends = links.join(x, "a", "left").join(y, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = scratch.save(ends, f"{name}-ends")
+    up = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, name).toDF("comp", "up")
+    alone = ends.select("a", "ca").union(ends.select("b", "cb")).toDF("id", "comp").where("id = comp").distinct().join(comp, "id", "left_anti")
+    out = scratch.save(comp.unionByName(alone).join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), f"{name}-all")
+    scratch.drop(f"{name}-ends")
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -469,8 +481,7 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rest = _across_components(likely.join(first, ["a", "b"], "left_anti"), comp)
     more = scratch.save(_verified(rest, sets, percent), "links1")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comp = components(links, scratch, "comp1")
+        comp = _joined(comp, more, scratch, "comp1")
     scratch.release()
 
     # Lists whose members are still apart: a set first meets its neighbours among those with the
@@ -485,13 +496,16 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
             break
         if step == 2:
             open_sets = scratch.save(_sets_of(texts, own, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), k), "sets2", bucket_by="id")
-        rare = _rare_rows(open_sets, nodes, percent).where("n > 0")
+            rare = scratch.save(_rare_rows(open_sets, nodes, percent), "rare")
+        else:
+            rare = rare.drop("comp", "rest").join(nodes, "node")
         pairs = scratch.save(meet(rare, percent), f"pairs{step}")
+        if pairs.isEmpty():
+            continue
         bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(percent), _PAIR)
         found_now = scratch.save(_verified(bounded, open_sets, percent), f"links{step}")
         if not found_now.isEmpty():
-            links = links.unionByName(found_now)
-            comp = components(links, scratch, f"comp{step}")
+            comp = _joined(comp, found_now, scratch, f"comp{step}")
         scratch.release()
 
     # the least doc_id of each component, by node; nodes of many copies are met in salted parts
@@ -503,7 +517,7 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", "comp", F.coalesce("head", "least").alias("head")), "heads")
     out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", "row", "n", "comp", "head")
     scratch.drop_tables()
-    scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "apart2", "apart3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
+    scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "rare", "apart2", "apart3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
     scratch.release()
     return out
 
