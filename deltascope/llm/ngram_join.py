@@ -546,7 +546,8 @@ def _by_rarest(rare: DataFrame, percent: int) -> DataFrame:
     need = percent * (F.col("n") + F.col("n_2"))
     fits = (F.col("place") * (100 + percent) >= need) & (F.col("place_2") * (100 + percent) >= need) & (100 * F.col("n_2") >= percent * F.col("n"))
     fits &= (F.col("comp") != F.col("comp_2")) & ((F.col("n") > F.col("n_2")) | ((F.col("n") == F.col("n_2")) & (F.col("node") > F.col("node_2"))))
-    met = [c.salted_join(rare.where(x), held.where(y), ["gram"], ["node"]).where(fits) for x, y in (("rest", "true"), ("not rest", "rest_2"))]
+    # plain joins, of which Spark splits what is skewed: a salted one would send the held rows SALTS times
+    met = [rare.where(x).join(held.where(y).drop("rest_2"), "gram").where(fits) for x, y in (("rest", "true"), ("not rest", "rest_2"))]
     pairs = met[0].unionByName(met[1])
     return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
 
