@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 
 from deltascope.operators import diff
 from deltascope.operators.matching import GRAM, grams
+from deltascope.sources.tables import delete, shared_path
 
 
 class Index:
     """Postings of ``files`` (file, text), in any case.  Usable in a ``with`` block, at whose end its table goes."""
 
-    def __init__(self, files: DataFrame, buckets: int = 64, table: str | None = None):
+    def __init__(self, files: DataFrame, buckets: int = 64):
         self.files, self.spark = files, files.sparkSession
-        self.table = table or f"grams_{uuid.uuid4().hex}"
+        self.table, self.path = f"grams_{uuid.uuid4().hex}", shared_path(self.spark, "grams")
         rows = files.select("file", F.explode(grams(F.lower(F.coalesce("text", F.lit(""))))).alias("gram"))
-        # a gram that all files have is dealt over the tasks before it is written to its bucket
-        rows.write.bucketBy(buckets, "gram").sortBy("gram").format("parquet").mode("overwrite").saveAsTable(self.table)
+        # each task writes its own part of a bucket, so a gram that all files have is in no single task
+        rows.write.bucketBy(buckets, "gram").sortBy("gram").option("path", self.path).format("parquet").saveAsTable(self.table)
 
     def __enter__(self) -> Index:
         return self
@@ -33,6 +34,7 @@ class Index:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete(self.spark, self.path)
 
     def candidates(self, pattern: str) -> DataFrame | None:
         """(file) of the files that have all grams of the pattern; None if it is too short to have any."""

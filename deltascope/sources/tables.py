@@ -23,12 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _INSIDE: list[list[str]] = []
 
 
-def _delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
+def delete(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    """Delete a path, now or when the driver ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     system.deleteOnExit(at) if at_end else system.delete(at, True)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the session's checkpoint folder; without that setting only a local master gets one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the session's checkpoint folder, which all machines share.
 
@@ -37,17 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     that wrote it on its way (``contained``).
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     if _INSIDE:
         _INSIDE[-1].append(path)
     else:
-        _delete(spark, path, at_end=True)
+        delete(spark, path, at_end=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +70,7 @@ def contained(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             _INSIDE.pop()
         kept = cut(out)
         for path in own:
-            _delete(out.sparkSession, path)
+            delete(out.sparkSession, path)
         return kept
 
     return run
