@@ -16,7 +16,7 @@ and bitmaps reject most pairs, and the rest are intersected exactly.
 Equal sets are one node, named by a 64-bit hash, and tiles with the same members
 are one list.  Each list first links its members with the one that meets others
 in the most tiles (a star, never all pairs).  Where members stay in different
-components, sets meet by their rarest shingles: linked ones have a common shingle so
+components, those of a short list (48 at most) are compared one by one; in longer lists sets meet by their rarest shingles: linked ones have a common shingle so
 early in the order of rarity that enough follow it in both.  First neighbours among the
 sets with the same rare shingle are tested, then, where that leaves components apart,
 each set outside its list's largest one with all that have such a shingle in common and are of
@@ -324,6 +324,29 @@ def _intersected(percent: int):
     return run
 
 
+#: Lists of up to so many members are compared member by member; longer ones meet by their rarest shingles.
+SHORT_LIST = 48
+
+
+def _across(percent: int):
+    """Pairs of a short list in different components that sizes and bitmaps allow."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        node, comp, n = (table.column(x).to_numpy() for x in ("node", "comp", "n"))
+        bits = table.column("bits").to_pylist()
+        pairs = set()
+        for i in range(len(node)):
+            near = np.flatnonzero((comp != comp[i]) & (np.arange(len(node)) > i) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            for j in near.tolist():
+                both = min(int(n[i]), int(n[j]), most_common(int(n[i]), int(n[j]), bits[i], bits[j]))
+                if linked(both, int(n[i]), int(n[j]), percent):
+                    pairs.add((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+        found = sorted(pairs)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return run
+
+
 #: Buckets of shingle hashes whose counts order the shingles of a set, and how many of them, the most
 #: frequent ones, have a count: a fixed table.  Any order gives the same pairs; this one keeps them few.
 COUNT_BITS = 20
@@ -484,13 +507,24 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         comp = _joined(comp, more, scratch, "comp1")
     scratch.release()
 
-    # Lists whose members are still apart: a set first meets its neighbours among those with the
-    # same rare shingle, then each one outside its list's largest component all that may be linked.
+    # Lists whose members are still apart.  In short ones each member meets those of other components.
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    placed, apart = _apart(members, comp)
+    rows = placed.join(apart.where(F.col("size") <= SHORT_LIST).select("list"), "list").join(light, F.col("node") == F.col("id")).select("list", "node", "comp", "n", "bits")
+    pairs = scratch.save(rows.groupBy("list").applyInArrow(_across(percent), _PAIR).distinct().join(tested, ["a", "b"], "left_anti"), "pairs1")
+    if not pairs.isEmpty():
+        few = scratch.save(_sets_of(texts, own, pairs, k), "sets1", bucket_by="id")
+        found_now = scratch.save(_verified(pairs, few, percent), "links2")
+        scratch.drop("sets1")
+        if not found_now.isEmpty():
+            comp = _joined(comp, found_now, scratch, "comp2")
+    scratch.release()
+
+    # In longer ones a set first meets its neighbours among those with the same rare shingle, then each
+    # one outside its list's largest component all that may be linked.
     for step, meet in ((2, _in_chains), (3, _by_rarest)):
-        placed = members.join(comp, F.col("node") == F.col("id"), "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
-        sizes = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"))
-        apart = sizes.groupBy("list").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
-        nodes = placed.join(apart, "list").groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("largest")).alias("rest"))
+        placed, apart = _apart(members, comp)
+        nodes = placed.join(apart.where(F.col("size") > SHORT_LIST), "list").groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("largest")).alias("rest"))
         nodes = scratch.save(nodes, f"apart{step}")
         if nodes.isEmpty():
             break
@@ -503,9 +537,9 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if pairs.isEmpty():
             continue
         bounded = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded(percent), _PAIR)
-        found_now = scratch.save(_verified(bounded, open_sets, percent), f"links{step}")
+        found_now = scratch.save(_verified(bounded, open_sets, percent), f"links{step + 1}")
         if not found_now.isEmpty():
-            comp = _joined(comp, found_now, scratch, f"comp{step}")
+            comp = _joined(comp, found_now, scratch, f"comp{step + 1}")
         scratch.release()
 
     # the least doc_id of each component, by node; nodes of many copies are met in salted parts
@@ -517,11 +551,19 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", "comp", F.coalesce("head", "least").alias("head")), "heads")
     out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", "row", "n", "comp", "head")
     scratch.drop_tables()
-    scratch.drop("members", "stars", "wanted", "light", "sets", "sets2", "rare", "apart2", "apart3", "likely", "first", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "nodes")
+    scratch.drop("members", "stars", "wanted", "light", "sets", "sets1", "sets2", "rare", "apart2", "apart3", "likely", "first", "pairs1", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "links4", "nodes")
     scratch.release()
     return out
 
 
+def _apart(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list, node, comp) of all members, and (list, largest, size) of the lists of three and more that lie in several components."""
+    placed = members.join(comp, F.col("node") == F.col("id"), "left").select("list", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy("list").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+    return placed, lists.where("parts > 1 and size > 2").select("list", "largest", "size")
+
+
 def _rare_rows(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """A row for each of the rarest shingles of each of the nodes."""
     own = nodes.join(sets, F.col("node") == F.col("id")).select("node", "comp", "rest", "shingles")
