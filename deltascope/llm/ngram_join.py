@@ -349,7 +349,7 @@ def _across(percent: int):
 
 #: Buckets of shingle hashes whose counts order the shingles of a set, and how many of them, the most
 #: frequent ones, have a count: a fixed table.  Any order gives the same pairs; this one keeps them few.
-COUNT_BITS = 20
+COUNT_BITS = 16
 COUNTED = 1 << 16
 
 
@@ -505,6 +505,7 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     more = scratch.save(_verified(rest, sets, percent), "links1")
     if not more.isEmpty():
         comp = _joined(comp, more, scratch, "comp1")
+    scratch.drop("sets", "likely", "first")  # not needed any more, and the largest tables
     scratch.release()
 
     # Lists whose members are still apart.  In short ones each member meets those of other components.
