@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltascope.functions import predicates as p
-from deltascope.operators.skew import SALTS
+from deltascope.operators.skew import SALTS, merged
 from deltascope.sources.tables import contained, cut, global_rank
 
 #: Transitive dependents are counted up to this many.
@@ -27,9 +27,9 @@ def dependencies(edges: DataFrame) -> DataFrame:
 
 
 def changed_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
-    """Edges with both ends changed."""
+    """Edges with both ends changed.  Give ``edges`` as a table (``cut``), else the tests move down into what makes them."""
     ids = changes.select("entity_id").distinct()
-    return edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("entity_id", "dst"), "dst", "left_semi").select("src", "dst")
+    return edges.join(merged(ids.withColumnRenamed("entity_id", "src")), "src", "left_semi").join(merged(ids.withColumnRenamed("entity_id", "dst")), "dst", "left_semi").select("src", "dst")
 
 
 #: Least hashes of its reach that each node keeps: fewer are the whole reach.
@@ -54,7 +54,7 @@ def blast_radius(edges: DataFrame, changes: DataFrame, cap: int = BLAST_CAP, k:
     big = sizes.where(F.col("n") >= k).select("node")
     if not big.isEmpty():
         counts = counts.unionByName(_large(step, sketch, cut(big), origins, cap, k))
-    return origins.join(counts, "node").select("entity_id", F.least("n", F.lit(cap)).alias("blast_radius"))
+    return origins.join(merged(counts), "node").select("entity_id", F.least("n", F.lit(cap)).alias("blast_radius"))
 
 
 def _sketches(step: DataFrame, k: int) -> DataFrame:
@@ -62,7 +62,7 @@ def _sketches(step: DataFrame, k: int) -> DataFrame:
     least = F.row_number().over(Window.partitionBy("node").orderBy("item"))
     kept = fresh = cut(step.select(F.col("at").alias("node"), F.col("next").alias("item")).distinct().withColumn("rank", least).where(F.col("rank") <= k).select("node", "item"))
     while not fresh.isEmpty():
-        come = fresh.select(F.col("node").alias("next"), "item").join(step, "next").select(F.col("at").alias("node"), "item").where("node <> item").distinct()
+        come = fresh.select(F.col("node").alias("next"), "item").join(merged(step), "next").select(F.col("at").alias("node"), "item").where("node <> item").distinct()
         both = come.withColumn("new", F.lit(1)).unionByName(kept.withColumn("new", F.lit(0))).groupBy("node", "item").agg(F.min("new").alias("new"))
         step_on = cut(both.withColumn("rank", least).where(F.col("rank") <= k).select("node", "item", "new"))
         kept, fresh = step_on.select("node", "item"), step_on.where("new = 1").select("node", "item")
@@ -159,18 +159,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
     while True:
-        near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
-        low = label.join(near, "a").select("a", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        near = both.join(merged(label.select(F.col("a").alias("b"), "c")), "b").groupBy("a").agg(F.min("c").alias("near"))
+        low = label.join(merged(near), "a").select("a", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         for _ in range(2):  # two jumps a round, over the labels known at its beginning
             up = label.select(F.col("a").alias("c"), F.col("c").alias("up"))
-            low = low.join(up, "c").select("a", "old", F.least("c", "up").alias("c"))
+            low = low.join(merged(up), "c").select("a", "old", F.least("c", "up").alias("c"))
         new = cut(low)
         moved = not new.where("c <> old").isEmpty()
         label = new.select("a", "c")
         if not moved:
             break
     own = nodes.select("entity_id").distinct()
-    return own.join(label, F.col("entity_id") == F.col("a"), "left").select("entity_id", F.coalesce("c", "entity_id").alias("component"))
+    return own.join(merged(label), F.col("entity_id") == F.col("a"), "left").select("entity_id", F.coalesce("c", "entity_id").alias("component"))
 
 
 def groups(reviews: DataFrame, membership: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def groups(reviews: DataFrame, membership: DataFrame) -> DataFrame:
     The label is the only member's name, else the folder (or raw prefix) all paths
     share, else the number of entities.  Least and greatest path give the prefix.
     """
-    rows = reviews.join(membership, "entity_id")
+    rows = reviews.join(merged(membership), "entity_id")
     agg = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("review_rank", "entity_name")).alias("first"), F.min("file_path").alias("lo"), F.max("file_path").alias("hi"))
     shorter = F.least(F.length("lo"), F.length("hi"))
     differ = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda k: F.substring("lo", k, F.lit(1)) != F.substring("hi", k, F.lit(1)))

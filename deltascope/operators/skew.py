@@ -1,4 +1,4 @@
-"""Joins on keys of which a few may hold a large part of all rows."""
+"""Joins on keys of which a few may hold a large part of all rows, and of sides that grow with the input."""
 
 from __future__ import annotations
 
@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: both sides are shuffled and merged.
+
+    Files of few bytes may hold many rows, so a size limit alone lets such a side through the driver, once a join.
+    """
+    return side.hint("merge")
+
+
 def salted(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
     """``many`` joined with ``one`` on ``keys``; the rows of a key are dealt over SALTS tasks by ``spread``."""
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
