@@ -26,6 +26,7 @@ def review_entities(changed: DataFrame, edges: DataFrame | None = None, total: i
     spark = changed.sparkSession
     if edges is None:
         edges = spark.createDataFrame([], "src string, dst string")
+    edges = cut(edges)
     rows = classified(changed).withColumn("change_seq", F.struct("file_path", "start_line", "entity_id"))
     rows = cut(triage.score(cut(rows), edges, total))
     ranked = triage.ranked(rows)

@@ -180,8 +180,9 @@ def edges(spark: SparkSession, sf_dir: str, hubs: bool = False) -> DataFrame:
     a = items.where("l_quantity >= 48 and l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("a"))
     b = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("b"))
     target = F.col("b") - F.col("b") % 20 if hubs else F.col("b")
-    pairs = a.join(b, ["l_orderkey", "n"]).select("a", target.alias("b")).where("a <> b")
-    return pairs.select(F.concat(F.lit("e"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("e"), F.col("b").cast("string")).alias("dst")).distinct()
+    # the few lines of ``a`` are looked up, so that all the others needn't be sorted
+    pairs = b.join(a.hint("shuffle_hash"), ["l_orderkey", "n"]).select("a", target.alias("b")).where("a <> b").distinct()
+    return pairs.select(F.concat(F.lit("e"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("e"), F.col("b").cast("string")).alias("dst"))
 
 
 def edges_sql(hubs: bool = False) -> str:
