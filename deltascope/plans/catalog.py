@@ -15,6 +15,7 @@ from deltascope.functions import parsing
 from deltascope.functions import predicates as p
 from deltascope.functions import scoring as s
 from deltascope.operators import diff, funnel, graph, judge, reviewer, triage
+from deltascope.operators.skew import merged
 from deltascope.sources import tables as t
 from deltascope.streaming import jobs
 
@@ -81,7 +82,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, state
     known = _SCORED.get(key)
     if known is None or not all(_modified(spark, x) for x in known.inputFiles()):
-        rows = triage.score(t.changes(spark, sf_dir), t.edges(spark, sf_dir, hubs=True), parts.count())
+        rows = triage.score(t.changes(spark, sf_dir), t.cut(t.edges(spark, sf_dir, hubs=True)), parts.count())
         for old in [x for x in _SCORED if x[:3] == key[:3] or x[0] != key[0]]:
             del _SCORED[old]
         known = _SCORED[key] = t.cut(rows)
@@ -211,12 +212,12 @@ def blast_radius(spark, sf_dir):
 
 @query(f"WITH c AS ({CHANGES}), e AS ({EDGES}) SELECT src, dst FROM e WHERE src IN (SELECT entity_id FROM c) AND dst IN (SELECT entity_id FROM c)")
 def changed_edges(spark, sf_dir):
-    return graph.changed_edges(t.edges(spark, sf_dir), t.changes(spark, sf_dir))
+    return graph.changed_edges(t.cut(t.edges(spark, sf_dir)), t.changes(spark, sf_dir))
 
 
 def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = t.changes(spark, sf_dir)
-    return graph.components(changes, graph.changed_edges(t.edges(spark, sf_dir), changes))
+    return graph.components(changes, graph.changed_edges(t.cut(t.edges(spark, sf_dir)), changes))
 
 
 @query(f"WITH RECURSIVE c AS ({CHANGES}), e AS ({EDGES}), {_COMPONENTS} SELECT * FROM comp")
@@ -274,16 +275,17 @@ def entity_view(spark, sf_dir):
 def group_view(spark, sf_dir):
     members = _membership(spark, sf_dir)
     large = members.groupBy("component").count().where("count > 1").select("component")
-    return t.changes(spark, sf_dir).join(members.join(large, "component", "left_semi"), "entity_id").select("entity_id", "entity_name", "component")
+    return t.changes(spark, sf_dir).join(merged(members.join(merged(large), "component", "left_semi")), "entity_id").select("entity_id", "entity_name", "component")
 
 
 _TOUCHED = f"WITH {SCORED}, e2 AS ({EDGES}), {_COMPONENTS.replace('FROM e ', 'FROM e2 ')}, touched AS (SELECT l.l_orderkey AS sha, ranked.*, component FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l JOIN ranked ON change_seq = l_partkey JOIN comp USING (entity_id)), bench AS (SELECT sha, count(*) AS entity_count, count(DISTINCT file_path) AS file_count, count(DISTINCT component) AS group_count, {_COUNT('structural_change IS NOT DISTINCT FROM false', 'cosmetic_count')}, {_COUNT('risk_rank >= 2', 'high_critical_count')}, max(blast_radius) AS max_blast_radius, {_COUNT('dependent_count > 0', 'with_dependents')} FROM touched GROUP BY sha)"
 
 
 def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).join(_membership(spark, sf_dir), "entity_id")
-    lines = t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("change_seq")).distinct()
-    return lines.join(rows, "change_seq")
+    rows = scored(spark, sf_dir).select("change_seq", "entity_id", "file_path", "structural_change", "risk_rank", "blast_radius", "dependent_count")
+    rows = rows.join(merged(_membership(spark, sf_dir)), "entity_id")
+    lines = t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("change_seq"))
+    return lines.join(merged(rows), "change_seq")
 
 
 @query(_TOUCHED + " SELECT * FROM bench")
