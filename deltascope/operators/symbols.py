@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltascope.operators.skew import salted
+from deltascope.operators.skew import merged, salted
+from deltascope.sources.tables import cut
 
 #: Where a name was found.
 OWN, IMPORTED, NEAREST = "own file", "imported file", "nearest folder"
@@ -102,18 +103,18 @@ def _words(entities: DataFrame) -> DataFrame:
 def resolved(names: DataFrame, defined: DataFrame, imported: DataFrame | None) -> DataFrame:
     """file_path, word, dst, found: what each (file_path, word) of ``names`` refers to."""
     own = defined.select("file_path", "word", F.struct(F.lit(0).alias("tier"), F.lit(0).alias("far"), F.col("entity_id").alias("dst")).alias("x"))
-    tiers = [names.join(own, ["file_path", "word"])]
+    tiers = [names.join(merged(own), ["file_path", "word"])]
     if imported is not None:
         there = defined.select(F.col("file_path").alias("target_path"), "word", F.col("entity_id").alias("dst"))
         # a file's words go to the files it imports, not to all that define them
-        reach = names.join(imported.distinct(), "file_path").join(there, ["target_path", "word"])
+        reach = names.join(imported.distinct(), "file_path").join(merged(there), ["target_path", "word"])
         tiers.append(reach.select("file_path", "word", F.struct(F.lit(1).alias("tier"), F.lit(0).alias("far"), "dst").alias("x")))
     # nearest folder: the definitions below each folder are one (the least deep, then first by name and id)
     depth = F.size(F.split("file_path", "/"))
     below = defined.select("word", F.explode(ancestors(folder(F.col("file_path")))).alias("folder"), F.struct(depth.alias("depth"), F.col("file_path"), F.col("entity_id")).alias("at"))
     below = below.groupBy("word", "folder").agg(F.min("at")["entity_id"].alias("dst"))
     looked = names.select("file_path", "word", F.posexplode(ancestors(folder(F.col("file_path")))).alias("far", "folder"))
-    near = salted(looked, below, ["word", "folder"], ["file_path"])
+    near = salted(looked, merged(below), ["word", "folder"], ["file_path"])
     tiers.append(near.select("file_path", "word", F.struct(F.lit(2).alias("tier"), "far", "dst").alias("x")))
     rows = tiers[0]
     for more in tiers[1:]:
@@ -128,11 +129,12 @@ def scoped_edges(entities: DataFrame, imported: DataFrame | None = None) -> Data
 
     ``entities`` has entity_id, entity_name, file_path and content (or words); ``imported`` has
     file_path, target_path.  Entities of one name in several files are told apart by the file that speaks of them.
+    Texts are taken apart once; definitions and names are tables, so that while they are small no word is shuffled to meet them.
     """
-    defined = definitions(entities)
-    words = salted(_words(entities), defined.select("word").distinct(), ["word"], ["src"], "left_semi")
-    names = words.select("file_path", "word").distinct()
-    known = resolved(names, defined, imported)
-    edges = words.join(known, ["file_path", "word"]).where("src <> dst")
-    order = F.when(F.col("found") == OWN, 0).when(F.col("found") == IMPORTED, 1).otherwise(2)
-    return edges.groupBy("src", "dst").agg(F.min_by("found", order).alias("found"))
+    defined = cut(definitions(entities))
+    words = cut(salted(_words(entities), defined.select("word").distinct(), ["word"], ["src"], "left_semi"))
+    names = cut(words.select("file_path", "word").distinct())
+    tier = F.when(F.col("found") == OWN, 0).when(F.col("found") == IMPORTED, 1).otherwise(2)
+    known = cut(resolved(names, defined, imported).select("file_path", "word", "dst", tier.alias("tier")))
+    edges = words.join(known, ["file_path", "word"]).where("src <> dst").groupBy("src", "dst").agg(F.min("tier").alias("tier"))
+    return edges.select("src", "dst", F.when(F.col("tier") == 0, OWN).when(F.col("tier") == 1, IMPORTED).otherwise(NEAREST).alias("found"))

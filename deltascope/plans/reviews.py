@@ -68,9 +68,8 @@ _IMPORTS = f"SELECT DISTINCT x.file_path, y.file_path AS target_path FROM (SELEC
 
 
 def _entities(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit(_WORDS), 0)
     docs = t.table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{_FILE} AS file_path")
-    return docs.select("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("entity_id"), F.get(words, F.lit(0)).alias("entity_name"), "file_path", F.col("text").alias("content"))
+    return docs.select("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("entity_id"), F.regexp_extract("text", _WORDS, 0).alias("entity_name"), "file_path", F.col("text").alias("content"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, 'd' || lpad(doc_id::VARCHAR, 9, '0') AS id, {_FILE} AS file, regexp_extract_all(text, '{_WORDS}') AS w FROM documents),

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from deltascope.operators import graph, triage
+from deltascope.operators import extract, graph, review, symbols, triage
 from deltascope.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +44,29 @@ def test_commit_metrics_count_entities_that_come_twice_once(spark):
     got = {r.sha: r for r in triage.commit_bench(touched).collect()}
     assert (got[1].entity_count, got[1].file_count, got[1].group_count, got[1].cosmetic_count, got[1].with_dependents) == (3, 1, 2, 3, 3)
     assert (got[2].entity_count, got[2].file_count, got[2].group_count, got[2].max_blast_radius) == (1, 1, 1, 3)
+
+
+def test_scoped_edges_take_texts_apart_once(spark, tmp_path):
+    rows = [("a", "alpha", "s/x.py", "alpha beta gamma"), ("b", "beta", "s/y.py", "beta alpha alpha"), ("c", "gamma", "t/z.py", "nothing")]
+    spark.createDataFrame(rows, "entity_id string, entity_name string, file_path string, content string").write.parquet(f"{tmp_path}/texts")
+    found = {}
+    ran = plans(spark, lambda: found.update(((r.src, r.dst), r.found) for r in symbols.scoped_edges(spark.read.parquet(f"{tmp_path}/texts")).collect()))
+    assert found == {("a", "b"): symbols.NEAREST, ("a", "c"): symbols.NEAREST, ("b", "a"): symbols.NEAREST}
+    # once for the definitions and once for the words, each in the first and the final plan
+    assert sum(x.count(f"{tmp_path}/texts") for x in ran) <= 4
+
+
+def test_texts_of_a_review_stay_behind(spark):
+    files = spark.createDataFrame([(f"f{i}.py", f"def a{i}():\n    return {i}\n", f"def a{i}():\n    return {i + 1}\n") for i in range(5)], "file_path string, before_content string, after_content string")
+    found = []
+    ran = plans(spark, lambda: found.extend(review.review_change(files).collect()))
+    assert {(r.file_path, r.before_content[:6], r.after_content[-2:]) for r in found} == {(f"f{i}.py", f"def a{i}", f" {i + 1}") for i in range(5)}
+    written = [x for x in ran if "InsertIntoHadoopFsRelationCommand" in x and "before_content" in x]
+    assert len(written) == 1
+
+
+def test_equal_entities_are_not_taken_apart(monkeypatch):
+    asked = []
+    monkeypatch.setattr(extract.lexing, "tokens", lambda text, path="": asked.append(text) or text.split())
+    assert extract.compare("a.py", "def a():\n    x\ndef b():\n    y", "def a():\n    x\ndef b():\n    z", extract.outline)[0][4] == "modified"
+    assert sorted(asked) == ["def b():\n    y", "def b():\n    z"]
