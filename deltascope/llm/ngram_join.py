@@ -4,11 +4,12 @@ A document is the set of its distinct 4-word shingles (64-bit hashes, sorted); c
 may set another width and threshold.
 Sizes fall in bands that widen by 1/0.85, so that two linked documents lie in one
 band or in neighbours.  Within a band two linked sets differ in at most D
-shingles; the hash range is cut into more than D parts, and so at least one part
-is equal in both.  (band, part, content) is a tile: only documents of one tile are
-compared.  A shared passage alone never makes a tile, since a part mixes shingles
-of the whole text, and no link is lost.  (A set with so many empty parts that only
-those might agree is also put in the tiles of its empty parts.)
+shingles; the hash range is cut into more than D parts, and so some parts surely
+are equal in both.  (band, part, content) is a tile: only documents of one tile are
+compared.  Of M parts that hold S equal ones surely, a set takes the M - S + 1 tiles
+that come first in an order that all sets share (the most shingles first): the first of the equal ones has the S - 1
+others after it, and so is taken in both sets.  Parts of a single shingle, which all texts with one
+passage would share, and empty parts come last and are seldom taken; no link is lost.
 
 In a tile the bit counts of hashed bitmaps bound the overlap from above, sizes
 and bitmaps reject most pairs, and the rest are intersected exactly.
@@ -55,6 +56,8 @@ from deltascope.llm import _common as c
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 SHINGLE = 4
+#: Parts beyond those that linked sets may differ in, as a share of these; as many tiles of least content aren't taken.
+SPARE = 5
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket of tiles.
 BUCKET_BYTES = 16 << 20
@@ -88,7 +91,7 @@ class Bands:
         while len(self.low) < band + 2:
             self.of(self.low[-1])
         differ = self.most_differing(self.low[band + 1] - 1)
-        spare = 1 + (2 + differ // 50 if differ else 0)
+        spare = 1 + (2 + differ // SPARE if differ else 0)
         return differ + spare, spare
 
 
@@ -120,7 +123,7 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def tiles(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The signatures of the tiles that a set belongs to."""
+    """The signatures of the tiles that a set belongs to: of its parts those of the most shingles, enough to meet all linked sets."""
     cuts = bands(percent)
     band = cuts.of(len(s))
     mixed = c.mix(s + np.uint64(1))
@@ -130,10 +133,14 @@ def tiles(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         tag = np.uint64(b) << np.uint64(40)
-        out.append(c.mix(np.add.reduceat(mixed, edge) + c.mix(part[edge] + tag)))
-        if m - len(edge) >= spare:
+        sign = c.mix(np.add.reduceat(mixed, edge) + c.mix(part[edge] + tag))
+        keep = m - spare + 1
+        if len(edge) > keep:
+            sign = sign[np.lexsort((sign, -np.diff(np.r_[edge, len(s)])))[:keep]]
+        elif len(edge) < keep:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[edge])
-            out.append(c.mix(c.mix(empty + tag) ^ np.uint64(0xA5A5A5A5)))
+            sign = np.r_[sign, np.sort(c.mix(c.mix(empty + tag) ^ np.uint64(0xA5A5A5A5)))[: keep - len(edge)]]
+        out.append(sign)
     return np.concatenate(out)
 
 

@@ -90,6 +90,32 @@ def test_linked_sets_share_a_tile():
             assert j.most_common(len(a), len(b), j.bitmap(a), j.bitmap(b)) >= both
 
 
+def test_sets_that_differ_in_as_many_parts_as_can_be_share_a_tile():
+    rng = np.random.default_rng(3)
+    for percent, n in itertools.product((80, 85), (2, 7, 20, 60, 150, 420, 1100)):
+        cuts = j.bands(percent)
+        for band in (cuts.of(n), cuts.of(n) + 1):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            m, _ = cuts.parts(band)
+            part = ((a >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            fullest = sorted(np.unique(part), key=lambda x: -int((part == x).sum()))
+            gone = [int(np.flatnonzero(part == x)[0]) for x in fullest]  # one of each part, those of the strongest tiles first
+            for k in range(len(gone), 0, -1):
+                b = np.delete(a, gone[:k])
+                if len(b) and j.linked(len(b), len(a), len(b), percent):
+                    assert len(np.intersect1d(j.tiles(a, percent), j.tiles(b, percent)))
+                    break
+
+
+def test_a_shared_passage_brings_few_sets_together():
+    """A tile of one shingle that all texts with a passage have would be a list of all of them."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 1 << 63, 24).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.r_[passage, rng.integers(0, 1 << 63, 270).astype(np.uint64) * np.uint64(2)]) for _ in range(1000)]
+    _, n = np.unique(np.concatenate([j.tiles(s, 80) for s in sets]), return_counts=True)
+    assert n[n > 1].sum() < 4 * len(sets)  # over 9 a set when every part was a tile
+
+
 def test_other_widths_and_thresholds(spark):
     docs = corpus(5)
     words = {i: re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower()) for i, t in docs}
