@@ -137,6 +137,19 @@ def test_the_index_finds_what_a_search_finds(spark):
     assert not spark.catalog.tableExists(index.table)
 
 
+def test_the_index_has_few_rows_and_loses_none(spark, monkeypatch):
+    """A row for each gram of a piece of texts, not for each gram of a text; a text may be longer than a piece, and given in parts."""
+    monkeypatch.setattr(search, "PIECE_BYTES", 1000)
+    rows = [(str(i), "the same words in all of them, " * 3 + f"no {i}") for i in range(500)] + [("long", "x" * 5000 + "Needle" + "y" * 5000), ("parts", "one need"), ("parts", "le, no: needle")]
+    df = spark.createDataFrame(rows, "file string, text string").coalesce(1)
+    with search.index(df, buckets=4) as index:
+        assert {(r.file, r.col) for r in index.grep("needle").collect()} == {("long", 5001), ("parts", 9)}
+        assert {r.file for r in index.grep("no 499").collect()} == {"499"}
+    monkeypatch.setattr(search, "PIECE_BYTES", 1 << 20)
+    with search.index(df, buckets=4) as index:
+        assert spark.table(index.table).count() < 1000  # a row for each text and gram was over 10,000
+
+
 # ---------------------------------------------------------------- jobs
 
 EVENTS = "job_id long, status string, at timestamp, seq long"
