@@ -12,6 +12,7 @@ from deltascope.functions import parsing
 from deltascope.functions import predicates as p
 from deltascope.operators import matching
 from deltascope.operators.skew import SALTS
+from deltascope.sources.tables import cut
 
 LENSES = ("security", "correctness", "concurrency", "errors", "api", "performance", "general", "general-2", "general-3")
 #: Characters of content shown for an entity, and names listed each way.
@@ -118,15 +119,17 @@ def enrich_by_file(findings: DataFrame, entities: DataFrame, limit: int = 20) ->
     code = F.coalesce(F.nullif("after_content", F.lit("")), F.nullif("before_content", F.lit("")), F.lit(""))
     found = F.filter(F.regexp_extract_all(code, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]{3,}\b"), 0), lambda x: (F.upper(x) != x) & ~x.isin(*COMMON_WORDS))
     named = F.filter(F.array("entity_name"), lambda x: F.coalesce(x, F.lit("")) != "")
-    words = entities.select("pr_id", "file_path", F.explode(F.array_union(found, named)).alias("word")).distinct()
-    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
-    for own in (["pr_id", "file_path", "part"], ["pr_id", "file_path"]):
-        words = words.withColumn("rn", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc(F.length("word")), "word"))).where(F.col("rn") <= limit)
-    by_file = words.groupBy("pr_id", "file_path").agg(F.collect_list("word").alias("words"))
+    own = ["pr_id", "file_path", "part"]
+    words = entities.select("pr_id", "file_path", F.explode(F.array_union(found, named)).alias("word")).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
+    words = words.repartition(*own).distinct()  # by the keys of the ranks, so that they need no further shuffle
+    words = words.withColumn("rn", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc(F.length("word")), "word"))).where(F.col("rn") <= limit)
+    by_file = words.groupBy("pr_id", "file_path").agg(_longest(F.collect_list("word"), limit).alias("words"))  # of SALTS * limit words at most
     plain = lambda x: F.regexp_replace(F.translate(x, "\\", "/"), "^/+", "")
-    left, right = findings.select("pr_id", "file", plain(F.col("file")).alias("a")).distinct(), by_file.withColumn("b", plain(F.col("file_path")))
-    met = matching.ends_meet(left, right, ["pr_id"], "a", "b").join(right, ["pr_id", "b"]).join(left, ["pr_id", "a"])
-    best = met.groupBy("pr_id", "file").agg(_longest(F.array_distinct(F.flatten(F.collect_list("words"))), limit).alias("words"))
+    # paths are read several times, and so written; the words of the files meet them once
+    left = cut(findings.select("pr_id", "file").distinct().withColumn("a", plain(F.col("file"))))
+    paths = cut(entities.select("pr_id", "file_path").distinct().withColumn("b", plain(F.col("file_path"))))
+    met = matching.ends_meet(left, paths, ["pr_id"], "a", "b").join(left, ["pr_id", "a"]).join(paths, ["pr_id", "b"]).select("pr_id", "file", "file_path")
+    best = met.join(by_file, ["pr_id", "file_path"]).groupBy("pr_id", "file").agg(_longest(F.array_distinct(F.flatten(F.collect_list("words"))), limit).alias("words"))
     text = F.concat(F.coalesce("issue", F.lit("")), F.lit(" [ctx: "), F.array_join("words", ", "), F.lit("]"))
     return findings.join(best, ["pr_id", "file"], "left").withColumn("issue", F.when(F.col("words").isNotNull(), text).otherwise(F.col("issue"))).select(*findings.columns)
 

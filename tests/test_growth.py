@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from deltascope.operators import extract, graph, review, symbols, triage
+from deltascope.operators import extract, graph, review, reviewer, symbols, triage
 from deltascope.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -70,3 +70,12 @@ def test_equal_entities_are_not_taken_apart(monkeypatch):
     monkeypatch.setattr(extract.lexing, "tokens", lambda text, path="": asked.append(text) or text.split())
     assert extract.compare("a.py", "def a():\n    x\ndef b():\n    y", "def a():\n    x\ndef b():\n    z", extract.outline)[0][4] == "modified"
     assert sorted(asked) == ["def b():\n    y", "def b():\n    z"]
+
+
+def test_words_of_files_are_gathered_once(spark):
+    found = spark.createDataFrame([(1, "a.py", "bug", 1), (1, "b.py", "x", 2)], "pr_id long, file string, issue string, pos long")
+    known = spark.createDataFrame([(1, "src/a.py", "Loader", "", "parse_row(this)"), (1, "b/a.py", None, "older_text", None), (1, "b.py", None, None, "1")], "pr_id long, file_path string, entity_name string, before_content string, after_content string")
+    got = {}
+    ran = plans(spark, lambda: got.update((r.pos, r.issue) for r in reviewer.enrich_by_file(found, known).collect()))
+    assert got == {1: "bug [ctx: older_text, parse_row, Loader]", 2: "x"}
+    assert len([x for x in ran if "regexp_extract_all" in x]) == 1
