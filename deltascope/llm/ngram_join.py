@@ -530,17 +530,21 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # In longer ones a set first meets its neighbours among those with the same rare shingle, then each
     # one outside its list's largest component all that may be linked.
+    moved = True
     for step, meet in ((2, _in_chains), (3, _by_rarest)):
-        placed, apart = _apart(members, comp)
-        nodes = placed.join(apart.where(F.col("size") > SHORT_LIST), "list").groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("largest")).alias("rest"))
-        nodes = scratch.save(nodes, f"apart{step}")
-        if nodes.isEmpty():
-            break
-        if step == 2:
-            open_sets = scratch.save(_sets_of(texts, own, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), k), "sets2", bucket_by="id")
-            rare = scratch.save(_rare_rows(open_sets, nodes, percent), "rare")
-        else:
-            rare = rare.drop("comp", "rest").join(nodes, "node")
+        if moved:  # else the rows of the step before hold, with their components
+            placed, apart = _apart(members, comp)
+            nodes = placed.join(apart.where(F.col("size") > SHORT_LIST), "list").groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("largest")).alias("rest"))
+            nodes = scratch.save(nodes, f"apart{step}")
+            if nodes.isEmpty():
+                break
+            if step == 2:
+                open_sets = scratch.save(_sets_of(texts, own, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")), k), "sets2", bucket_by="id")
+                counts = _shingle_counts(open_sets)
+            # components meet the sets, a row each, never the many rows of their shingles
+            scratch.drop("rare2")
+            rare = scratch.save(_rare_rows(open_sets, nodes, percent, counts), f"rare{step}")
+            moved = False
         pairs = scratch.save(meet(rare, percent), f"pairs{step}")
         if pairs.isEmpty():
             continue
@@ -548,6 +552,7 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         found_now = scratch.save(_verified(bounded, open_sets, percent), f"links{step + 1}")
         if not found_now.isEmpty():
             comp = _joined(comp, found_now, scratch, f"comp{step + 1}")
+            moved = True
         scratch.release()
 
     # the least doc_id of each component, by node; nodes of many copies are met in salted parts
@@ -559,7 +564,7 @@ def _placed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     heads = scratch.save(c.salted_join(nodes, least, ["comp"], ["node"], "left").select("node", "comp", F.coalesce("head", "least").alias("head")), "heads")
     out = c.salted_join(own, heads, ["node"], ["doc_id"], "left").select("doc_id", "row", "n", "comp", "head")
     scratch.drop_tables()
-    scratch.drop("members", "stars", "wanted", "light", "sets", "sets1", "sets2", "rare", "apart2", "apart3", "likely", "first", "pairs1", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "links4", "nodes")
+    scratch.drop("members", "stars", "wanted", "light", "sets", "sets1", "sets2", "rare2", "rare3", "apart2", "apart3", "likely", "first", "pairs1", "pairs2", "pairs3", "links0", "links1", "links2", "links3", "links4", "nodes")
     scratch.release()
     return out
 
@@ -572,14 +577,19 @@ def _apart(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, lists.where("parts > 1 and size > 2").select("list", "largest", "size")
 
 
-def _rare_rows(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """A row for each of the rarest shingles of each of the nodes."""
-    own = nodes.join(sets, F.col("node") == F.col("id")).select("node", "comp", "rest", "shingles")
-    rows = own.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def _shingle_counts(sets: DataFrame):
+    """How many shingles of the sets fall in each of the most frequent buckets, as a broadcast table of all buckets."""
+    rows = sets.select("shingles").mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     often = rows.where("n > 1").orderBy(F.desc("n"), "bucket").limit(COUNTED).toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.int32)
     counts[often.column("bucket").to_numpy()] = np.minimum(often.column("n").to_numpy(), (1 << 31) - 1)
-    return own.mapInArrow(_rarest(percent, sets.sparkSession.sparkContext.broadcast(counts)), _RARE)
+    return sets.sparkSession.sparkContext.broadcast(counts)
+
+
+def _rare_rows(sets: DataFrame, nodes: DataFrame, percent: int, counts) -> DataFrame:
+    """A row for each of the rarest shingles of each of the nodes."""
+    own = nodes.join(sets, F.col("node") == F.col("id")).select("node", "comp", "rest", "shingles")
+    return own.mapInArrow(_rarest(percent, counts), _RARE)
 
 
 def _in_chains(rare: DataFrame, percent: int) -> DataFrame:

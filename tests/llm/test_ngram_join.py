@@ -214,3 +214,53 @@ def test_a_very_long_text_and_a_class_of_many_copies(spark):
     rows = [(i, "the same forty words " * 10) for i in range(3000)] + [(5000, long), (5001, long.replace("l7 ", "x ")), (5002, "alone")]
     got = {r.doc_id: r.component_id for r in j.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {**dict.fromkeys(range(3000), 0), 5000: 5000, 5001: 5000, 5002: 5002}
+
+
+def joins_by_node(spark, run):
+    """How many rows the inner joins by node made during ``run``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+
+    def ids():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    known = ids()
+    run()
+    total = 0
+    for at in ids() - known:
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[node#\d+L\], \[node#\d+L\], Inner", node.desc()):
+                kept = map(node.metrics().apply, range(node.metrics().size()))
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in kept if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total
+
+
+@pytest.mark.parametrize("links_among_neighbours", [False, True])
+def test_components_do_not_meet_each_rare_shingle(spark, monkeypatch, links_among_neighbours):
+    """The joins by node make a row for each member of a list, not one for each of its rare shingles too."""
+    made, save = {}, j.c.Scratch.save
+
+    def counted(self, df, name, bucket_by=None):
+        out = save(self, df, name, bucket_by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(j.c.Scratch, "save", counted)
+    texts = letters(100, 38)
+    monkeypatch.setattr(j, "SHORT_LIST", 2)
+    if links_among_neighbours:  # then components change before the last step
+        rng = random.Random(11)
+        for _ in range(80):
+            text = [f"u{x}" for x in range(120)]
+            for at in rng.sample(range(120), rng.randint(1, 2)):
+                text[at] = f"v{rng.randrange(3)}"
+            texts.append(" ".join(text))
+    docs, got = list(enumerate(texts)), {}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = joins_by_node(spark, lambda: got.update((r.doc_id, (r.n_shingles, r.component_id)) for r in j.classes(df).collect()))
+    assert got == brute(docs)
+    assert "pairs3" in made and bool(made.get("links3")) == links_among_neighbours
+    assert 0 < rows <= made["members"], (rows, made["members"])
