@@ -42,8 +42,11 @@ def review_entities(changed: DataFrame, edges: DataFrame | None = None, total: i
 
 
 def review_change(files: DataFrame, edges: DataFrame | None = None, total: int = 0, extractor: extract.Extractor = extract.outline) -> DataFrame:
-    """Reviews of the entities that differ between the two sides of ``files`` (file_path, before_content, after_content)."""
-    return review_entities(extract.changed_entities(files, extractor), edges, total)
+    """Reviews of the entities that differ between the two sides of ``files`` (file_path, before_content, after_content).
+
+    A file that the extractor fails on is an error: without it, the review would seem whole.
+    """
+    return review_entities(extract.changed_entities(files, extractor, skip_failed=False), edges, total)
 
 
 def review_repository(files: DataFrame, repository: DataFrame, extractor: extract.Extractor = extract.outline) -> DataFrame:

@@ -124,7 +124,7 @@ def reference_edges(spark, sf_dir):
 def extracted_entities(spark, sf_dir):
     """Entities of the documents' texts before and after; an extractor is code, tests hold it on fixtures."""
     files = q._texts(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.col("before").alias("before_content"), F.col("after").alias("after_content"))
-    return extract.changed_entities(files).select("file_path", "entity_name", "change_type", "start_line", "end_line")
+    return extract.changed_entities(files, skip_failed=False).select("file_path", "entity_name", "change_type", "start_line", "end_line")
 
 
 # ---------------------------------------------------------------- summaries and lists

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from deltascope.functions import lexing
 from deltascope.operators import extract, review, symbols
+from deltascope.plans import catalog
 
 FILES = "file_path string, before_content string, after_content string"
 
@@ -150,6 +151,30 @@ def test_a_review_in_the_graph_of_its_repository(spark):
     assert got["helper"].group_id != got["stop"].group_id  # start, which ties them, isn't changed
 
 
+def test_a_file_that_fails_is_no_unchanged_file(spark, tmp_path, monkeypatch):
+    def broken(path, text):
+        if "d2" in path:
+            raise ValueError("cut off")
+        return extract.outline(path, text)
+
+    files = spark.createDataFrame([(f"d{i}.py", None, "def a():\n    return 1\n") for i in (1, 2)], FILES)
+    with pytest.raises(Exception, match=r"file_path='d2.py': ValueError\('cut off'\)"):
+        review.review_change(files, extractor=broken)
+    assert [r.file_path for r in review.review_change(files.where("file_path = 'd1.py'"), extractor=broken).collect()] == ["d1.py"]
+    repository = files.selectExpr("file_path", "after_content AS content")
+    with pytest.raises(Exception, match="file_path='d2.py'"):
+        review.review_repository(files.where("file_path = 'd1.py'"), repository, broken)
+    with pytest.raises(Exception, match="sha='c1', file_path='d2.py'"):
+        extract.changed_entities(files.selectExpr("'c1' AS sha", "*"), broken, ["sha"], skip_failed=False).collect()
+
+    spark.createDataFrame([(1, "def a():\n    return 1\n"), (2, "def b():\n    return 2\n")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    changed = extract.changed_entities
+    monkeypatch.setattr(extract, "changed_entities", lambda rows, extractor=None, **kw: changed(rows, broken, **kw))
+    for name in ("review_files", "extracted_entities"):
+        with pytest.raises(Exception, match="file_path='(src/)?d2"):
+            catalog.QUERIES[name](spark, str(tmp_path)).collect()
+
+
 # ---------------------------------------------------------------- scopes
 
 
